@@ -159,7 +159,7 @@ PIVOT_MAX_VALUES = 10_000
 
 def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
     """A13 + J4 + P18: top-n users x every model, absent cells 0, long form
-    with ln(1 + cost).
+    with ln(1 + cost) (a colour scale, kept to 12 decimals).
 
     The top users (n rows) are broadcast into a semi-join; the pivot gets its
     value list up front (bounded by the number of models, checked) so Spark
@@ -176,7 +176,7 @@ def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
     wide = wide.select("user", *[pricing.usd(F.coalesce(F.col(f"`{m}`"), F.lit(0))).alias(m) for m in models])
     long = wide.unpivot(["user"], [F.col(f"`{m}`") for m in models], "model", "cost_usd")
     return (long.join(F.broadcast(top), "user")
-                .withColumn("log_cost", F.log1p(F.col("cost_usd"))))
+                .withColumn("log_cost", F.bround(F.log1p(F.col("cost_usd")), 12)))
 
 
 def spend_histogram(users: DataFrame, bins: int = 40) -> DataFrame:

@@ -268,10 +268,12 @@ def q_spend_histogram(spark, sf):
 
 @register("usage_notice")
 def q_usage_notice(spark, sf):
-    """R3 + J9: usage notices for the users in Breach."""
-    d = dashboard.apply_filters(f1_detail(spark, sf), fx.TABLE_FILTERS)
+    """R3 + J9: usage notices for the users whose all-model spend is in
+    Breach, built from the filtered rows."""
+    full = f1_detail(spark, sf)
+    d = dashboard.apply_filters(full, fx.TABLE_FILTERS)
     u = dashboard.user_spend_table(d, fx.F1_CFG)
-    sel = u.where(F.col("status") == "Breach").select("user", "month")
+    sel = full.where(F.col("status") == "Breach").select("user", "month").distinct()
     return dashboard.usage_notices(u, d, sel, fx.F1_CFG, fx.ACTOR)
 
 
@@ -357,3 +359,171 @@ def q_spend_alerts(spark, sf):
 def q_token_crossings(spark, sf):
     """W2 / ST7: per-event token boundary crossings per (user, model, month)."""
     return alerts.token_crossings(f1_inv(spark, sf), fx.F1_CFG)
+
+
+# -------------------------------------------------------------------------
+# step 5: raw invocation logs (fixture F2 written by Spark from events)
+# -------------------------------------------------------------------------
+from meterwise.functions import invocation as inv_fn  # noqa: E402
+from meterwise.functions import variant as V  # noqa: E402
+from meterwise.sources import log_scan, raw_records  # noqa: E402
+
+F2_REGIONS = ("us-east-1", "eu-west-1")
+
+
+def f2_layout(spark, sf):
+    root = raw_records.write_log_fixture(spark, sf)
+    return log_scan.LogLayout(raw_records.log_base(root), hive=True)
+
+
+def f2_files(spark, sf, regions=None, hours=None):
+    lay = f2_layout(spark, sf)
+    files = log_scan.scan_files(spark, log_scan.load_paths(lay, regions, hours))
+    return log_scan.with_path_parts(files)
+
+
+def _file_month(files_df):
+    return F.date_format(F.col("modified"), "yyyy-MM")
+
+
+def f2_invocations(spark, sf, regions=None):
+    files = f2_files(spark, sf, regions)
+    return log_scan.decode_invocations(files, _file_month(files))
+
+
+def _inv_out(d):
+    return d.select("request_id", _ts_text(F.col("ts")).alias("ts"), "user", "model_id", "month", *TOKEN_COLS)
+
+
+def f2_records(spark, sf):
+    """Raw records in memory (parsed VARIANT), without the file layer."""
+    r = raw_records.raw_records(spark, sf)
+    return r.select("event_id", "region", "slice", F.parse_json("json").alias("rec"))
+
+
+@register("log_scan")
+def q_log_scan(spark, sf):
+    """One row per log object (region, hour, object key, bytes)."""
+    f = f2_files(spark, sf)
+    return f.select("object_key", "region", "hour", "size", F.length("text").alias("chars"))
+
+
+@register("decode_records")
+def q_decode_records(spark, sf):
+    """S6 + P1-P7 + F1: every file shape decoded back to invocations."""
+    return _inv_out(f2_invocations(spark, sf))
+
+
+@register("region_pruned_scan")
+def q_region_pruned_scan(spark, sf):
+    """Only the listed region directories are loaded and decoded."""
+    return _inv_out(f2_invocations(spark, sf, list(F2_REGIONS))).withColumnRenamed("request_id", "request_id")
+
+
+@register("identity_label")
+def q_identity_label(spark, sf):
+    """User label from the identity block (all ARN shapes)."""
+    r = f2_records(spark, sf)
+    return r.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"),
+                    inv_fn.identity_label(F.col("rec")).alias("user"))
+
+
+@register("token_extract")
+def q_token_extract(spark, sf):
+    """Four token counts through the fallback chain."""
+    r = inv_fn.with_tokens(f2_records(spark, sf), "rec")
+    return r.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"), *TOKEN_COLS)
+
+
+@register("token_coerce")
+def q_token_coerce(spark, sf):
+    """Integer coercion (numeric strings, numbers) of the four counts."""
+    r = inv_fn.with_tokens(f2_records(spark, sf), "rec")
+    kind = V.kind(V.first_truthy(*[V.field(F.col("rec"), p) for p in inv_fn.INPUT_FIELDS]))
+    return r.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"),
+                    F.coalesce(kind, F.lit("MISSING")).alias("input_kind"), *TOKEN_COLS)
+
+
+@register("month_bucket")
+def q_month_bucket(spark, sf):
+    """P5: month of the timestamp as written."""
+    r = f2_records(spark, sf)
+    return r.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"),
+                    inv_fn.month_bucket(F.col("rec"), F.lit("1970-01")).alias("month"))
+
+
+@register("stream_usage_last_wins")
+def q_stream_usage_last_wins(spark, sf):
+    """Usage object from the output body (last usage wins in arrays)."""
+    r = f2_records(spark, sf)
+    u = inv_fn.usage_object(F.col("rec"))
+    return r.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"),
+                    *[F.coalesce(V.to_int(V.field(u, "$." + f)), F.lit(0).cast("bigint")).alias("usage_" + f)
+                      for f in inv_fn.USAGE_FIELDS])
+
+
+@register("schema_type_filter")
+def q_schema_type_filter(spark, sf):
+    """records kept by the schema-type rule, with their schemaType."""
+    r = f2_records(spark, sf)
+    kept = r.where(inv_fn.schema_type_ok(F.col("rec")))
+    return kept.select(V.text(V.field(F.col("rec"), "$.requestId")).alias("request_id"),
+                       V.text(V.field(F.col("rec"), "$.schemaType")).alias("schema_type"))
+
+
+@register("object_rollup")
+def q_object_rollup(spark, sf):
+    """A1: per (object, user, model, month) partial sums."""
+    d = f2_invocations(spark, sf)
+    return rollup.object_rollup(d, "object_key")
+
+
+@register("malformed_count")
+def q_malformed_count(spark, sf):
+    """per object, records decoded and lines dropped as malformed."""
+    dec = log_scan.decode_records(f2_files(spark, sf))
+    return dec.groupBy("object_key").agg(
+        F.count("rec").alias("records"), F.max("malformed").alias("malformed"))
+
+
+@register("hour_prefixes")
+def q_hour_prefixes(spark, sf):
+    """S3: hour prefixes from floor(first event) to floor(last event)."""
+    ev = tables.table(spark, sf, "events").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return log_scan.hour_prefixes_df(ev)
+
+
+@register("scan_window")
+def q_scan_window(spark, sf):
+    """S5 / ST10: scan cut-off of each scheduled run, with the previous run
+    as checkpoint (none for the first run), 15 min / 7 day look-backs."""
+    from pyspark.sql import Window
+    runs = (f1_inv(spark, sf).select(F.window("ts", fx.F1_CFG.schedule).start.alias("now")).distinct())
+    w = Window.orderBy("now")
+    d = runs.withColumn("checkpoint", F.lag("now").over(w))
+    cut = log_scan.scan_window(F.col("now"), F.col("checkpoint"), fx.F1_CFG.lookback_minutes,
+                               fx.F1_CFG.max_lookback_minutes)
+    return d.select(_ts_text(F.col("now")).alias("now"), _ts_text(F.col("checkpoint")).alias("checkpoint"),
+                    _ts_text(cut).alias("cutoff"))
+
+
+@register("modified_since")
+def q_modified_since(spark, sf):
+    """Objects modified at or after the cut-off (``modifiedAfter``)."""
+    from datetime import datetime
+    lay = f2_layout(spark, sf)
+    files = log_scan.scan_files(spark, log_scan.load_paths(lay, None, None), modified_after=datetime(2024, 2, 1))
+    return log_scan.with_path_parts(files).select("object_key", "modified")
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    """Objects seen/processed, records, users touched, regions."""
+    files = f2_files(spark, sf)
+    inv = log_scan.decode_invocations(files, _file_month(files))
+    seen = files.agg(F.count(F.lit(1)).alias("objects_seen"),
+                     F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"))
+    done = inv.agg(F.count_distinct("path").alias("objects_processed"),
+                   F.count(F.lit(1)).alias("records_processed"),
+                   F.count_distinct("user").alias("users_touched"))
+    return seen.join(done)

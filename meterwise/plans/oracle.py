@@ -273,7 +273,7 @@ ORACLE["user_model_heatmap"] = f1_base() + detail_cte() + f""",
  models AS (SELECT DISTINCT model FROM detail WHERE {U} IN (SELECT {U} FROM tu)),
  cells AS (SELECT {U}, model, sum(cost) AS c FROM detail WHERE {U} IN (SELECT {U} FROM tu) GROUP BY {U}, model)
 SELECT tu.{U}, m.model, {usd('coalesce(cells.c, 0)')} AS cost_usd, tu.user_rank,
-       ln(1 + {usd('coalesce(cells.c, 0)')}) AS log_cost
+       round_even(ln(1 + {usd('coalesce(cells.c, 0)')}), 12) AS log_cost
 FROM tu CROSS JOIN models m LEFT JOIN cells ON cells.{U} = tu.{U} AND cells.model = m.model"""
 
 ORACLE["spend_histogram"] = f1_base() + detail_cte() + _FDF + f""",
@@ -364,3 +364,67 @@ WITH inv AS ({INV_EVENTS}),
 SELECT {U}, model_id, month, level, boundary, record_id, CAST(new_total - tokens AS BIGINT) AS prev_total,
        CAST(new_total AS BIGINT) AS new_total
 FROM r, lv WHERE new_total - tokens < boundary AND boundary <= new_total"""
+
+ORACLE["usage_notice"] = f1_base() + detail_cte() + _FDF + f""",
+ sel AS (SELECT DISTINCT {U}, month FROM detail WHERE status = 'Breach'),
+ ut AS (SELECT {U}, month, {usd('sum(cost)')} AS cost_usd,
+               {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TOK)},
+               CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(invocations) AS BIGINT) AS invocations
+        FROM fdf WHERE ({U}, month) IN (SELECT {U}, month FROM sel) GROUP BY {U}, month),
+ pm AS (SELECT {U}, month, CAST(count(*) AS INTEGER) AS n_models,
+               string_agg('    - ' || model || ': $' || format('{{:,.2f}}', cost_usd) || ' (' ||
+                          format('{{:,}}', total_tokens) || ' tok, ' || format('{{:,}}', invocations) || ' inv)',
+                          chr(10) ORDER BY model, cost_usd, total_tokens, invocations) AS per_model_text
+        FROM fdf WHERE ({U}, month) IN (SELECT {U}, month FROM sel) GROUP BY {U}, month)
+SELECT ut.{U}, ut.month, cost_usd, {pct_sql('cost_usd', fx.F1_CFG)} AS pct_of_budget, total_tokens, {', '.join(TOK)},
+       invocations, n_models,
+       substr('[{fx.F1_CFG.alert_label} USAGE] ' || ut.{U} || ' • $' || format('{{:,.2f}}', cost_usd) || ' spend (' || ut.month || ')', 1, 100) AS subject,
+       per_model_text, '{fx.ACTOR}' AS actor
+FROM ut JOIN pm ON ut.{U} = pm.{U} AND ut.month = pm.month"""
+
+# ---------------------------------------------------------------- step 5 (raw logs)
+_REG = "(CASE event_id % 3 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' ELSE 'eu-west-1' END)"
+_RAW = f"WITH inv AS ({INV_EVENTS}),\n raw AS (SELECT inv.*, e.event_id, e.user_id, {_REG} AS region, e.event_id % 5 AS slice FROM inv JOIN events e ON e.event_id = inv.record_id)\n"
+_INV_OUT = f"'req-' || CAST(event_id AS VARCHAR) AS request_id, {ts_text('ts')} AS ts, {U}, model_id, month, {', '.join(TOK)}"
+_OBJ = f"{_REG} || '/' || strftime(ts, '%Y/%m/%d') || '/00/' || CAST(event_id % 5 AS VARCHAR)"
+
+ORACLE["decode_records"] = _RAW + f"SELECT {_INV_OUT} FROM raw"
+ORACLE["region_pruned_scan"] = _RAW + f"SELECT {_INV_OUT} FROM raw WHERE region IN ('us-east-1', 'eu-west-1')"
+ORACLE["identity_label"] = _RAW + f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, {U} FROM raw"
+ORACLE["token_extract"] = _RAW + f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, {', '.join(TOK)} FROM raw"
+ORACLE["token_coerce"] = _RAW + (f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
+                                 f"CASE WHEN slice = 1 THEN 'STRING' WHEN slice IN (2, 3) THEN 'MISSING' ELSE 'BIGINT' END AS input_kind, "
+                                 f"{', '.join(TOK)} FROM raw")
+ORACLE["month_bucket"] = _RAW + "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, month FROM raw"
+ORACLE["stream_usage_last_wins"] = _RAW + (
+    "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
+    "CASE WHEN slice IN (2, 3, 4) THEN input_tokens ELSE 0 END AS usage_input_tokens, "
+    "CASE WHEN slice IN (2, 3, 4) THEN output_tokens ELSE 0 END AS usage_output_tokens, "
+    "CASE WHEN slice IN (2, 3, 4) THEN cache_write_tokens ELSE 0 END AS usage_cache_creation_input_tokens, "
+    "CASE WHEN slice IN (2, 3, 4) THEN cache_read_tokens ELSE 0 END AS usage_cache_read_input_tokens FROM raw")
+ORACLE["schema_type_filter"] = _RAW + (
+    "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
+    "CASE WHEN slice IN (0, 2, 4) THEN 'ModelInvocationLog' WHEN slice = 3 THEN '' END AS schema_type FROM raw")
+ORACLE["object_rollup"] = _RAW + f"""
+SELECT {_OBJ} AS object_key, {U}, model_id, month, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TOK)},
+       CAST(count(*) AS BIGINT) AS invocations, CAST(sum({' + '.join(TOK)}) AS BIGINT) AS total_tokens
+FROM raw GROUP BY ALL"""
+ORACLE["malformed_count"] = _RAW + f"""
+SELECT {_OBJ} AS object_key, CAST(count(*) AS BIGINT) AS records,
+       CAST(CASE WHEN any_value(slice) = 4 THEN 1 ELSE 0 END AS BIGINT) AS malformed
+FROM raw GROUP BY 1"""
+ORACLE["hour_prefixes"] = """
+SELECT strftime(h, '%Y/%m/%d/%H') AS prefix
+FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS h FROM events)"""
+ORACLE["scan_window"] = f"""
+WITH runs AS (SELECT DISTINCT time_bucket(INTERVAL '5 minutes', ts) AS now FROM events),
+ c AS (SELECT now, lag(now) OVER (ORDER BY now) AS checkpoint FROM runs)
+SELECT {ts_text('now')} AS now, {ts_text('checkpoint')} AS checkpoint,
+       {ts_text(f"CASE WHEN checkpoint IS NULL THEN now - INTERVAL {fx.F1_CFG.lookback_minutes} MINUTE ELSE greatest(least(checkpoint, now - INTERVAL {fx.F1_CFG.lookback_minutes} MINUTE), now - INTERVAL {fx.F1_CFG.max_lookback_minutes} MINUTE) END")} AS cutoff
+FROM c"""
+ORACLE["run_summary"] = _RAW + f"""
+SELECT (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_seen,
+       (SELECT string_agg(DISTINCT region, ',' ORDER BY region) FROM raw) AS regions,
+       (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_processed,
+       (SELECT CAST(count(*) AS BIGINT) FROM raw) AS records_processed,
+       (SELECT CAST(count(DISTINCT {U}) AS BIGINT) FROM raw) AS users_touched"""

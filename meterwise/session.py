@@ -25,6 +25,7 @@ def build_session(master: str = "local[*]", app: str = "meterwise",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in {**_SESSION_DEFAULTS, **(extra or {})}.items():
