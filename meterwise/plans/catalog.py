@@ -527,3 +527,122 @@ def q_run_summary(spark, sf):
                    F.count(F.lit(1)).alias("records_processed"),
                    F.count_distinct("user").alias("users_touched"))
     return seen.join(done)
+
+
+# -------------------------------------------------------------------------
+# subscription payloads, ledger, streaming, sinks
+# -------------------------------------------------------------------------
+from meterwise.session import fresh_path  # noqa: E402
+from meterwise.sources import ledger, subscription  # noqa: E402
+from meterwise.streaming import rollup_stream, series_stream  # noqa: E402
+
+
+@register("decode_subscription")
+def q_decode_subscription(spark, sf):
+    """base64+gzip envelopes -> log events -> invocations."""
+    env = subscription.encode_envelopes(raw_records.raw_records(spark, sf))
+    ev = subscription.decode_envelopes(env)
+    return _inv_out(subscription.subscription_invocations(ev))
+
+
+@register("usage_counters")
+def q_usage_counters(spark, sf):
+    """Per-day batches written to the ledger, one batch replayed, read
+    back as counters (the replay changes nothing)."""
+    path = fresh_path(spark, "runs", "ledger")
+    inv = f1_inv(spark, sf).withColumn("batch_id", F.dayofmonth("ts").cast("bigint"))
+    parts = ledger.batch_partials(inv)
+    ledger.write_partials(parts, path)
+    ledger.write_partials(parts.where(F.col("batch_id") == 15), path)   # replay of one batch
+    u = ledger.read_usage(spark, path)
+    return u.select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+@register("usage_month_scan")
+def q_usage_month_scan(spark, sf):
+    """S8 + F3: month-partitioned usage table read for one month (the month
+    filter is a partition filter)."""
+    path = fresh_path(spark, "runs", "usage")
+    inv = tables.invocations_from_orders(spark, sf).withColumn("batch_id", F.lit(0).cast("bigint"))
+    ledger.write_partials(ledger.batch_partials(inv), path)
+    u = ledger.read_usage(spark, path, fx.F3_MONTH)
+    return u.select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+def _stream_run(spark, sf, max_files=150):
+    lay = f2_layout(spark, sf)
+    paths = rollup_stream.StreamPaths.under(fresh_path(spark, "runs", "stream"))
+    rollup_stream.run_rollup_stream(spark, lay, paths, fx.F1_CFG, max_files_per_trigger=max_files)
+    return paths
+
+
+@register("stream_rollup")
+def q_stream_rollup(spark, sf):
+    """ST1-ST3: the rollup stream (availableNow, bounded batches) over the
+    log folder; ledger totals equal the one-shot batch rollup."""
+    paths = _stream_run(spark, sf)
+    return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+@register("alerts_sink")
+def q_alerts_sink(spark, sf):
+    """Alert rows the stream wrote (level, user, month, subject, body,
+    attributes), one partition per micro-batch."""
+    paths = _stream_run(spark, sf)
+    return spark.read.parquet(paths.alerts)
+
+
+@register("late_data_policy")
+def q_late_data_policy(spark, sf):
+    """ST5: 5-minute series from the stream with a 10-minute watermark."""
+    lay = f2_layout(spark, sf)
+    root = fresh_path(spark, "runs", "series")
+    series_stream.run_series_stream(spark, lay, f"{root}/out", f"{root}/_checkpoint", fx.F1_CFG,
+                                    max_files_per_trigger=150)
+    s = spark.read.parquet(f"{root}/out")
+    return s.withColumn("window_start", _ts_text(F.col("window_start")))
+
+
+@register("alert_text")
+def q_alert_text(spark, sf):
+    """Subject and body of the spend alerts."""
+    a = alerts.spend_alerts(_f1_before_after(spark, sf), fx.F1_CFG)
+    r = alerts.alert_rows(a, fx.F1_CFG)
+    return r.select("level", "user", "month", _ts_text(F.col("run")).alias("run"), "subject", "body")
+
+
+@register("csv_export")
+def q_csv_export(spark, sf):
+    """User spend table written as CSV with a header, read back."""
+    cols = ["user", "month", "cost_usd", "pct_display", "status", "total_tokens", "input_tokens",
+            "output_tokens", "invocations"]
+    path = fresh_path(spark, "runs", "csv")
+    f1_user_table(spark, sf).select(*cols).write.option("header", True).csv(path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("unprocessed_objects")
+def q_unprocessed_objects(spark, sf):
+    """Objects listed by two overlapping scans, de-duplicated,
+    minus the objects a previous run marked as processed (days 1-14)."""
+    files = f2_files(spark, sf).select("path", "object_key", "hour")
+    markers_path = fresh_path(spark, "runs", "markers")
+    (files.where(F.substring("hour", 9, 2).cast("int") < 15)
+          .select("path", F.current_timestamp().alias("processed_at"))
+          .write.parquet(markers_path))
+    markers = spark.read.parquet(markers_path).select("path")
+    listed = files.unionByName(files.where(F.substring("hour", 9, 2).cast("int") >= 10))  # overlapping windows
+    cand = listed.dropDuplicates(["path"])
+    return cand.join(markers, "path", "left_anti").select("object_key")
+
+
+@register("marker_expiry")
+def q_marker_expiry(spark, sf):
+    """ST4: object markers (one per order, written at the order date) kept
+    while younger than the 45-day TTL at the latest marker time."""
+    o = tables.table(spark, sf, "orders").select(
+        F.concat(F.lit("obj-"), F.col("o_orderkey").cast("string")).alias("object"),
+        F.col("o_orderdate").alias("processed_at"))
+    as_of = o.select(F.max("processed_at")).scalar()
+    keep = o.where(F.col("processed_at") >= as_of - F.expr(f"INTERVAL {fx.F1_CFG.marker_ttl_days} DAYS"))
+    return keep.select("object", _ts_text(F.col("processed_at")).alias("processed_at"))

@@ -428,3 +428,30 @@ SELECT (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_seen,
        (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_processed,
        (SELECT CAST(count(*) AS BIGINT) FROM raw) AS records_processed,
        (SELECT CAST(count(DISTINCT {U}) AS BIGINT) FROM raw) AS users_touched"""
+
+# ---------------------------------------------------------------- subscription, ledger, stream, sinks
+ORACLE["decode_subscription"] = ORACLE["decode_records"]
+ORACLE["usage_counters"] = ORACLE["usage_rollup"]
+ORACLE["stream_rollup"] = ORACLE["usage_rollup"]
+ORACLE["usage_month_scan"] = f3_base() + f"SELECT {U}, model_id, month, {COUNTERS} FROM usage WHERE month = '{fx.F3_MONTH}'"
+ORACLE["unprocessed_objects"] = _RAW + f"SELECT DISTINCT {_OBJ} AS object_key FROM raw WHERE CAST(strftime(ts, '%d') AS INTEGER) >= 15"
+ORACLE["marker_expiry"] = f"""
+SELECT 'obj-' || CAST(o_orderkey AS VARCHAR) AS object, {ts_text('o_orderdate')} AS processed_at
+FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL {fx.F1_CFG.marker_ttl_days} DAY"""
+_WP = int(fx.F1_CFG.warn_ratio * 100)
+ORACLE["alert_text"] = _BA + f""",
+ lv AS (SELECT 'WARN' AS level, CAST({fx.F1_CFG.warn_usd} AS DECIMAL(38,12)) AS boundary
+        UNION ALL SELECT 'BREACH', CAST({fx.F1_CFG.budget_usd} AS DECIMAL(38,12))),
+ a AS (SELECT *, {usd('prev_cost')} AS p, {usd('new_cost')} AS n, {usd('boundary')} AS b FROM ba2, lv
+       WHERE delta > 0 AND prev_cost < boundary AND boundary <= new_cost)
+SELECT level, {U}, month, {ts_text('run')} AS run,
+       substr('[{fx.F1_CFG.alert_label} ' || level || '] ' || {U} || ' crossed $' || format('{{:.2f}}', b) || ' spend (' || month || ')', 1, 100) AS subject,
+       'Monthly spend crossed a configured boundary.' || chr(10) || chr(10) ||
+       '  Level         : ' || level || chr(10) ||
+       '  User          : ' || {U} || chr(10) ||
+       '  Month         : ' || month || chr(10) ||
+       '  Previous spend: $' || format('{{:.2f}}', p) || chr(10) ||
+       '  New spend     : $' || format('{{:.2f}}', n) || ' (' || format('{{:.1f}}', {pct_sql('n', fx.F1_CFG)}) || '% of budget)' || chr(10) ||
+       '  Boundary      : $' || format('{{:.2f}}', b) || chr(10) ||
+       '  Budget        : ${float(fx.F1_CFG.budget_usd):.2f} per user / month (warn at {_WP}%), summed across all models' || chr(10) AS body
+FROM a"""
