@@ -646,3 +646,69 @@ def q_marker_expiry(spark, sf):
     as_of = o.select(F.max("processed_at")).scalar()
     keep = o.where(F.col("processed_at") >= as_of - F.expr(f"INTERVAL {fx.F1_CFG.marker_ttl_days} DAYS"))
     return keep.select("object", _ts_text(F.col("processed_at")).alias("processed_at"))
+
+
+# -------------------------------------------------------------------------
+# step 7: enforcement decisions
+# -------------------------------------------------------------------------
+from meterwise.operators import enforcement  # noqa: E402
+
+
+def _over_budget_f1(spark, sf):
+    s = rollup.user_month_spend(f1_priced(spark, sf), fx.ENFORCE_CFG)
+    return alerts.over_budget(s, fx.ENFORCE_CFG, "cost")
+
+
+def _decisions(spark, sf):
+    cfg = fx.ENFORCE_CFG
+    cands = enforcement.candidates(_over_budget_f1(spark, sf), cfg)
+    targets = enforcement.group_targets(tables.directory_groups(spark, sf), cfg)
+    return enforcement.decisions(cands, tables.directory_users(spark, sf),
+                                 tables.directory_memberships(spark, sf), targets, cfg)
+
+
+@register("enforcement_candidates")
+def q_enforcement_candidates(spark, sf):
+    """F9 + F10: over-budget user-months minus the allow-list."""
+    c = enforcement.candidates(_over_budget_f1(spark, sf), fx.ENFORCE_CFG)
+    return c.select("user", "month", "cost_usd")
+
+
+@register("group_targets")
+def q_group_targets(spark, sf):
+    """Configured group ids and resolved names, de-duplicated."""
+    return enforcement.group_targets(tables.directory_groups(spark, sf), fx.ENFORCE_CFG)
+
+
+@register("enforcement_decisions")
+def q_enforcement_decisions(spark, sf):
+    """ST8 + ST9 + J5 + J7 + P17: decision per over-budget user-month."""
+    return enforcement.decisions_text(_decisions(spark, sf))
+
+
+def _audit_history(spark, sf):
+    """Every run in which an enforcement candidate is touched and at/over
+    budget writes an audit row with its decision."""
+    b = _f1_before_after(spark, sf)
+    runs = alerts.over_budget(b.where(F.col("delta") > 0), fx.ENFORCE_CFG, "new_cost").select("user", "month", "run")
+    dec = _decisions(spark, sf)
+    return runs.join(dec, ["user", "month"]).withColumnRenamed("run", "at")
+
+
+@register("enforcement_throttle")
+def q_enforcement_throttle(spark, sf):
+    """Which audit rows send a notice (24 h gap rule)."""
+    t = enforcement.throttle(_audit_history(spark, sf), fx.ENFORCE_CFG)
+    return t.select("user", "month", _ts_text(F.col("at")).alias("at"), "mode", "notify")
+
+
+@register("enforcement_audit")
+def q_enforcement_audit(spark, sf):
+    """S11 + J8: audit table (partitioned by month) and its latest row per
+    (user, month)."""
+    path = fresh_path(spark, "runs", "audit")
+    enforcement.audit_rows(_audit_history(spark, sf), fx.ENFORCE_CFG).write.partitionBy("month").parquet(path)
+    last = enforcement.latest_audit(spark.read.parquet(path))
+    return last.select("user", "month", "mode", _ts_text(F.col("at")).alias("at"),
+                       _ts_text(F.col("expire_at")).alias("expire_at"),
+                       F.col("detail.userId").alias("user_id"))

@@ -455,3 +455,78 @@ SELECT level, {U}, month, {ts_text('run')} AS run,
        '  Boundary      : $' || format('{{:.2f}}', b) || chr(10) ||
        '  Budget        : ${float(fx.F1_CFG.budget_usd):.2f} per user / month (warn at {_WP}%), summed across all models' || chr(10) AS body
 FROM a"""
+
+# ---------------------------------------------------------------- step 7 (enforcement)
+_EC = fx.ENFORCE_CFG
+
+
+def _enforce_ctes() -> str:
+    allow = ", ".join(f"'{u}'" for u in _EC.allow_list) or "NULL"
+    ids = " UNION ALL ".join(f"SELECT {i} AS ord, '{g}' AS label, '{g}' AS group_id" for i, g in enumerate(_EC.group_ids))
+    names = ", ".join(f"({len(_EC.group_ids) + i}, '{n}')" for i, n in enumerate(_EC.group_names))
+    return f""",
+ spend AS (SELECT {U}, month, sum(cost) AS c FROM priced GROUP BY {U}, month),
+ cand AS (SELECT * FROM spend WHERE c >= CAST({_EC.budget_usd} AS DECIMAL(38,12))
+          AND {U} IS NOT NULL AND {U} NOT IN ('unknown', '') AND {U} NOT IN ({allow})),
+ grp AS (SELECT n_name AS display_name, 'g-' || CAST(n_nationkey AS VARCHAR) AS group_id FROM nation),
+ tall AS ({ids} UNION ALL
+          SELECT n.ord, n.label, grp.group_id FROM (VALUES {names}) n(ord, label) JOIN grp ON grp.display_name = n.label),
+ targets AS (SELECT CAST(ord AS INTEGER) AS ord, label, group_id
+             FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord) AS rn FROM tall) WHERE rn = 1),
+ udir AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS user_name, 'u-' || CAST(c_custkey AS VARCHAR) AS user_id
+          FROM customer WHERE c_mktsegment <> 'BUILDING'),
+ mem AS (SELECT 'g-' || CAST(c_nationkey AS VARCHAR) AS group_id, 'u-' || CAST(c_custkey AS VARCHAR) AS user_id,
+                'm-' || CAST(c_custkey AS VARCHAR) || '-' || CAST(c_nationkey AS VARCHAR) AS membership_id FROM customer
+         UNION ALL
+         SELECT 'g-' || CAST((c_nationkey + 1) % 25 AS VARCHAR), 'u-' || CAST(c_custkey AS VARCHAR),
+                'm-' || CAST(c_custkey AS VARCHAR) || '-' || CAST((c_nationkey + 1) % 25 AS VARCHAR)
+         FROM customer WHERE c_acctbal > 5000),
+ res AS (SELECT cand.{U}, cand.month, cand.c, udir.user_id FROM cand LEFT JOIN udir ON cand.{U} = udir.user_name),
+ pairs AS (SELECT res.{U}, res.month, t.ord, t.label, t.group_id, m.membership_id
+           FROM res CROSS JOIN targets t LEFT JOIN mem m ON m.user_id = res.user_id AND m.group_id = t.group_id
+           WHERE res.user_id IS NOT NULL),
+ pagg AS (SELECT {U}, month,
+                 string_agg(label || ' (' || group_id || ', membership=' || membership_id || ')', '; ' ORDER BY ord)
+                   FILTER (WHERE membership_id IS NOT NULL) AS members_txt,
+                 string_agg(label || ' (' || group_id || ', reason=not_a_member)', '; ' ORDER BY ord)
+                   FILTER (WHERE membership_id IS NULL) AS skipped_txt,
+                 count(membership_id) AS n_mem
+          FROM pairs GROUP BY {U}, month),
+ decs AS (SELECT res.{U}, res.month,
+                 CASE WHEN res.user_id IS NULL THEN 'ERROR' WHEN coalesce(n_mem, 0) > 0 THEN
+                      {"'DRYRUN'" if _EC.enforce_dry_run else "'REMOVED'"} ELSE 'SKIPPED' END AS mode,
+                 res.user_id, CASE WHEN res.user_id IS NULL THEN 'user_unresolved' END AS reason,
+                 {"'none'" if _EC.enforce_dry_run else "coalesce(members_txt, 'none')"} AS removed_groups,
+                 {"coalesce(members_txt, 'none')" if _EC.enforce_dry_run else "'none'"} AS dryrun_groups,
+                 coalesce(skipped_txt, 'none') AS skipped_groups, 'none' AS errored_groups
+          FROM res LEFT JOIN pagg ON pagg.{U} = res.{U} AND pagg.month = res.month)
+"""
+
+
+ORACLE["enforcement_candidates"] = f1_base(_EC) + _enforce_ctes() + f"SELECT {U}, month, {usd('c')} AS cost_usd FROM cand"
+ORACLE["group_targets"] = f1_base(_EC) + _enforce_ctes() + "SELECT ord, label, group_id FROM targets"
+ORACLE["enforcement_decisions"] = f1_base(_EC) + _enforce_ctes() + "SELECT * FROM decs"
+
+_HIST = f""",
+ pinv AS (SELECT *, {sql_cost('model_id', list(TOK), _EC)} AS cost, time_bucket(INTERVAL '5 minutes', ts) AS run FROM inv),
+ rd AS (SELECT {U}, month, run, sum(cost) AS delta FROM pinv GROUP BY {U}, month, run),
+ rba AS (SELECT *, sum(delta) OVER (PARTITION BY {U}, month ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS new_cost
+         FROM rd),
+ hist AS (SELECT rba.{U}, rba.month, rba.run AS at_ts, decs.mode, decs.user_id,
+                 decs.reason IS NULL AND decs.mode <> 'SKIPPED' AS notifiable
+          FROM rba JOIN decs ON rba.{U} = decs.{U} AND rba.month = decs.month
+          WHERE rba.delta > 0 AND rba.new_cost >= CAST({_EC.budget_usd} AS DECIMAL(38,12)))
+"""
+ORACLE["enforcement_throttle"] = f1_base(_EC) + _enforce_ctes() + _HIST + f""",
+ l AS (SELECT *, lag(mode) OVER w AS prev_mode, lag(at_ts) OVER w AS prev_at FROM hist
+       WINDOW w AS (PARTITION BY {U}, month ORDER BY at_ts))
+SELECT {U}, month, {ts_text('at_ts')} AS "at", mode,
+       CASE WHEN mode = 'REMOVED' THEN notifiable
+            WHEN mode IN ('DRYRUN', 'ERROR') THEN notifiable AND NOT coalesce(prev_mode = mode AND
+                 epoch(at_ts) - epoch(prev_at) < {int(_EC.renotify_hours) * 3600}, FALSE)
+            ELSE FALSE END AS notify
+FROM l"""
+ORACLE["enforcement_audit"] = f1_base(_EC) + _enforce_ctes() + _HIST + f"""
+SELECT {U}, month, any_value(mode) AS mode, {ts_text('max(at_ts)')} AS "at",
+       {ts_text(f'max(at_ts) + INTERVAL {int(_EC.audit_ttl_days)} DAY')} AS expire_at, any_value(user_id) AS user_id
+FROM hist GROUP BY {U}, month"""
