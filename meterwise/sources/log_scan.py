@@ -98,6 +98,12 @@ def scan_files(spark: SparkSession, paths: list[str], modified_after: datetime |
     ignored); ``.gz`` objects are decompressed by the codec. Keys ending in
     ``/`` are directories and never returned.
     """
+    from meterwise.session import glob_exists
+    # an hour or region prefix without objects lists nothing (Spark's loader
+    # would reject a missing path): one glob status call per prefix
+    paths = [p for p in paths if glob_exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "path string, modified timestamp, size long, text string")
     reader = spark.read.option("recursiveFileLookup", "true")
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
