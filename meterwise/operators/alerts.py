@@ -101,12 +101,12 @@ def token_crossings(inv: DataFrame, cfg: MeterConfig, chunk: str = "1 hour") ->
     hit = (chunks.select(*keys, "chunk", "before", "after", F.explode(levels).alias("b"))
                  .where((F.col("before") < F.col("b.boundary")) & (F.col("b.boundary") <= F.col("after")))
                  .select(*keys, "chunk", "before", F.col("b.level").alias("level"), F.col("b.boundary").alias("boundary")))
-    crossing_chunks = hit.select(*keys, "chunk", "before").distinct()
-    x = ev.join(crossing_chunks, [*keys, "chunk"])
-    we = (Window.partitionBy(*keys, "chunk").orderBy("ts", "record_id")
+    # each event of a crossing chunk meets the (at most two) boundaries
+    # crossed inside it; one running sum per (key, chunk, level)
+    x = ev.join(hit, [*keys, "chunk"])
+    we = (Window.partitionBy(*keys, "chunk", "level").orderBy("ts", "record_id")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("new_total", F.col("before") + F.sum("tokens").over(we)) \
-         .withColumn("prev_total", F.col("new_total") - F.col("tokens"))
-    y = x.join(hit.drop("before"), [*keys, "chunk"])
+    y = (x.withColumn("new_total", F.col("before") + F.sum("tokens").over(we))
+          .withColumn("prev_total", F.col("new_total") - F.col("tokens")))
     y = y.where((F.col("prev_total") < F.col("boundary")) & (F.col("boundary") <= F.col("new_total")))
     return y.select(*keys, "level", "boundary", "record_id", "prev_total", "new_total")

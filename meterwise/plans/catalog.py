@@ -497,10 +497,8 @@ def q_hour_prefixes(spark, sf):
 def q_scan_window(spark, sf):
     """S5 / ST10: scan cut-off of each scheduled run, with the previous run
     as checkpoint (none for the first run), 15 min / 7 day look-backs."""
-    from pyspark.sql import Window
-    runs = (f1_inv(spark, sf).select(F.window("ts", fx.F1_CFG.schedule).start.alias("now")).distinct())
-    w = Window.orderBy("now")
-    d = runs.withColumn("checkpoint", F.lag("now").over(w))
+    runs = f1_inv(spark, sf).select(F.window("ts", fx.F1_CFG.schedule).start.alias("now")).distinct()
+    d = log_scan.previous_run(runs, "now")
     cut = log_scan.scan_window(F.col("now"), F.col("checkpoint"), fx.F1_CFG.lookback_minutes,
                                fx.F1_CFG.max_lookback_minutes)
     return d.select(_ts_text(F.col("now")).alias("now"), _ts_text(F.col("checkpoint")).alias("checkpoint"),

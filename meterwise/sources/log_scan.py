@@ -83,6 +83,22 @@ def scan_window(now: Column, checkpoint: Column, lookback_minutes: int, max_look
     return F.when(checkpoint.isNull(), lb).otherwise(F.greatest(F.least(checkpoint, lb), mx))
 
 
+def previous_run(runs: DataFrame, col: str = "now") -> DataFrame:
+    """Checkpoint of each run = the previous run (none for the first).
+
+    Two levels, so no window holds every run: ``lag`` within each day, and
+    the first run of a day takes the last run of the previous day from a
+    one-row-per-day table (a window over days).
+    """
+    from pyspark.sql import Window
+    d = runs.withColumn("_day", F.to_date(F.col(col)))
+    d = d.withColumn("checkpoint", F.lag(col).over(Window.partitionBy("_day").orderBy(col)))
+    days = d.groupBy("_day").agg(F.max(col).alias("_last"))
+    days = days.withColumn("_prev_last", F.lag("_last").over(Window.orderBy("_day"))).select("_day", "_prev_last")
+    d = d.join(days, "_day")
+    return d.withColumn("checkpoint", F.coalesce(F.col("checkpoint"), F.col("_prev_last"))).drop("_day", "_prev_last")
+
+
 def load_paths(layout: LogLayout, regions: list[str] | None, hours: list[datetime] | None) -> list[str]:
     """Globs to load: every (region, hour) directory asked for."""
     rdirs = [layout.region_dir(r) for r in regions] if regions else [layout.all_regions_glob()]
@@ -123,8 +139,14 @@ def with_path_parts(files: DataFrame) -> DataFrame:
     return (files.withColumn("region", F.regexp_extract(p, PATH_RE, 1))
                  .withColumn("hour", hour)
                  .withColumn("object_key", F.concat_ws("/", F.col("region"), F.col("hour"),
-                                                       F.regexp_replace(F.regexp_extract(p, PATH_RE, 6),
-                                                                        r"^shape=([0-9]+)/.*$", "$1"))))
+                                                       _object_name(F.regexp_extract(p, PATH_RE, 6)))))
+
+
+def _object_name(rest: Column) -> Column:
+    """Object name below the hour directory; the fixture's partition folders
+    ``shape=<s>/chunk=<c>/part-...`` collapse to ``<s>-<c>``."""
+    return F.when(rest.rlike(r"^shape=[0-9]+/chunk=[0-9]+/"),
+                  F.regexp_replace(rest, r"^shape=([0-9]+)/chunk=([0-9]+)/.*$", "$1-$2")).otherwise(rest)
 
 
 def _strict_parse(s: Column) -> Column:

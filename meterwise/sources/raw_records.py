@@ -4,6 +4,7 @@ Built by Spark from ``events`` (``to_json(struct(...))``), so it grows with
 the table. Record variant and file shape both follow ``event_id % 5``,
 the region follows ``event_id % 3``. Decoding must give F1 back exactly.
 
+    (files: one per region, day, shape and 1000-event-id chunk)
     slice 0  top-level counts (numbers), arn assumed-role;   JSON lines, gzip
     slice 1  alternate names as numeric strings, arn user/;  JSON array, gzip
     slice 2  counts only in an object body usage, callerArn;  {"records": [...]}, gzip
@@ -22,7 +23,9 @@ from meterwise.sources import tables
 ACCOUNT = "000000000000"
 REGIONS = ("us-east-1", "us-west-2", "eu-west-1")
 LOG_DIR = "AWSLogs/{account}/BedrockModelInvocationLogs"
-FIXTURE_VERSION = "v1"
+FIXTURE_VERSION = "v2"
+# records per event-id chunk; a file holds one (region, day, shape, chunk)
+CHUNK_EVENTS = 1000
 BAD_LINE = '{"truncated": '
 
 
@@ -104,9 +107,10 @@ def log_base(root: str) -> str:
 def write_log_fixture(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     """Write F2 as log files (written once per ``sf_dir``; returns the root).
 
-    Files are grouped per (region, day, shape); Spark's writer lays them out
-    as ``region=<r>/y=/m=/d=/h=00/shape=<s>/part-*``. Array shapes hold one
-    JSON document per file, built from a bounded group (one region-day-shape).
+    Files are grouped per (region, day, shape, event-id chunk); Spark's
+    writer lays them out as ``region=<r>/y=/m=/d=/h=00/shape=<s>/chunk=<c>/``.
+    Array shapes hold one JSON document per file, built from a bounded group
+    (at most CHUNK_EVENTS / 15 records of one region, day and shape).
     """
     root = log_root(spark, sf_dir)
     base = log_base(root)
@@ -115,8 +119,9 @@ def write_log_fixture(spark: SparkSession, sf_dir: str, force: bool = False) ->
     r = raw_records(spark, sf_dir)
     r = r.select("event_id", "region", "slice", "json",
                  F.date_format("ts", "yyyy").alias("y"), F.date_format("ts", "MM").alias("m"),
-                 F.date_format("ts", "dd").alias("d"), F.lit("00").alias("h"))
-    keys = ["region", "y", "m", "d", "h", "shape"]
+                 F.date_format("ts", "dd").alias("d"), F.lit("00").alias("h"),
+                 F.floor(F.col("event_id") / CHUNK_EVENTS).alias("chunk"))
+    keys = ["region", "y", "m", "d", "h", "shape", "chunk"]
     lines = r.where(F.col("slice").isin(0, 4)).withColumn("shape", F.col("slice"))
     gz_lines = lines.where(F.col("shape") == 0).select(*keys, F.col("json").alias("value"))
     plain = lines.where(F.col("shape") == 4)

@@ -91,7 +91,9 @@ def subscription_invocations(events: DataFrame, zone: str = "offset") -> DataFra
     or one that is not a JSON object, is skipped (``skipped`` in the legacy
     summary); absent timestamps fall back to the log event's month."""
     from meterwise.sources.log_scan import _strict_parse
-    d = events.withColumn("rec", _strict_parse(F.col("message")))
+    # the parse goes through a generator so it runs once per message (a
+    # plain alias would be re-evaluated by every filter pushed below it)
+    d = events.select("*", F.explode(F.array(_strict_parse(F.col("message")))).alias("rec"))
     d = d.where(F.col("rec").isNotNull() & V.is_object(F.col("rec")))
     fallback = F.date_format(F.timestamp_millis(F.col("event_ms")), "yyyy-MM")
     return invocation.canonical(d.drop("message"), fallback, "rec", zone)
