@@ -567,7 +567,7 @@ def q_usage_month_scan(spark, sf):
     return u.select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
 
 
-def _stream_run(spark, sf, max_files=150):
+def _stream_run(spark, sf, max_files=500):
     lay = f2_layout(spark, sf)
     paths = rollup_stream.StreamPaths.under(fresh_path(spark, "runs", "stream"))
     rollup_stream.run_rollup_stream(spark, lay, paths, fx.F1_CFG, max_files_per_trigger=max_files)
@@ -587,7 +587,7 @@ def q_alerts_sink(spark, sf):
     """Alert rows the stream wrote (level, user, month, subject, body,
     attributes), one partition per micro-batch."""
     paths = _stream_run(spark, sf)
-    return spark.read.parquet(paths.alerts)
+    return rollup_stream.read_alerts(spark, paths.alerts)
 
 
 @register("late_data_policy")
@@ -596,7 +596,7 @@ def q_late_data_policy(spark, sf):
     lay = f2_layout(spark, sf)
     root = fresh_path(spark, "runs", "series")
     series_stream.run_series_stream(spark, lay, f"{root}/out", f"{root}/_checkpoint", fx.F1_CFG,
-                                    max_files_per_trigger=150)
+                                    max_files_per_trigger=500)
     s = spark.read.parquet(f"{root}/out")
     return s.withColumn("window_start", _ts_text(F.col("window_start")))
 

@@ -27,6 +27,21 @@ from meterwise.operators import alerts, metrics, rollup
 from meterwise.sources import ledger, log_scan
 
 
+# Schemas of the sink tables, so a sink with no rows yet still reads.
+ALERTS_SCHEMA = ("level string, user string, month string, run bigint, prev_cost_usd double, "
+                 "new_cost_usd double, boundary_usd double, subject string, body string, "
+                 "attributes map<string,string>, batch_id bigint")
+METRICS_SCHEMA = "dims string, name string, value double, batch_id bigint"
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ALERTS_SCHEMA).parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_SCHEMA).parquet(path)
+
+
 @dataclass(frozen=True)
 class StreamPaths:
     ledger: str
