@@ -582,6 +582,31 @@ def q_stream_rollup(spark, sf):
     return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
 
 
+@register("scheduled_rollup")
+def q_scheduled_rollup(spark, sf):
+    """ST1 as a scheduled batch run: hour-prefix listing of the scan window,
+    marker anti-join, ledger partition of the run. One catch-up run from the
+    first event hour to the last event; totals equal the one-shot rollup."""
+    from meterwise.streaming import scheduled
+    b = tables.table(spark, sf, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()[0]
+    root = fresh_path(spark, "runs", "scheduled")
+    paths = rollup_stream.StreamPaths.under(root)
+    scheduled.run_scheduled_rollup(spark, f2_layout(spark, sf), paths, f"{root}/markers", fx.F1_CFG, 1,
+                                   now=b["b"], start_ts=b["a"].replace(minute=0, second=0, microsecond=0))
+    return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+@register("stream_spend_alerts")
+def q_stream_spend_alerts(spark, sf):
+    """ST6 in a stream with keyed state (transformWithStateInPandas, RocksDB):
+    running month cost per (user, month), crossings per micro-batch."""
+    from meterwise.streaming import spend_state
+    root = fresh_path(spark, "runs", "state_alerts")
+    spend_state.run_spend_alert_stream(spark, f2_layout(spark, sf), f"{root}/alerts", f"{root}/_checkpoint",
+                                       fx.F1_CFG, max_files_per_trigger=500)
+    return spend_state.read_state_alerts(spark, f"{root}/alerts")
+
+
 @register("alerts_sink")
 def q_alerts_sink(spark, sf):
     """Alert rows the stream wrote (level, user, month, subject, body,

@@ -434,6 +434,7 @@ SELECT (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_seen,
 ORACLE["decode_subscription"] = ORACLE["decode_records"]
 ORACLE["usage_counters"] = ORACLE["usage_rollup"]
 ORACLE["stream_rollup"] = ORACLE["usage_rollup"]
+ORACLE["scheduled_rollup"] = ORACLE["usage_rollup"]
 ORACLE["usage_month_scan"] = f3_base() + f"SELECT {U}, model_id, month, {COUNTERS} FROM usage WHERE month = '{fx.F3_MONTH}'"
 ORACLE["unprocessed_objects"] = _RAW + f"SELECT DISTINCT {_OBJ} AS object_key FROM raw WHERE CAST(strftime(ts, '%d') AS INTEGER) >= 15"
 ORACLE["marker_expiry"] = f"""

@@ -73,3 +73,42 @@ def test_batch_replay_overwrites_own_partition(spark):
     rs.process_batch(files, 0, paths, CFG)        # the same batch replayed after a failure
     assert _totals(spark, paths.ledger) == once == {("dan", "x-opus", "2024-06"): (1500, 2)}
     assert rs.read_alerts(spark, paths.alerts).where("batch_id = 0").count() == 2
+
+
+def test_keyed_state_alerts_equal_ledger_alerts(spark, sf):
+    from meterwise.plans import catalog, fixtures as fx
+    from meterwise.session import fresh_path
+    from meterwise.streaming import spend_state
+    lay = catalog.f2_layout(spark, sf)
+    root = fresh_path(spark, "tests", "state")
+    paths = rs.StreamPaths.under(f"{root}/ledger_run")
+    rs.run_rollup_stream(spark, lay, paths, fx.F1_CFG, max_files_per_trigger=200)
+    spend_state.run_spend_alert_stream(spark, lay, f"{root}/alerts", f"{root}/_ck", fx.F1_CFG, max_files_per_trigger=200)
+    cols = ["user", "month", "level", "prev_cost_usd", "new_cost_usd", "boundary_usd", "batch_id"]
+    a = sorted(tuple(r) for r in rs.read_alerts(spark, paths.alerts).select(*cols).collect())
+    b = sorted(tuple(r) for r in spend_state.read_state_alerts(spark, f"{root}/alerts").select(*cols).collect())
+    assert a == b and len(a) > 0
+
+
+def test_scheduled_rollup_overlapping_windows(spark):
+    from meterwise.streaming import scheduled
+    root = tempfile.mkdtemp(prefix="mw-sched-")
+    base = f"{root}/logs/AWSLogs/1/BedrockModelInvocationLogs"
+    _write(base, "us-east-1", datetime(2024, 5, 1, 9), "a.json.gz", [_rec("alice", "x-opus", "2024-05-01T09:58:00Z", 1000)])
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "b.json.gz", [_rec("bob", "y", "2024-05-01T10:01:00Z", 10)])
+    _write(base, "us-east-1", datetime(2024, 5, 1, 7), "old.json.gz", [_rec("old", "y", "2024-05-01T07:00:00Z", 1)])
+    lay = log_scan.LogLayout(base)
+    paths = rs.StreamPaths.under(f"{root}/run")
+    markers = f"{root}/markers"
+    r1 = scheduled.run_scheduled_rollup(spark, lay, paths, markers, CFG, 1, datetime(2024, 5, 1, 10, 5))
+    assert r1["objects_processed"] == 2 and r1["hours"] == 2       # hour 7 is outside the window
+    r2 = scheduled.run_scheduled_rollup(spark, lay, paths, markers, CFG, 2, datetime(2024, 5, 1, 10, 10),
+                                        checkpoint=datetime(2024, 5, 1, 10, 5))
+    assert r2["objects_processed"] == 0                              # overlap removed by markers
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "c.json.gz", [_rec("alice", "x-opus", "2024-05-01T10:09:00Z", 2000)])
+    r3 = scheduled.run_scheduled_rollup(spark, lay, paths, markers, CFG, 3, datetime(2024, 5, 1, 10, 15),
+                                        checkpoint=datetime(2024, 5, 1, 10, 10))
+    assert r3["objects_processed"] == 1
+    assert _totals(spark, paths.ledger) == {("alice", "x-opus", "2024-05"): (3000, 2), ("bob", "y", "2024-05"): (10, 1)}
+    assert sorted((r["level"], r["batch_id"]) for r in rs.read_alerts(spark, paths.alerts).collect()) == [
+        ("BREACH", 1), ("WARN", 1)]
