@@ -24,6 +24,7 @@ HEADLINE = (
     "user_model_heatmap", "spend_histogram", "metrics_by_model", "metrics_cube", "series_5m_total",
     "spend_alerts", "token_crossings", "enforcement_decisions", "enforcement_throttle",
     "decode_records", "decode_subscription", "object_rollup", "usage_counters", "stream_rollup",
+    "scheduled_rollup",
 )
 
 

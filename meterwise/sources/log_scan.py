@@ -42,6 +42,12 @@ class LogLayout:
             return hour.strftime("y=%Y/m=%m/d=%d/h=%H")
         return hour.strftime("%Y/%m/%d/%H")
 
+    def day_glob(self, day: datetime) -> str:
+        """All hour directories of one day."""
+        if self.hive:
+            return day.strftime("y=%Y/m=%m/d=%d/h=*")
+        return day.strftime("%Y/%m/%d/*")
+
 
 def regions_to_scan(raw: str | None) -> list[str] | None:
     """``auto`` (or empty) -> None = every region present; otherwise a
@@ -104,7 +110,17 @@ def load_paths(layout: LogLayout, regions: list[str] | None, hours: list[datetim
     rdirs = [layout.region_dir(r) for r in regions] if regions else [layout.all_regions_glob()]
     if hours is None:
         return [f"{d}/*/*/*/*/**" if not layout.hive else f"{d}/*/*/*/*" for d in rdirs]
-    return [f"{d}/{layout.hour_dir(h)}" for d in rdirs for h in hours]
+    # a day whose 24 hours are all in the window is listed with one glob
+    by_day: dict = {}
+    for h in hours:
+        by_day.setdefault(h.date(), []).append(h)
+    parts = []
+    for day, hs in by_day.items():
+        if len(hs) == 24:
+            parts.append(layout.day_glob(hs[0]))
+        else:
+            parts.extend(layout.hour_dir(h) for h in hs)
+    return [f"{d}/{p}" for d in rdirs for p in parts]
 
 
 def scan_files(spark: SparkSession, paths: list[str], modified_after: datetime | None = None) -> DataFrame:
