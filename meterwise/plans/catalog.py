@@ -519,12 +519,16 @@ def q_run_summary(spark, sf):
     """Objects seen/processed, records, users touched, regions."""
     files = f2_files(spark, sf)
     inv = log_scan.decode_invocations(files, _file_month(files))
-    seen = files.agg(F.count(F.lit(1)).alias("objects_seen"),
-                     F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"))
-    done = inv.agg(F.count_distinct("path").alias("objects_processed"),
-                   F.count(F.lit(1)).alias("records_processed"),
-                   F.count_distinct("user").alias("users_touched"))
-    return seen.join(done)
+    # one aggregation over listed objects and counted records (no join)
+    rows = (files.select(F.lit("object").alias("kind"), "path", "region", F.lit(None).cast("string").alias("user"))
+                 .unionByName(inv.select(F.lit("record").alias("kind"), "path", "region", "user")))
+    obj, rec = F.col("kind") == "object", F.col("kind") == "record"
+    return rows.agg(
+        F.count_if(obj).alias("objects_seen"),
+        F.array_join(F.array_sort(F.collect_set(F.when(obj, F.col("region")))), ",").alias("regions"),
+        F.count_distinct(F.when(rec, F.col("path"))).alias("objects_processed"),
+        F.count_if(rec).alias("records_processed"),
+        F.count_distinct(F.when(rec, F.col("user"))).alias("users_touched"))
 
 
 # -------------------------------------------------------------------------
