@@ -15,7 +15,7 @@ METRIC_NAMES = ("InputTokens", "OutputTokens", "CacheWriteTokens", "CacheReadTok
 _COUNTER_COLS = (*TOKEN_COLS, "total_tokens", "invocations")
 
 
-def _measures(prefix_sum: bool = True):
+def _measures():
     return [F.sum(c).cast("bigint").alias(c) for c in _COUNTER_COLS]
 
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from meterwise.config import MeterConfig
+from meterwise.config import MeterConfig, PriceEntry
 from meterwise.functions import budget, pricing
 from meterwise.operators import alerts, dashboard, enforcement, rollup
 from meterwise.sources import ledger
@@ -28,7 +28,7 @@ def test_one_run_crosses_both(spark):  # E9
 
 
 def test_price_lookup_first_match_and_join_agree(spark):
-    cfg = MeterConfig(prices=MeterConfig().prices + (pricing.PriceEntry("x", ("9", "9")) if False else ()))
+    cfg = MeterConfig()
     df = spark.createDataFrame([("a.claude-opus-sonnet", 1_000_000, 0, 0, 0), ("zzz", 0, 1_000_000, 0, 0),
                                 (None, 0, 0, 1_000_000, 1_000_000)],
                                "model_id string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
@@ -98,3 +98,17 @@ def test_decisions_precedence(spark):  # E11 (without a failing delete: REMOVED
     assert got["carol"]["mode"] == "ERROR" and got["carol"]["reason"] == "user_unresolved"
     off = enforcement.candidates(over, CFG)
     assert off.count() == 0
+
+
+def test_large_price_table_uses_join_with_same_result(spark):
+    entries = tuple(PriceEntry(f"m{i:03d}", (str(i + 1), str(2 * i + 1))) for i in range(80))
+    cfg = MeterConfig(prices=entries + MeterConfig().prices)
+    assert len(cfg.prices) > pricing.CASE_CHAIN_LIMIT
+    df = spark.createDataFrame([(f"x-m{i:03d}-y", 1000, 10, 5, 7) for i in range(0, 80, 7)] + [("opus", 1, 1, 1, 1), ("zzz", 3, 3, 3, 3)],
+                               "model_id string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
+    joined = {r["model_id"]: r["cost"] for r in pricing.with_cost(df, cfg).collect()}
+    chain = {r["model_id"]: r["cost"] for r in df.withColumn("cost", pricing.cost_usd(
+        F.col("model_id"), [F.col(c) for c in pricing.TOKEN_COLS], cfg)).collect()}
+    assert joined == chain
+    assert joined["x-m007-y"] == (Decimal(1000) * 8 + Decimal(10) * 15 + Decimal(5) * 8 * Decimal("1.25")
+                                  + Decimal(7) * 8 * Decimal("0.10")) / Decimal(1_000_000)
