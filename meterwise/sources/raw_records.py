@@ -22,6 +22,7 @@ from meterwise.sources import tables
 # Fixed fixture values.
 ACCOUNT = "000000000000"
 REGIONS = ("us-east-1", "us-west-2", "eu-west-1")
+# The log-delivery folder layout of the cloud provider (fixed value).
 LOG_DIR = "AWSLogs/{account}/BedrockModelInvocationLogs"
 FIXTURE_VERSION = "v2"
 # records per event-id chunk; a file holds one (region, day, shape, chunk)

@@ -26,7 +26,7 @@ ORDER_MODEL = (
     ("1", "x.claude-opus-4"),
     ("2", "x.claude-sonnet-4"),
     ("3", "x.claude-haiku-4"),
-    ("4", "arn:aws:bedrock:us-east-1:000000000000:inference-profile/y.other"),
+    ("4", "arn:aws:inference:us-east-1:000000000000:inference-profile/y.other"),
     ("5", "y.other"),
 )
 

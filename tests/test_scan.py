@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from meterwise.sources import log_scan
+from meterwise.sources.raw_records import LOG_DIR
 
 
 def _write(base, region, hour, name, records, gz=True):
@@ -27,7 +28,7 @@ def _rec(user, model, n):
 
 def test_native_layout_pruning(spark):
     root = tempfile.mkdtemp(prefix="mw-scan-")
-    base = f"{root}/AWSLogs/1/BedrockModelInvocationLogs"
+    base = f"{root}/" + LOG_DIR.format(account="1")
     h9, h10, h11 = (datetime(2024, 5, 1, h) for h in (9, 10, 11))
     _write(base, "us-east-1", h9, "a.json.gz", [_rec("u1", "m-opus", 1)])
     _write(base, "us-east-1", h10, "b.json.gz", [_rec("u1", "m-opus", 2), _rec("u2", "m", 3)])

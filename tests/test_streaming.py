@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meterwise.config import MeterConfig
 from decimal import Decimal
 from meterwise.sources import ledger, log_scan
+from meterwise.sources.raw_records import LOG_DIR
 from meterwise.streaming import rollup_stream as rs
 
 CFG = MeterConfig(budget_usd=Decimal("0.01"), warn_ratio=Decimal("0.5"))
@@ -35,7 +36,7 @@ def _totals(spark, path):
 
 def test_stream_late_object_and_replay(spark):
     root = tempfile.mkdtemp(prefix="mw-stream-")
-    base = f"{root}/logs/AWSLogs/1/BedrockModelInvocationLogs"
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
     _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz",
            [_rec("alice", "x-opus", "2024-05-01T10:00:00Z", 1000), _rec("bob", "y", "2024-05-01T10:01:00Z", 10)])
     _write(base, "eu-west-1", datetime(2024, 5, 1, 11), "b.json.gz", [_rec("alice", "x-opus", "2024-05-01T11:00:00Z", 2000)])
@@ -62,7 +63,7 @@ def test_stream_late_object_and_replay(spark):
 
 def test_batch_replay_overwrites_own_partition(spark):
     root = tempfile.mkdtemp(prefix="mw-replay-")
-    base = f"{root}/logs/AWSLogs/1/BedrockModelInvocationLogs"
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
     _write(base, "us-east-1", datetime(2024, 6, 2, 3), "a.json.gz",
            [_rec("dan", "x-opus", "2024-06-02T03:00:00Z", 700), _rec("dan", "x-opus", "2024-06-02T03:05:00Z", 800)])
     lay = log_scan.LogLayout(base)
@@ -93,7 +94,7 @@ def test_keyed_state_alerts_equal_ledger_alerts(spark, sf):
 def test_scheduled_rollup_overlapping_windows(spark):
     from meterwise.streaming import scheduled
     root = tempfile.mkdtemp(prefix="mw-sched-")
-    base = f"{root}/logs/AWSLogs/1/BedrockModelInvocationLogs"
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
     _write(base, "us-east-1", datetime(2024, 5, 1, 9), "a.json.gz", [_rec("alice", "x-opus", "2024-05-01T09:58:00Z", 1000)])
     _write(base, "us-east-1", datetime(2024, 5, 1, 10), "b.json.gz", [_rec("bob", "y", "2024-05-01T10:01:00Z", 10)])
     _write(base, "us-east-1", datetime(2024, 5, 1, 7), "old.json.gz", [_rec("old", "y", "2024-05-01T07:00:00Z", 1)])
