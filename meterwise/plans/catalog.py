@@ -165,16 +165,22 @@ def q_model_totals(spark, sf):
                     pricing.usd(F.col("cost")).alias("cost_usd"))
 
 
+def f1_priced_month(spark, sf, month):
+    """Priced usage of one month; the month is pushed to the scan as a ts range."""
+    inv = tables.invocations_from_events(spark, sf, month)
+    return rollup.priced_usage(rollup.usage_rollup(inv), fx.F1_CFG)
+
+
 @register("leaderboard")
 def q_leaderboard(spark, sf):
     """Top 25 users by month spend."""
-    return leaderboard.spend_leaderboard(f1_priced(spark, sf), fx.F1_CFG, fx.F1_MONTH)
+    return leaderboard.spend_leaderboard(f1_priced_month(spark, sf, fx.F1_MONTH), fx.F1_CFG, fx.F1_MONTH)
 
 
 @register("model_leaderboard")
 def q_model_leaderboard(spark, sf):
     """Top 10 users per model."""
-    return leaderboard.model_leaderboard(f1_priced(spark, sf), fx.F1_CFG, fx.F1_MONTH)
+    return leaderboard.model_leaderboard(f1_priced_month(spark, sf, fx.F1_MONTH), fx.F1_CFG, fx.F1_MONTH)
 
 
 @register("top_users_model_month")
