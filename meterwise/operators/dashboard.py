@@ -238,3 +238,48 @@ def what_if_budget(user_spend: DataFrame, budgets: list[float], cfg: MeterConfig
     st = (F.when(frac >= 1.0, F.lit(STATUS_BREACH)).when(frac >= warn, F.lit(STATUS_WARNING))
            .otherwise(F.lit(STATUS_NORMAL)))
     return x.groupBy("budget_usd", st.alias("status")).agg(F.count(F.lit(1)).alias("users"))
+
+
+class DashboardViews:
+    """All dashboard datasets from one cached priced-detail frame.
+
+    The detail (usage rows with short model, row cost and the all-model
+    user-month spend of W1) is computed once and cached -- it is one row per
+    (user, model, month), small next to the raw logs -- and every view reads
+    it. Call :meth:`close` to release the cache.
+    """
+
+    def __init__(self, priced: DataFrame, cfg: MeterConfig, filters: DashboardFilters | None = None):
+        self.cfg = cfg
+        self.filters = filters or DashboardFilters()
+        self.detail = with_user_spend(detail_frame(priced), cfg).cache()
+        self.filtered = apply_filters(self.detail, self.filters)
+
+    def users(self) -> DataFrame:
+        return user_spend_table(self.filtered, self.cfg)
+
+    def kpis(self) -> DataFrame:
+        return kpi_tiles(self.filtered, self.cfg)
+
+    def top_users(self) -> DataFrame:
+        return top_n_with_others(self.filtered, "user", self.cfg.top_n, ["cost", "total_tokens"])
+
+    def top_models(self) -> DataFrame:
+        return top_n_with_others(self.filtered, "model", self.cfg.top_n, ["cost", "input_tokens", "output_tokens"])
+
+    def heatmap(self) -> DataFrame:
+        return user_model_heatmap(self.filtered, self.cfg.top_n)
+
+    def histogram(self, bins: int = 40) -> DataFrame:
+        return spend_histogram(self.users(), bins)
+
+    def notices(self, selected: DataFrame, actor: str) -> DataFrame:
+        return usage_notices(self.users(), self.filtered, selected, self.cfg, actor)
+
+    def export_csv(self, path: str) -> None:
+        cols = ["user", "month", "cost_usd", "pct_display", "status", "total_tokens", "input_tokens",
+                "output_tokens", "invocations"]
+        self.users().select(*cols).write.mode("overwrite").option("header", True).csv(path)
+
+    def close(self) -> None:
+        self.detail.unpersist()

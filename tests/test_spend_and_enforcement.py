@@ -112,3 +112,17 @@ def test_large_price_table_uses_join_with_same_result(spark):
     assert joined == chain
     assert joined["x-m007-y"] == (Decimal(1000) * 8 + Decimal(10) * 15 + Decimal(5) * 8 * Decimal("1.25")
                                   + Decimal(7) * 8 * Decimal("0.10")) / Decimal(1_000_000)
+
+
+def test_dashboard_views_share_one_cached_detail(spark, sf):
+    from meterwise.plans import catalog, fixtures as fx
+    v = dashboard.DashboardViews(catalog.f1_priced(spark, sf), fx.F1_CFG, fx.TABLE_FILTERS)
+    try:
+        k = v.kpis().collect()[0]
+        assert k["users"] == v.users().select("user").distinct().count()
+        top = v.top_users().collect()
+        assert abs(sum(r["cost_usd"] for r in top) - k["total_spend_usd"]) < 1e-9
+        assert v.heatmap().count() == min(fx.F1_CFG.top_n, k["users"]) * k["models"]
+        assert v.histogram().agg(F.sum("users")).collect()[0][0] == v.users().count()
+    finally:
+        v.close()
