@@ -150,3 +150,17 @@ def latest_audit(audit: DataFrame) -> DataFrame:
     """The last audit row per (user, month)."""
     g = audit.groupBy("user", "month").agg(F.max_by(F.struct("mode", "at", "expire_at", "detail"), F.col("at")).alias("a"))
     return g.select("user", "month", "a.mode", "a.at", "a.expire_at", "a.detail")
+
+
+def notices(throttled: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFrame:
+    """P16 + S12: the enforcement notices that are actually sent (notify),
+    with subject, body and attributes user / level / kind."""
+    d = throttled.where(F.col("notify"))
+    return d.select(
+        "user", "month", F.col(at_col).alias("at"), F.col("mode").alias("level"),
+        text.enforcement_subject(F.col("mode"), F.col("user"), F.col("month"), cfg.alert_label).alias("subject"),
+        text.enforcement_body(F.col("mode"), F.col("user"), F.col("user_id"), F.col("month"),
+                              text.group_list(F.col("removed")), text.group_list(F.col("dryrun")),
+                              text.group_list(F.col("errored"))).alias("body"),
+        F.create_map(F.lit("user"), F.col("user"), F.lit("level"), F.col("mode"),
+                     F.lit("kind"), F.lit("enforcement")).alias("attributes"))

@@ -34,8 +34,10 @@ def metrics_by_model(model_totals: DataFrame) -> DataFrame:
 
 def metrics_cube(inv: DataFrame) -> DataFrame:
     """A5: CUBE(user, model_id) -- dimension sets [model], [user],
-    [user, model], [] -- with six token/invocation measures."""
-    d = inv.withColumn("total_tokens", sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0])))
+    [user, model], [] -- with six token/invocation measures. The per-event
+    total is clamped at 0 for the metric (P13, legacy)."""
+    d = inv.withColumn("total_tokens", F.greatest(sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0])),
+                                                  F.lit(0).cast("bigint")))
     g = d.cube("user", "model_id").agg(
         *[F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLS, "total_tokens")],
         F.count(F.lit(1)).alias("invocations"), F.grouping_id().alias("grouping_id"))

@@ -735,6 +735,14 @@ def q_enforcement_throttle(spark, sf):
     return t.select("user", "month", _ts_text(F.col("at")).alias("at"), "mode", "notify")
 
 
+@register("enforcement_notices")
+def q_enforcement_notices(spark, sf):
+    """Enforcement notices that pass the throttle."""
+    t = enforcement.throttle(_audit_history(spark, sf), fx.ENFORCE_CFG)
+    n = enforcement.notices(t, fx.ENFORCE_CFG)
+    return n.select("user", "month", _ts_text(F.col("at")).alias("at"), "level", "subject", "body")
+
+
 @register("enforcement_audit")
 def q_enforcement_audit(spark, sf):
     """S11 + J8: audit table (partitioned by month) and its latest row per

@@ -309,7 +309,7 @@ _MBM = f""",{_MT},
 ORACLE["metrics_by_model"] = f1_base() + _MBM + "SELECT * FROM mbm"
 
 ORACLE["metrics_cube"] = f"""
-WITH inv AS ({INV_EVENTS}), t AS (SELECT *, {' + '.join(TOK)} AS total_tokens FROM inv)
+WITH inv AS ({INV_EVENTS}), t AS (SELECT *, greatest({' + '.join(TOK)}, 0) AS total_tokens FROM inv)
 SELECT {U}, model_id, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in (*TOK, 'total_tokens'))},
        CAST(count(*) AS BIGINT) AS invocations, CAST(grouping({U}, model_id) AS INTEGER) AS grouping_id
 FROM t GROUP BY CUBE ({U}, model_id)"""
@@ -532,3 +532,28 @@ ORACLE["enforcement_audit"] = f1_base(_EC) + _enforce_ctes() + _HIST + f"""
 SELECT {U}, month, any_value(mode) AS mode, {ts_text('max(at_ts)')} AS "at",
        {ts_text(f'max(at_ts) + INTERVAL {int(_EC.audit_ttl_days)} DAY')} AS expire_at, any_value(user_id) AS user_id
 FROM hist GROUP BY {U}, month"""
+
+ORACLE["enforcement_notices"] = f1_base(_EC) + _enforce_ctes() + _HIST + f""",
+ l AS (SELECT *, lag(mode) OVER w AS prev_mode, lag(at_ts) OVER w AS prev_at FROM hist
+       WINDOW w AS (PARTITION BY {U}, month ORDER BY at_ts)),
+ n AS (SELECT l.*, d.dryrun_groups, d.removed_groups, d.errored_groups FROM l
+       JOIN decs d ON d.{U} = l.{U} AND d.month = l.month
+       WHERE CASE WHEN l.mode = 'REMOVED' THEN l.notifiable
+                  WHEN l.mode IN ('DRYRUN', 'ERROR') THEN l.notifiable AND NOT coalesce(l.prev_mode = l.mode AND
+                       epoch(l.at_ts) - epoch(l.prev_at) < {int(_EC.renotify_hours) * 3600}, FALSE)
+                  ELSE FALSE END)
+SELECT {U}, month, {ts_text('at_ts')} AS "at", mode AS level,
+       substr(CASE mode WHEN 'REMOVED' THEN '[{_EC.alert_label} ENFORCE] Removed ' || {U} || ' from group(s) ('
+                        WHEN 'DRYRUN' THEN '[{_EC.alert_label} ENFORCE dry-run] WOULD remove ' || {U} || ' ('
+                        ELSE '[{_EC.alert_label} ENFORCE error] Failed enforcing ' || {U} || ' (' END || month || ')', 1, 100) AS subject,
+       'Budget enforcement ran for an over-budget user.' || chr(10) || chr(10) ||
+       '  User          : ' || {U} || chr(10) ||
+       '  User ID       : ' || coalesce(user_id, '') || chr(10) ||
+       '  Month         : ' || month || chr(10) ||
+       CASE mode WHEN 'REMOVED' THEN '  Action        : REMOVED from group membership(s)' || chr(10) || '  Groups        : ' || removed_groups || chr(10) ||
+                      chr(10) || 'This is reversible: re-add the user to the group(s) above to restore access.' || chr(10)
+                 WHEN 'DRYRUN' THEN '  Action        : DRY-RUN (no change made)' || chr(10) || '  Would remove  : ' || dryrun_groups || chr(10) ||
+                      chr(10) || 'Dry-run is ON, so no membership was changed.' || chr(10)
+                 ELSE '  Action        : ERROR (enforcement failed)' || chr(10) || '  Failed groups : ' || errored_groups || chr(10) ||
+                      chr(10) || 'Enforcement will be retried on the next run.' || chr(10) END AS body
+FROM n"""
