@@ -55,20 +55,29 @@ class StreamPaths:
 
 
 def log_stream(spark: SparkSession, layout: log_scan.LogLayout, max_files_per_trigger: int = 1000,
-               start_ts: datetime | None = None) -> DataFrame:
+               start_ts: datetime | None = None, robust: bool = False) -> DataFrame:
     """File stream of whole log objects with path and modification time.
 
     ``maxFilesPerTrigger`` bounds each micro-batch (the catch-up cap of
     ST10); ``start_ts`` drops objects modified before it (the 7-day cap) --
     the file source itself refuses ``modifiedAfter``.
     """
-    src = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
-           .option("recursiveFileLookup", "true")
-           .text(layout.base, wholetext=True))
-    src = src.select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_modification_time").alias("modified"),
-                     F.col("_metadata.file_size").alias("size"),
-                     F.col("value").alias("text"))
+    reader = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+              .option("recursiveFileLookup", "true"))
+    if robust:
+        # bytes + vectorised gunzip with raw-text fallback (see scan_files_robust)
+        b = (reader.format("binaryFile")
+                   .schema("path string, modificationTime timestamp, length long, content binary")
+                   .load(layout.base)).select(
+            "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+        src = b.mapInPandas(log_scan._decompress, "path string, modified timestamp, size long, text string, "
+                                                  "read_error string").drop("read_error")
+    else:
+        src = reader.text(layout.base, wholetext=True)
+        src = src.select(F.col("_metadata.file_path").alias("path"),
+                         F.col("_metadata.file_modification_time").alias("modified"),
+                         F.col("_metadata.file_size").alias("size"),
+                         F.col("value").alias("text"))
     if start_ts is not None:
         src = src.where(F.col("modified") >= F.lit(start_ts))
     return src
@@ -111,11 +120,11 @@ def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: Mete
 
 def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, cfg: MeterConfig,
                       max_files_per_trigger: int = 1000, start_ts: datetime | None = None,
-                      available_now: bool = True, processing_time: str | None = None):
+                      available_now: bool = True, processing_time: str | None = None, robust: bool = False):
     """Start the rollup stream; with ``available_now`` it processes what is
     there in bounded batches and stops (tests, catch-up), otherwise it runs
     on ``processing_time`` (e.g. ``'5 minutes'``)."""
-    src = log_stream(spark, layout, max_files_per_trigger, start_ts)
+    src = log_stream(spark, layout, max_files_per_trigger, start_ts, robust)
     w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg))
             .option("checkpointLocation", paths.checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or cfg.schedule)

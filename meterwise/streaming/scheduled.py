@@ -39,12 +39,15 @@ def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) ->
 
 def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, markers_path: str,
                          cfg: MeterConfig, run_id: int, now: datetime, checkpoint: datetime | None = None,
-                         regions: list[str] | None = None, start_ts: datetime | None = None) -> dict:
+                         regions: list[str] | None = None, start_ts: datetime | None = None,
+                         robust: bool = False) -> dict:
     """One scheduled run. ``start_ts`` (a first run or a deliberate
     catch-up) replaces the look-back rule for the cut-off."""
     cutoff = start_ts if start_ts is not None else cutoff_for(now, checkpoint, cfg)
     hours = log_scan.hour_prefixes(cutoff, now)
-    files = log_scan.scan_files(spark, log_scan.load_paths(layout, regions, hours))
+    listed = log_scan.load_paths(layout, regions, hours)
+    files = (log_scan.scan_files_robust(spark, listed).drop("read_error") if robust
+             else log_scan.scan_files(spark, listed))
     files = files.where(F.col("modified") >= F.lit(cutoff)).dropDuplicates(["path"])
     if glob_exists(spark, f"{markers_path}/day=*"):
         since = (now - timedelta(days=cfg.marker_ttl_days)).date()

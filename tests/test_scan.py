@@ -56,3 +56,21 @@ def test_scan_window(spark):
     got = [r[0] for r in df.select(log_scan.scan_window(F.col("now"), F.col("ck"), 15, 7 * 24 * 60)).collect()]
     assert got == [datetime(2024, 5, 10, 11, 45), datetime(2024, 5, 10, 11), datetime(2024, 5, 10, 11, 45),
                    datetime(2024, 5, 3, 12)]
+
+
+def test_robust_scan_plain_and_truncated_gzip(spark):
+    root = tempfile.mkdtemp(prefix="mw-robust-")
+    base = f"{root}/" + LOG_DIR.format(account="1")
+    h = datetime(2024, 5, 1, 9)
+    _write(base, "us-east-1", h, "good.json.gz", [_rec("u1", "m", 1), _rec("u2", "m", 2)])
+    _write(base, "us-east-1", h, "plain.json.gz", [_rec("u3", "m", 3)], gz=False)   # not gzip despite the name
+    d = os.path.join(base, "us-east-1", h.strftime("%Y/%m/%d/%H"))
+    whole = gzip.compress(("\n".join(json.dumps(_rec("u4", "m", 4)) for _ in range(50))).encode())
+    with open(os.path.join(d, "cut.json.gz"), "wb") as f:
+        f.write(whole[: len(whole) // 2])                                          # truncated archive
+    lay = log_scan.LogLayout(base)
+    files = log_scan.scan_files_robust(spark, log_scan.load_paths(lay, None, [h]))
+    errs = {os.path.basename(r["path"]): r["read_error"] for r in files.collect()}
+    assert errs["good.json.gz"] is None and errs["plain.json.gz"] is None and errs["cut.json.gz"].startswith("gzip")
+    inv = log_scan.decode_invocations(log_scan.with_path_parts(files.drop("read_error")), F.lit("1999-01"))
+    assert sorted(r["user"] for r in inv.collect()) == ["u1", "u2", "u3"]

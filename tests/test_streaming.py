@@ -113,3 +113,15 @@ def test_scheduled_rollup_overlapping_windows(spark):
     assert _totals(spark, paths.ledger) == {("alice", "x-opus", "2024-05"): (3000, 2), ("bob", "y", "2024-05"): (10, 1)}
     assert sorted((r["level"], r["batch_id"]) for r in rs.read_alerts(spark, paths.alerts).collect()) == [
         ("BREACH", 1), ("WARN", 1)]
+
+
+def test_robust_stream_reads_plain_gz_named_object(spark):
+    root = tempfile.mkdtemp(prefix="mw-robust-stream-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz", [_rec("alice", "x-opus", "2024-05-01T10:00:00Z", 5)])
+    d = os.path.join(base, "us-east-1", "2024/05/01/10")
+    with open(os.path.join(d, "plain.json.gz"), "w") as f:
+        f.write(json.dumps(_rec("bob", "y", "2024-05-01T10:02:00Z", 6)))
+    paths = rs.StreamPaths.under(f"{root}/run")
+    rs.run_rollup_stream(spark, log_scan.LogLayout(base), paths, CFG, robust=True)
+    assert _totals(spark, paths.ledger) == {("alice", "x-opus", "2024-05"): (5, 1), ("bob", "y", "2024-05"): (6, 1)}
