@@ -125,3 +125,20 @@ def test_robust_stream_reads_plain_gz_named_object(spark):
     paths = rs.StreamPaths.under(f"{root}/run")
     rs.run_rollup_stream(spark, log_scan.LogLayout(base), paths, CFG, robust=True)
     assert _totals(spark, paths.ledger) == {("alice", "x-opus", "2024-05"): (5, 1), ("bob", "y", "2024-05"): (6, 1)}
+
+
+def test_rollup_job_keeps_high_water_mark(spark):
+    from meterwise import jobs
+    root = tempfile.mkdtemp(prefix="mw-job-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="7")
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz", [_rec("alice", "x-opus", "2024-05-01T10:00:00Z", 5)])
+    work = f"{root}/work"
+    s1 = jobs.rollup_run(spark, f"{root}/logs", "7", work, CFG, now=datetime(2024, 5, 1, 10, 5))
+    assert s1["run_id"] == 1 and s1["objects_processed"] == 1
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "b.json.gz", [_rec("alice", "x-opus", "2024-05-01T10:06:00Z", 7)])
+    s2 = jobs.rollup_run(spark, f"{root}/logs", "7", work, CFG, now=datetime(2024, 5, 1, 10, 10))
+    assert s2["run_id"] == 2 and s2["objects_processed"] == 1
+    assert s2["cutoff"] == "2024-05-01T09:55:00"          # min(checkpoint 10:05, now - 15 min)
+    assert _totals(spark, f"{work}/ledger") == {("alice", "x-opus", "2024-05"): (12, 2)}
+    jobs.report(spark, work, "2024-05", f"{root}/report", CFG)
+    assert spark.read.parquet(f"{root}/report/leaderboard").count() == 1
