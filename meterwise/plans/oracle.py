@@ -11,6 +11,7 @@ from meterwise.functions.budget import sql_fraction_status, sql_status
 from meterwise.functions.models import sql_short_model
 from meterwise.functions.pricing import sql_cost
 from meterwise.plans import fixtures as fx
+from meterwise.sources.raw_records import CHUNK_EVENTS
 from meterwise.sources.tables import EVENT_MODEL, ORDER_MODEL, OTHER_MODEL
 
 TOK = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")
@@ -387,7 +388,7 @@ _REG = "(CASE event_id % 3 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' ELSE
 _RAW = f"WITH inv AS ({INV_EVENTS}),\n raw AS (SELECT inv.*, e.event_id, e.user_id, {_REG} AS region, e.event_id % 5 AS slice FROM inv JOIN events e ON e.event_id = inv.record_id)\n"
 _INV_OUT = f"'req-' || CAST(event_id AS VARCHAR) AS request_id, {ts_text('ts')} AS ts, {U}, model_id, month, {', '.join(TOK)}"
 _OBJ = (f"{_REG} || '/' || strftime(ts, '%Y/%m/%d') || '/00/' || CAST(event_id % 5 AS VARCHAR) || '-' || "
-        f"CAST(event_id // 1000 AS VARCHAR)")
+        f"CAST(event_id // {CHUNK_EVENTS} AS VARCHAR)")
 
 ORACLE["decode_records"] = _RAW + f"SELECT {_INV_OUT} FROM raw"
 ORACLE["region_pruned_scan"] = _RAW + f"SELECT {_INV_OUT} FROM raw WHERE region IN ('us-east-1', 'eu-west-1')"

@@ -4,7 +4,7 @@ Built by Spark from ``events`` (``to_json(struct(...))``), so it grows with
 the table. Record variant and file shape both follow ``event_id % 5``,
 the region follows ``event_id % 3``. Decoding must give F1 back exactly.
 
-    (files: one per region, day, shape and 1000-event-id chunk)
+    (files: one per region, day, shape and 5000-event-id chunk)
     slice 0  top-level counts (numbers), arn assumed-role;   JSON lines, gzip
     slice 1  alternate names as numeric strings, arn user/;  JSON array, gzip
     slice 2  counts only in an object body usage, callerArn;  {"records": [...]}, gzip
@@ -24,9 +24,9 @@ ACCOUNT = "000000000000"
 REGIONS = ("us-east-1", "us-west-2", "eu-west-1")
 # The log-delivery folder layout of the cloud provider (fixed value).
 LOG_DIR = "AWSLogs/{account}/BedrockModelInvocationLogs"
-FIXTURE_VERSION = "v2"
+FIXTURE_VERSION = "v3"
 # records per event-id chunk; a file holds one (region, day, shape, chunk)
-CHUNK_EVENTS = 1000
+CHUNK_EVENTS = 5000
 BAD_LINE = '{"truncated": '
 
 
