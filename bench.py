@@ -1,8 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query runs to completion into Spark's ``noop`` sink (full execution,
-nothing collected). The raw-log fixture is written once before timing
-(data preparation, not a query). Prints ONE JSON line.
+nothing collected). The raw-log files and subscription envelopes are written once before timing
+(data preparation, not a query), as are the subscription envelopes. Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="meterwise-bench", shuffle_partitions=int(cpus) * 2,
                           extra={"spark.driver.memory": "16g"})
     raw_records.write_log_fixture(spark, sf_dir)
+    raw_records.write_envelope_fixture(spark, sf_dir)
     REGISTRY["user_month_spend"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times: dict[str, float] = {}
     for n in names:

@@ -547,8 +547,9 @@ from meterwise.streaming import rollup_stream, series_stream  # noqa: E402
 
 @register("decode_subscription")
 def q_decode_subscription(spark, sf):
-    """base64+gzip envelopes -> log events -> invocations."""
-    env = subscription.encode_envelopes(raw_records.raw_records(spark, sf))
+    """base64+gzip envelopes (written once by Spark from events) ->
+    log events -> invocations."""
+    env = spark.read.parquet(raw_records.write_envelope_fixture(spark, sf))
     ev = subscription.decode_envelopes(env)
     return _inv_out(subscription.subscription_invocations(ev))
 

@@ -143,3 +143,15 @@ def write_log_fixture(spark: SparkSession, sf_dir: str, force: bool = False) ->
     (plain_lines.repartition(*keys).write.mode("append").partitionBy(*keys).text(base))
     spark.createDataFrame([("ok",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_DONE")
     return root
+
+
+def write_envelope_fixture(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
+    """Subscription payloads (base64 of gzip) built from the raw records,
+    written once per ``sf_dir`` as parquet; returns the table path."""
+    from meterwise.sources import subscription
+    tag = sf_dir.rstrip("/").replace("/", "_").strip("_")
+    path = work_path(spark, "fixtures", FIXTURE_VERSION, tag, "envelopes")
+    if not force and path_exists(spark, f"{path}/_SUCCESS"):
+        return path
+    subscription.encode_envelopes(raw_records(spark, sf_dir)).write.mode("overwrite").parquet(path)
+    return path
