@@ -93,8 +93,9 @@ def resolve_rates_join(df: DataFrame, cfg: MeterConfig, model_col: str = "model_
     spark = df.sparkSession
     prices = price_frame(spark, cfg)
     models = df.select(F.col(model_col).alias("_mid")).distinct()
+    from meterwise.functions.broadcast import bounded
     m = models.join(
-        F.broadcast(prices),
+        bounded(prices, len(cfg.prices) + 1),
         F.col("pattern").isNull()
         | F.lower(F.coalesce(F.col("_mid"), F.lit(""))).contains(F.col("pattern")),
         "inner")

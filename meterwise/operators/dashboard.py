@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterwise.config import STATUS_BREACH, STATUS_NORMAL, STATUS_WARNING, MeterConfig
-from meterwise.functions import budget, pricing
+from meterwise.functions import broadcast as bc, budget, pricing
 from meterwise.functions.models import short_model
 from meterwise.functions.pricing import TOKEN_COLS
 
@@ -133,7 +133,7 @@ def top_n_with_others(d: DataFrame, group_col: str, n: int, value_cols: list[str
                   .select(group_col, value_cols[0]))
     top = top.withColumn("rank", F.row_number().over(
         Window.orderBy(F.col(value_cols[0]).desc(), F.col(group_col).asc()))).drop(value_cols[0])
-    lab = grouped.join(F.broadcast(top), group_col, "left")
+    lab = grouped.join(bc.bounded(top, n), group_col, "left")
     is_other = F.col("rank").isNull()
     folded = lab.groupBy(F.when(is_other, F.lit(None)).otherwise(F.col(group_col)).alias("_g"),
                          F.coalesce(F.col("rank"), F.lit(n + 1)).alias("rank")).agg(
@@ -166,7 +166,7 @@ def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
     does not run an extra distinct job; ``unpivot`` returns the long form.
     """
     top = top_users(d, n)
-    rows = d.join(F.broadcast(top), "user", "left_semi")
+    rows = d.join(bc.bounded(top, n), "user", "left_semi")
     models = [r[0] for r in rows.select("model").distinct().orderBy("model").limit(PIVOT_MAX_VALUES + 1).collect()]
     if len(models) > PIVOT_MAX_VALUES:
         raise ValueError("too many models for a pivot")
@@ -175,7 +175,7 @@ def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
     wide = rows.groupBy("user").pivot("model", models).agg(F.sum("cost"))
     wide = wide.select("user", *[pricing.usd(F.coalesce(F.col(f"`{m}`"), F.lit(0))).alias(m) for m in models])
     long = wide.unpivot(["user"], [F.col(f"`{m}`") for m in models], "model", "cost_usd")
-    return (long.join(F.broadcast(top), "user")
+    return (long.join(bc.bounded(top, n), "user")
                 .withColumn("log_cost", F.bround(F.log1p(F.col("cost_usd")), 12)))
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from meterwise.config import UNKNOWN_USER, MeterConfig
-from meterwise.functions import text
+from meterwise.functions import broadcast as bc, text
 
 MAX_TARGETS = 1000
 ENTRY = "struct<ord:int,group:string,group_id:string,membership_id:string,reason:string>"
@@ -34,7 +34,7 @@ def candidates(over_budget: DataFrame, cfg: MeterConfig) -> DataFrame:
     d = over_budget.where(F.col("user").isNotNull() & ~F.col("user").isin(UNKNOWN_USER, ""))
     if cfg.allow_list:
         allow = spark.createDataFrame([(u,) for u in cfg.allow_list], "user string")
-        d = d.join(F.broadcast(allow), "user", "left_anti")
+        d = d.join(bc.bounded(allow, len(cfg.allow_list)), "user", "left_anti")
     return d
 
 
@@ -74,7 +74,7 @@ def decisions(cands: DataFrame, users: DataFrame, memberships: DataFrame, target
     tdf = targets.select("ord", F.col("label").alias("group"), "group_id")
     mem = (res.where(F.col("user_id").isNotNull()).select("user", "month", "user_id")
               .join(memberships, "user_id")
-              .join(F.broadcast(tdf), "group_id")
+              .join(bc.bounded(tdf, len(tl)), "group_id")
               .groupBy("user", "month")
               .agg(F.sort_array(F.collect_list(F.struct(
                   F.col("ord"), F.col("group"), F.col("group_id"), F.col("membership_id"),

@@ -125,7 +125,10 @@ def q_price_table(spark, sf):
     matched = per_model.withColumn("pattern", pricing.matched_pattern(F.col("model_id"), fx.F1_CFG))
     counts = matched.groupBy("pattern").agg(F.sum("n").cast("bigint").alias("invocations"))
     p = pricing.price_frame(spark, fx.F1_CFG)
-    j = p.join(F.broadcast(counts), p["pattern"].eqNullSafe(counts["pattern"]), "left").drop(counts["pattern"])
+    from meterwise.functions.broadcast import bounded
+    # counts has at most one row per price pattern (+ the fallback row)
+    j = p.join(bounded(counts, len(fx.F1_CFG.prices) + 1), p["pattern"].eqNullSafe(counts["pattern"]),
+               "left").drop(counts["pattern"])
     return j.select("priority", "pattern", *[F.col(n).cast("double").alias(n) for n in pricing.RATE_NAMES],
                     F.coalesce(F.col("invocations"), F.lit(0).cast("bigint")).alias("invocations"))
 
