@@ -302,7 +302,7 @@ _MT = f"""
                round_even({sql_cost('model_id', [f'sum({t})' for t in TOK], fx.F1_CFG)}, 4) AS cost4
         FROM usage GROUP BY model_id)"""
 _MBM = f""",{_MT},
- mbm AS (SELECT model_id, CAST(0 AS INTEGER) AS grouping_id, {COUNTERS}, {usd('cost4')} AS cost_usd FROM mt
+ mbm AS (SELECT model_id, CAST(0 AS BIGINT) AS grouping_id, {COUNTERS}, {usd('cost4')} AS cost_usd FROM mt
          UNION ALL
          SELECT NULL, 1, {', '.join(f'CAST(sum({c}) AS BIGINT)' for c in (*TOK, 'total_tokens', 'invocations'))},
                 {usd('sum(cost4)')} FROM mt)
@@ -312,7 +312,7 @@ ORACLE["metrics_by_model"] = f1_base() + _MBM + "SELECT * FROM mbm"
 ORACLE["metrics_cube"] = f"""
 WITH inv AS ({INV_EVENTS}), t AS (SELECT *, greatest({' + '.join(TOK)}, 0) AS total_tokens FROM inv)
 SELECT {U}, model_id, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in (*TOK, 'total_tokens'))},
-       CAST(count(*) AS BIGINT) AS invocations, CAST(grouping({U}, model_id) AS INTEGER) AS grouping_id
+       CAST(count(*) AS BIGINT) AS invocations, CAST(grouping({U}, model_id) AS BIGINT) AS grouping_id
 FROM t GROUP BY CUBE ({U}, model_id)"""
 
 
