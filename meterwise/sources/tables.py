@@ -34,9 +34,20 @@ INVOCATION_COLS = ("record_id", "ts", "user", "model_id", "month", "input_tokens
                    "output_tokens", "cache_write_tokens", "cache_read_tokens")
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (read-only input). The DataFrame is reused per session,
+    so its footer/schema is resolved once, not on every query."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _map_values(col: Column, pairs, default: str | None) -> Column:
