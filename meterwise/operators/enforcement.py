@@ -12,7 +12,7 @@ lists are bounded by the number of targets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meterwise.config import UNKNOWN_USER, MeterConfig
 from meterwise.functions import broadcast as bc, text
@@ -21,10 +21,6 @@ MAX_TARGETS = 1000
 ENTRY = "struct<ord:int,group:string,group_id:string,membership_id:string,reason:string>"
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def candidates(over_budget: DataFrame, cfg: MeterConfig) -> DataFrame:
     """F9 + F10: over-budget (user, month) pairs that may be enforced:
     feature configured, not allow-listed, not unknown/empty/null."""

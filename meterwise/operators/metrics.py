@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meterwise.config import MeterConfig
 from meterwise.functions import pricing
 from meterwise.functions.pricing import TOKEN_COLS
 

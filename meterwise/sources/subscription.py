@@ -13,7 +13,7 @@ import gzip
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from meterwise.functions import invocation, variant as V
 

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from meterwise.config import MeterConfig
 from meterwise.operators import alerts, dashboard

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterwise.config import MeterConfig, PriceEntry
 from meterwise.functions import budget, pricing
-from meterwise.operators import alerts, dashboard, enforcement, rollup
+from meterwise.operators import alerts, dashboard, enforcement
 from meterwise.sources import ledger
 from meterwise.session import fresh_path
 

@@ -6,7 +6,6 @@ import os
 import tempfile
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from meterwise.config import MeterConfig
 from decimal import Decimal
