@@ -245,6 +245,33 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
     return out
 
 
+def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """JSON-lines mode of S1: one row per line through Spark's line reader.
+
+    For layouts known to hold JSON lines only, this replaces the whole-text
+    read: uncompressed objects are split across tasks at any size (a whole
+    text must fit one task and one string). Line breaks are LF, CR or CRLF.
+    """
+    from meterwise.session import glob_exists
+    paths = [p for p in paths if glob_exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "path string, modified timestamp, size long, line string")
+    df = spark.read.option("recursiveFileLookup", "true").text(paths)
+    return df.select(F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_modification_time").alias("modified"),
+                     F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+
+
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """Lines -> one row per record (VARIANT ``rec``); blank lines skipped,
+    ``malformed`` = 1 for a line that is not exactly one JSON object."""
+    t = F.trim(F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""))
+    d = lines.where(t != "").select(*[c for c in lines.columns if c != "line"],
+                                    F.explode(F.array(_strict_parse(t))).alias("rec"))
+    ok = F.col("rec").isNotNull() & V.is_object(F.col("rec"))
+    return d.withColumn("malformed", F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("bigint"))
+
+
 def records_only(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("rec").isNotNull() & V.is_object(F.col("rec"))).drop("malformed")
 
@@ -253,3 +280,9 @@ def decode_invocations(files: DataFrame, fallback_month: Column, zone: str = "of
     """Objects -> canonical invocations (schema-type filter applied)."""
     recs = records_only(decode_records(files))
     return invocation.canonical(recs, fallback_month, "rec", zone)
+
+
+def decode_invocations_lines(lines: DataFrame, fallback_month: Column, zone: str = "offset") -> DataFrame:
+    """JSON-lines mode: lines -> canonical invocations."""
+    recs = decode_lines(lines).where(F.col("malformed") == 0).drop("malformed")
+    return invocation.canonical(recs, fallback_month, "rec", zone)

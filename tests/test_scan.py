@@ -74,3 +74,15 @@ def test_robust_scan_plain_and_truncated_gzip(spark):
     assert errs["good.json.gz"] is None and errs["plain.json.gz"] is None and errs["cut.json.gz"].startswith("gzip")
     inv = log_scan.decode_invocations(log_scan.with_path_parts(files.drop("read_error")), F.lit("1999-01"))
     assert sorted(r["user"] for r in inv.collect()) == ["u1", "u2", "u3"]
+
+
+def test_json_lines_mode_equals_whole_text_decode(spark, sf):
+    from meterwise.plans import catalog
+    lay = catalog.f2_layout(spark, sf)
+    paths = [f"{lay.base}/*/*/*/*/*/shape={s}" for s in (0, 4)]      # the JSON-lines objects of the fixture
+    whole = log_scan.records_only(log_scan.decode_records(log_scan.scan_files(spark, paths)))
+    lines = log_scan.decode_lines(log_scan.scan_lines(spark, paths))
+    key = lambda df: sorted(r[0] for r in df.select(F.to_json("rec")).collect())
+    assert key(lines.where("malformed = 0")) == key(whole)
+    bad = lines.where("malformed = 1").count()
+    assert bad == log_scan.scan_files(spark, [paths[1]]).count()                 # one bad line per plain object
