@@ -141,3 +141,19 @@ def test_rollup_job_keeps_high_water_mark(spark):
     assert _totals(spark, f"{work}/ledger") == {("alice", "x-opus", "2024-05"): (12, 2)}
     jobs.report(spark, work, "2024-05", f"{root}/report", CFG)
     assert spark.read.parquet(f"{root}/report/leaderboard").count() == 1
+
+
+def test_processing_time_trigger(spark):
+    root = tempfile.mkdtemp(prefix="mw-trigger-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
+    _write(base, "us-east-1", datetime(2024, 7, 1, 8), "a.json.gz", [_rec("erin", "y", "2024-07-01T08:00:00Z", 11)])
+    paths = rs.StreamPaths.under(f"{root}/run")
+    q = rs.run_rollup_stream(spark, log_scan.LogLayout(base), paths, CFG, available_now=False,
+                             processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        _write(base, "eu-west-1", datetime(2024, 7, 1, 9), "b.json.gz", [_rec("erin", "y", "2024-07-01T09:00:00Z", 4)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert _totals(spark, paths.ledger) == {("erin", "y", "2024-07"): (15, 2)}
