@@ -87,7 +87,8 @@ def _priced_partials(df: DataFrame, cfg: MeterConfig) -> DataFrame:
     return pricing.with_cost(df, cfg)
 
 
-def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig) -> None:
+def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
+                  ledger_alerts: bool = True) -> None:
     spark = batch.sparkSession
     files = log_scan.with_path_parts(batch)
     inv = log_scan.decode_invocations(files, F.date_format(F.col("modified"), "yyyy-MM"), cfg.month_zone)
@@ -95,37 +96,56 @@ def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: Mete
     try:
         parts = ledger.batch_partials(inv)
         ledger.write_partials(parts, paths.ledger)
-        # prev / new month spend of the users touched by this batch
-        touched = _priced_partials(parts, cfg).groupBy("user", "month").agg(F.sum("cost").alias("delta"))
-        months = [r[0] for r in touched.select("month").distinct().collect()]
-        led = _priced_partials(ledger.read_partials(spark, paths.ledger).where(F.col("month").isin(months)), cfg)
-        led = led.join(touched.select("user", "month"), ["user", "month"], "left_semi")
-        b = F.lit(int(batch_id))
-        tot = led.groupBy("user", "month").agg(
-            F.sum(F.when(F.col("batch_id") < b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("prev_raw"),
-            F.sum(F.when(F.col("batch_id") <= b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("new_cost"))
-        ba = (touched.join(tot, ["user", "month"])
-                     .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), F.lit(0).cast("decimal(38,12)")))
-                     .withColumn("run", b.cast("bigint")))
-        al = alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg).withColumn("batch_id", b.cast("bigint"))
-        (al.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("batch_id").parquet(paths.alerts))
+        if ledger_alerts:
+            _ledger_alerts(spark, parts, batch_id, paths, cfg)
         usage = rollup.usage_rollup(inv)
         mrows = metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(usage, cfg)))
-        (mrows.withColumn("batch_id", b.cast("bigint")).write.mode("overwrite")
+        (mrows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(paths.metrics))
     finally:
         inv.unpersist()
 
 
+def _ledger_alerts(spark: SparkSession, parts: DataFrame, batch_id: int, paths: StreamPaths,
+                   cfg: MeterConfig) -> None:
+    """Dollar alerts of a batch from the ledger: prev / new month spend of
+    the users the batch touched (month partitions pruned, semi-join on the
+    touched users)."""
+    touched = _priced_partials(parts, cfg).groupBy("user", "month").agg(F.sum("cost").alias("delta"))
+    months = [r[0] for r in touched.select("month").distinct().collect()]
+    led = _priced_partials(ledger.read_partials(spark, paths.ledger).where(F.col("month").isin(months)), cfg)
+    led = led.join(touched.select("user", "month"), ["user", "month"], "left_semi")
+    b = F.lit(int(batch_id))
+    tot = led.groupBy("user", "month").agg(
+        F.sum(F.when(F.col("batch_id") < b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("prev_raw"),
+        F.sum(F.when(F.col("batch_id") <= b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("new_cost"))
+    ba = (touched.join(tot, ["user", "month"])
+                 .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), F.lit(0).cast("decimal(38,12)")))
+                 .withColumn("run", b.cast("bigint")))
+    al = alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg).withColumn("batch_id", b.cast("bigint"))
+    (al.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("batch_id").parquet(paths.alerts))
+
+
 def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, cfg: MeterConfig,
                       max_files_per_trigger: int = 1000, start_ts: datetime | None = None,
-                      available_now: bool = True, processing_time: str | None = None, robust: bool = False):
+                      available_now: bool = True, processing_time: str | None = None, robust: bool = False,
+                      alerts_mode: str = "ledger"):
     """Start the rollup stream; with ``available_now`` it processes what is
     there in bounded batches and stops (tests, catch-up), otherwise it runs
-    on ``processing_time`` (e.g. ``'5 minutes'``)."""
+    on ``processing_time`` (e.g. ``'5 minutes'``).
+
+    ``alerts_mode='state'`` computes the dollar alerts in a second query
+    with keyed state (:mod:`spend_state`) instead of re-reading the ledger
+    in each batch; both write the same alert rows to ``paths.alerts``.
+    """
+    if alerts_mode == "state":
+        from meterwise.streaming import spend_state
+        spend_state.run_spend_alert_stream(spark, layout, paths.alerts, paths.checkpoint + "_alerts", cfg,
+                                           max_files_per_trigger, start_ts, available_now, processing_time, robust)
     src = log_stream(spark, layout, max_files_per_trigger, start_ts, robust)
-    w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg))
+    ledger_alerts = alerts_mode == "ledger"
+    w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg, ledger_alerts))
             .option("checkpointLocation", paths.checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or cfg.schedule)
     q = w.start()

@@ -84,7 +84,7 @@ def test_keyed_state_alerts_equal_ledger_alerts(spark, sf):
     paths = rs.StreamPaths.under(f"{root}/ledger_run")
     rs.run_rollup_stream(spark, lay, paths, fx.F1_CFG, max_files_per_trigger=200)
     spend_state.run_spend_alert_stream(spark, lay, f"{root}/alerts", f"{root}/_ck", fx.F1_CFG, max_files_per_trigger=200)
-    cols = ["user", "month", "level", "prev_cost_usd", "new_cost_usd", "boundary_usd", "batch_id"]
+    cols = ["user", "month", "level", "prev_cost_usd", "new_cost_usd", "boundary_usd", "subject", "body", "batch_id"]
     a = sorted(tuple(r) for r in rs.read_alerts(spark, paths.alerts).select(*cols).collect())
     b = sorted(tuple(r) for r in spend_state.read_state_alerts(spark, f"{root}/alerts").select(*cols).collect())
     assert a == b and len(a) > 0
@@ -157,3 +157,18 @@ def test_processing_time_trigger(spark):
     finally:
         q.stop()
     assert _totals(spark, paths.ledger) == {("erin", "y", "2024-07"): (15, 2)}
+
+
+
+def test_rollup_stream_with_keyed_state_alerts(spark):
+    root = tempfile.mkdtemp(prefix="mw-statemode-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz",
+           [_rec("alice", "x-opus", "2024-05-01T10:00:00Z", 1000), _rec("bob", "y", "2024-05-01T10:01:00Z", 10)])
+    lay = log_scan.LogLayout(base)
+    paths = rs.StreamPaths.under(f"{root}/run")
+    rs.run_rollup_stream(spark, lay, paths, CFG, alerts_mode="state")
+    assert _totals(spark, paths.ledger)[("alice", "x-opus", "2024-05")] == (1000, 1)
+    al = rs.read_alerts(spark, paths.alerts).collect()
+    assert sorted((r["user"], r["level"]) for r in al) == [("alice", "BREACH"), ("alice", "WARN")]
+    assert all(r["subject"].startswith("[Spend ") and r["attributes"]["user"] == "alice" for r in al)
