@@ -55,3 +55,11 @@ def test_query_matches_oracle(spark, sf, con, name):
     oc, orr = _rows(odf)
     assert sc == oc
     assert sr == orr
+
+
+def test_status_counts_match_fixture_document(spark, sf):
+    """FIXTURES.md: F1 Normal/Warning/Breach 1/10/4, F3 997/182/232 at sf0.001."""
+    f1 = {r["status"]: r["count"] for r in E.queries()["user_month_spend"](spark, sf).groupBy("status").count().collect()}
+    f3 = {r["status"]: r["count"] for r in E.queries()["budget_status"](spark, sf).groupBy("status").count().collect()}
+    assert f1 == {"Normal": 1, "Warning": 10, "Breach": 4}
+    assert f3 == {"Normal": 997, "Warning": 182, "Breach": 232}
