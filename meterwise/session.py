@@ -42,14 +42,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, from ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables, from ``spark.checkpoint.dir``.
+
+    Only when the cluster names none (tests, local runs) is a local folder
+    created and registered as the context's checkpoint directory (the conf
+    itself cannot be changed at runtime); later calls then find it there.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meterwise-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="meterwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/") + "/meterwise"
 
 
