@@ -8,7 +8,8 @@ from meterwise.config import STATUS_BREACH, STATUS_NORMAL, STATUS_WARNING, Meter
 
 
 def _dec(x) -> Column:
-    return F.lit(x).cast("decimal(38,12)")
+    from meterwise.functions.literals import dec
+    return dec(x, "decimal(38,12)")
 
 
 def status(cost: Column, cfg: MeterConfig) -> Column:

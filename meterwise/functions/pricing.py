@@ -40,7 +40,8 @@ def price_frame(spark: SparkSession, cfg: MeterConfig) -> DataFrame:
 
 
 def _token_rate(r: Decimal) -> Column:
-    return F.lit(r / _MILLION).cast(TOKEN_RATE_DEC)
+    from meterwise.functions.literals import dec
+    return dec(r / _MILLION, "decimal(16,12)")
 
 
 def rate_columns(model: Column, cfg: MeterConfig) -> list[Column]:
