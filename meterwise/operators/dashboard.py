@@ -182,11 +182,16 @@ def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
 def spend_histogram(users: DataFrame, bins: int = 40) -> DataFrame:
     """Per-user spend in ``bins`` equal-width bins between min and max.
 
-    min/max are scalar subqueries (one tiny job each, results inlined as
-    literals) rather than a join; empty bins are omitted.
+    The per-user table (one row per user-month) is cut from its lineage with
+    a reliable ``checkpoint()`` in the shared checkpoint folder, so min/max
+    -- one scalar subquery, inlined as literals, no join -- and the binning
+    read it instead of recomputing the pipeline. Empty bins are omitted.
     """
-    lo = users.select(F.min("cost_usd")).scalar()
-    hi = users.select(F.max("cost_usd")).scalar()
+    from meterwise.session import work_root
+    work_root(users.sparkSession)                 # a checkpoint folder exists
+    users = users.select("cost_usd").checkpoint()
+    mm = users.select(F.struct(F.min("cost_usd").alias("lo"), F.max("cost_usd").alias("hi"))).scalar()
+    lo, hi = mm.getField("lo"), mm.getField("hi")
     span = hi - lo
     b = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("cost_usd") - lo) / span * F.lit(bins)), F.lit(bins - 1))).cast("bigint")
