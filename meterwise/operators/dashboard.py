@@ -165,8 +165,12 @@ def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
     value list up front (bounded by the number of models, checked) so Spark
     does not run an extra distinct job; ``unpivot`` returns the long form.
     """
-    top = top_users(d, n)
-    rows = d.join(bc.bounded(top, n), "user", "left_semi")
+    from meterwise.session import work_root
+    work_root(d.sparkSession)                     # a checkpoint folder exists
+    # both are small (n rows; the n users' model rows) and each feeds several
+    # branches below, so their lineage is cut once instead of recomputed
+    top = top_users(d, n).checkpoint()
+    rows = d.join(bc.bounded(top, n), "user", "left_semi").checkpoint()
     models = [r[0] for r in rows.select("model").distinct().orderBy("model").limit(PIVOT_MAX_VALUES + 1).collect()]
     if len(models) > PIVOT_MAX_VALUES:
         raise ValueError("too many models for a pivot")
