@@ -144,27 +144,36 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, near: str, n_do
     """(entity, term, disclosed) for the pairs at or above GENERALISE.
 
     ``found`` has a row for each document with its ``near`` array; ``docs`` the
-    texts of all documents. Pairs below SUPPORT are left out before the terms'
-    counts are taken, which changes no result. A term that the word count does
-    not know (case rules differ for a few letters) counts as standing near this
-    entity only.
+    texts of all documents. A term stands in at least as many documents as it
+    stands in near any entity, which bounds what it can disclose; pairs below
+    SUPPORT or whose bound is below GENERALISE are left out before the terms are
+    counted in all texts, which changes no result. A term that the word count
+    does not know (case rules differ for a few letters) counts as standing near
+    entities only.
     """
+    n = F.lit(float(n_docs))
+
+    def share(holders: str):
+        told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(holders)))
+        whole = F.log2(n / F.col("n_e"))
+        return F.when(whole > 0, told / whole)
+
     uses = found.where(F.size(near) > 0)
-    entities = (uses.select(F.explode(F.array_distinct(F.transform(near, lambda x: x["entity"]))).alias("entity"))
+    distinct = lambda what: F.explode(F.array_distinct(F.transform(near, what)))
+    entities = (uses.select(distinct(lambda x: x["entity"]).alias("entity"))
                 .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT))
-    pairs = (uses.select(F.explode(F.array_distinct(F.transform(
-                 near, lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT))
-    pairs = cut(pairs.join(entities, "entity"))
+    terms = (uses.select(distinct(lambda x: x["term"]).alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= SUPPORT))
+    pairs = (uses.select(distinct(lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))).alias("p"))
+             .select("p.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT))
+    pairs = cut(pairs.join(entities, "entity").join(terms, "term").where(share("n_near") >= GENERALISE))
     wanted = pairs.select(F.col("term").alias("w")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = (words.join(wanted, words["term"] == wanted["w"], "left_semi")
               .groupBy(F.col("term").alias("w")).agg(F.count(F.lit(1)).alias("n_t")))
-    n = F.lit(float(n_docs))
-    told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_et", F.coalesce("n_t", "n_et"))))
-    whole = F.log2(n / F.col("n_e"))
     return (pairs.join(counts, pairs["term"] == counts["w"], "left")
-            .withColumn("disclosed", F.when(whole > 0, told / whole))
+            .withColumn("holders", F.greatest("n_near", F.coalesce("n_t", "n_near")))
+            .withColumn("disclosed", share("holders"))
             .where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed"))
 
 
