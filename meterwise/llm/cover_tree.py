@@ -33,7 +33,7 @@ MAX_CENTRES = 1024  # centres broadcast over all labels together
 LEAF = 32           # nodes of so few points are not split
 DENSE = 4096        # point pairs that are simply multiplied
 KEPT_SHARE = 0.5    # if bounds keep more of a node pair than this, it is multiplied as a whole
-SLACK = 1e-9        # added to bounds, so rounding never prunes a link
+SLACK = 1e-6        # on bounds, as distances near zero are only good to 1e-8: rounding never decides a link
 
 
 class CoverTree:

@@ -84,10 +84,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     taught = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("label"))
               .where(F.col("label").isNotNull() & (fold(F.col("l_id"), HOLD_OUT) != 0))
               .orderBy(F.xxhash64("l_id"), "l_id", "label").limit(sample))
-    text = F.encode(text_col, "UTF-8").alias("t")
-    known = docs.join(F.broadcast(taught), docs[id_col] == taught["l_id"])  # at most ``sample`` rows of two numbers
+    texts = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("t"))
+    known = texts.join(F.broadcast(taught), F.col("id") == F.col("l_id"))  # at most ``sample`` rows of two numbers
     kind = docs.schema[id_col].dataType.simpleString()
-    counted = (known.select(F.col(id_col).alias("id"), "label", text)
+    counted = (known.select("id", "label", "t")
                .mapInArrow(counts_of(2, repeats=True), f"id {kind}, label double, at binary, n binary"))
     # An id repeated in docs teaches once, so the sample stays bounded.
     once = counted.groupBy("id").agg(F.min(F.struct("label", "at", "n")).alias("s")).select("id", "s.*")
@@ -107,7 +107,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
                                              names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, score double")
+    scored = texts.mapInArrow(run, f"id {kind}, score double")
     return scored.withColumnRenamed("id", id_col).select(
         id_col, _held_out(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
