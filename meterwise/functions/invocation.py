@@ -97,6 +97,8 @@ def with_tokens(df: DataFrame, rec: str = "rec", usage: str | None = None) -> Da
 _EXTENDED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})(T[0-9]{2}([0-9]{2}([0-9]{2}([.,][0-9]+)?)?)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$"
 
+_BASIC_TIME = r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:T([0-9]{2})([0-9]{2})?([0-9]{2})?([.,][0-9]+)?)?(Z|[+-][0-9]{2}:?(?:[0-9]{2})?)?$"
+
 
 def month_bucket(rec: Column, fallback_month: Column, zone: str = "offset") -> Column:
     """P5: YYYY-MM of the timestamp *as written* (its own offset); absent or
@@ -120,22 +122,31 @@ def month_bucket(rec: Column, fallback_month: Column, zone: str = "offset") -> C
              .otherwise(fallback_month))
 
 
-def event_time(rec: Column) -> Column:
-    """Parsed event time (UTC instant) when the timestamp is readable."""
+def event_time(rec: Column, fallback: Column | None = None) -> Column:
+    """Parsed event time (UTC instant): the extended form, else the basic form
+    (YYYYMMDD[Thh[mm[ss]]]), else ``fallback`` (file or log-event time)."""
     tsv = V.field(rec, "$.timestamp")
-    return F.try_to_timestamp(F.when(V.truthy(tsv), V.text(tsv)))
+    s = F.when(V.truthy(tsv), V.text(tsv))
+    part = lambda i: F.regexp_extract(s, _BASIC_TIME, i)
+    two = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+    basic = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), two(4), F.lit(":"), two(5), F.lit(":"),
+                     two(6), F.regexp_replace(part(7), ",", "."), F.regexp_replace(part(8), r"^([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
+    times = [F.try_to_timestamp(s), F.when(s.rlike(_BASIC), F.try_to_timestamp(basic))]
+    return F.coalesce(*times, *([] if fallback is None else [fallback]))
 
 
-def canonical(df: DataFrame, fallback_month: Column, rec: str = "rec", zone: str = "offset") -> DataFrame:
+def canonical(df: DataFrame, fallback_month: Column, rec: str = "rec", zone: str = "offset",
+              fallback_time: Column | None = None) -> DataFrame:
     """Record VARIANT -> canonical invocation columns (after the schema-type
-    filter). Keeps any other columns of ``df``."""
+    filter). Keeps any other columns of ``df``. ``fallback_time`` is the event
+    time of records without a readable timestamp."""
     r = F.col(rec)
     d = df.where(schema_type_ok(r))
     d = with_tokens(d, rec)
     return d.select(
         *[c for c in df.columns if c != rec],
         V.text(V.field(r, "$.requestId")).alias("request_id"),
-        event_time(r).cast("timestamp_ntz").alias("ts"),
+        event_time(r, fallback_time).cast("timestamp_ntz").alias("ts"),
         identity_label(r).alias("user"),
         model_id(r).alias("model_id"),
         month_bucket(r, fallback_month, zone).alias("month"),

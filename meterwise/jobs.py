@@ -45,7 +45,7 @@ def last_run(spark: SparkSession, work: str) -> tuple[int, datetime | None]:
 
 def rollup_run(spark: SparkSession, logs_root: str, account: str, work: str, cfg: MeterConfig,
                regions: list[str] | None = None, now: datetime | None = None,
-               start_ts: datetime | None = None, robust: bool = False) -> dict:
+               start_ts: datetime | None = None, robust: bool = True) -> dict:
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     run_id, checkpoint = last_run(spark, work)
     summary = scheduled.run_scheduled_rollup(
@@ -84,7 +84,8 @@ def main(argv: list[str] | None = None) -> None:
         if name in ("rollup", "stream"):
             s.add_argument("--logs", required=True)
             s.add_argument("--account", required=True)
-            s.add_argument("--robust", action="store_true")
+            s.add_argument("--robust", action=argparse.BooleanOptionalAction, default=True,
+                           help="count damaged objects and go on (default); otherwise they stop the run")
         if name == "rollup":
             s.add_argument("--regions", default="auto")
             s.add_argument("--now", default=None)

@@ -10,9 +10,25 @@ from meterwise.functions import budget, pricing, text
 from meterwise.functions.pricing import TOKEN_COLS
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+
+
+def time_bucket(ts: Column, width: str) -> Column:
+    """Start of the epoch-aligned window of ``width`` ("5 minutes"), of the type of ``ts``; null stays null."""
+    n, unit = width.split()
+    micros = int(n) * _SECONDS[unit.rstrip("s")] * 1_000_000
+    into = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(micros))
+    zero = F.lit(0)
+    return ts - F.make_dt_interval(zero, zero, zero, (into / 1_000_000).cast("decimal(18,6)"))
+
+
 def run_start(ts: Column, schedule: str) -> Column:
-    """The scheduled run an invocation belongs to (event-time tumbling)."""
-    return F.window(ts, schedule).start
+    """The scheduled run an invocation belongs to (event-time tumbling).
+
+    Rows without a time keep a null run, which comes before all others
+    (``F.window`` would drop them).
+    """
+    return time_bucket(ts, schedule)
 
 
 def spend_delta(priced_inv: DataFrame, cfg: MeterConfig, run_col: str | None = None) -> DataFrame:

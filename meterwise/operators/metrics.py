@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterwise.functions import pricing
 from meterwise.functions.pricing import TOKEN_COLS
+from meterwise.operators.alerts import time_bucket
 
 # Metric names of the emitted documents, in document order.
 METRIC_NAMES = ("InputTokens", "OutputTokens", "CacheWriteTokens", "CacheReadTokens",
@@ -44,7 +45,7 @@ def metrics_cube(inv: DataFrame) -> DataFrame:
 
 
 def _five_minutes(inv: DataFrame, schedule: str) -> DataFrame:
-    return inv.withColumn("window_start", F.window("ts", schedule).start)
+    return inv.withColumn("window_start", time_bucket(F.col("ts"), schedule))  # rows without a time: null window
 
 
 def series_total(priced_inv: DataFrame, schedule: str = "5 minutes") -> DataFrame:

@@ -19,9 +19,8 @@ TOP_MODEL_MONTH_N = 10
 SEARCH = DashboardFilters(user_query="USER1[0-4]")
 FILTERS = DashboardFilters(models=("x.claude-opus-4", "x.claude-sonnet-4"),
                            statuses=(STATUS_WARNING, STATUS_BREACH), min_spend=3.0)
-# The user table and KPIs are built over rows of the priced models only
-# (the default-rate model deselected), so filtered and unfiltered status differ.
-TABLE_FILTERS = DashboardFilters(models=("x.claude-opus-4", "x.claude-sonnet-4", "x.claude-haiku-4"))
+# The dashboard's default: every model, status and user.
+TABLE_FILTERS = DashboardFilters()
 WHAT_IF_BUDGETS = (3.0, 4.0, 5.0, 6.0)
 ACTOR = "dashboard-user"
 HIST_BINS = 40

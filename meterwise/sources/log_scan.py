@@ -148,10 +148,22 @@ def scan_files(spark: SparkSession, paths: list[str], modified_after: datetime |
         F.col("value").alias("text"))
 
 
+def list_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path and modification time of every object below ``paths``; no content is read."""
+    from meterwise.session import glob_exists
+    paths = [p for p in paths if glob_exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "path string, modified timestamp")
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+                 .select("path", F.col("modificationTime").alias("modified")))
+
+
 def _decompress(batches):
     """gzip -> text; bytes that are not gzip are taken as UTF-8 text with
     replacement (the metered system's fallback); a damaged gzip stream
-    yields no text and a ``read_error``."""
+    yields no text and a ``read_error``. An archive of several members is read
+    whole."""
+    import gzip
     import zlib
 
     import pandas as pd
@@ -162,9 +174,9 @@ def _decompress(batches):
             raw = bytes(b) if b is not None else b""
             if raw[:2] == b"\x1f\x8b":
                 try:
-                    texts.append(zlib.decompress(raw, 16 + zlib.MAX_WBITS).decode("utf-8", errors="replace"))
+                    texts.append(gzip.decompress(raw).decode("utf-8", errors="replace"))
                     errors.append(None)
-                except zlib.error as e:
+                except (zlib.error, EOFError, gzip.BadGzipFile) as e:
                     texts.append(None)
                     errors.append(f"gzip: {e}")
             else:
@@ -221,9 +233,10 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
     -> those objects; another object -> itself; not one JSON document ->
     each non-blank line parsed on its own, bad lines dropped. Non-object
     values and bad lines are counted in ``malformed`` (per object) instead of
-    failing the run.
+    failing the run; an object that could not be read (null text) counts as 1.
     """
-    t = F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")
+    t = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+|\s+$", "")
+    unread = F.col(text_col).isNull().cast("int")
     d = files.withColumn("_t", t).withColumn("_doc", _strict_parse(F.col("_t")))
     doc = F.col("_doc")
     doc_arr = V.as_array(doc)
@@ -239,7 +252,7 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
                                .when(doc.isNotNull(), from_doc)
                                .otherwise(from_lines))
     bad_lines = F.when(doc.isNull() & (F.col("_t") != ""), F.size(lines) - F.size(F.col("_items"))).otherwise(F.lit(0))
-    d = d.withColumn("malformed", (bad_lines + F.size(F.filter(F.col("_items"), lambda v: ~V.is_object(v)))).cast("bigint"))
+    d = d.withColumn("malformed", (unread + bad_lines + F.size(F.filter(F.col("_items"), lambda v: ~V.is_object(v)))).cast("bigint"))
     keep = [c for c in files.columns if c != text_col]
     out = d.select(*keep, "malformed", F.posexplode_outer("_items").alias("pos", "rec"))
     return out
@@ -279,10 +292,10 @@ def records_only(decoded: DataFrame) -> DataFrame:
 def decode_invocations(files: DataFrame, fallback_month: Column, zone: str = "offset") -> DataFrame:
     """Objects -> canonical invocations (schema-type filter applied)."""
     recs = records_only(decode_records(files))
-    return invocation.canonical(recs, fallback_month, "rec", zone)
+    return invocation.canonical(recs, fallback_month, "rec", zone, F.col("modified") if "modified" in files.columns else None)
 
 
 def decode_invocations_lines(lines: DataFrame, fallback_month: Column, zone: str = "offset") -> DataFrame:
     """JSON-lines mode: lines -> canonical invocations."""
     recs = decode_lines(lines).where(F.col("malformed") == 0).drop("malformed")
-    return invocation.canonical(recs, fallback_month, "rec", zone)
+    return invocation.canonical(recs, fallback_month, "rec", zone, F.col("modified") if "modified" in lines.columns else None)

@@ -46,9 +46,9 @@ def _gunzip(batches):
                 err.append("missing")
                 continue
             try:
-                out.append(zlib.decompress(bytes(b), 16 + zlib.MAX_WBITS).decode("utf-8"))
+                out.append(gzip.decompress(bytes(b)).decode("utf-8"))
                 err.append(None)
-            except (zlib.error, UnicodeDecodeError) as e:
+            except (zlib.error, EOFError, gzip.BadGzipFile, UnicodeDecodeError) as e:
                 out.append(None)
                 err.append(type(e).__name__)
         pdf = pdf.drop(columns=["raw"])
@@ -96,4 +96,4 @@ def subscription_invocations(events: DataFrame, zone: str = "offset") -> DataFra
     d = events.select("*", F.explode(F.array(_strict_parse(F.col("message")))).alias("rec"))
     d = d.where(F.col("rec").isNotNull() & V.is_object(F.col("rec")))
     fallback = F.date_format(F.timestamp_millis(F.col("event_ms")), "yyyy-MM")
-    return invocation.canonical(d.drop("message"), fallback, "rec", zone)
+    return invocation.canonical(d.drop("message"), fallback, "rec", zone, F.timestamp_millis(F.col("event_ms")))

@@ -8,11 +8,15 @@ does, and remembers processed objects in a marker table:
     cutoff  = greatest(least(checkpoint, now - look-back), now - max look-back)
     objects = region x hour prefixes in [floor(cutoff), floor(now)], modified >= cutoff
               de-duplicated, minus markers (only marker partitions younger than the TTL are read)
+    markers += objects, claimed by run_id (partitioned by day, for TTL expiry by partition)
     process_batch(objects, run_id)      -- ledger / alerts / metrics, own run_id partitions
-    markers += objects (partitioned by day, for TTL expiry by partition)
 
-A run that fails after its ledger write and is repeated with the same
-``run_id`` overwrites its own partitions, so nothing is counted twice.
+Objects are claimed before they are read. A run that fails at any step and is
+repeated with the same ``run_id`` takes what that id has claimed, whatever the
+window then is, plus new objects, and overwrites its own partitions: nothing is
+counted twice and nothing is lost. Paths are listed, de-duplicated and matched
+with the markers first; only the objects that remain are read, once. Damaged
+objects are counted, marked and do not stop the run.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from meterwise.session import glob_exists
 from meterwise.sources import log_scan
 from meterwise.streaming.rollup_stream import StreamPaths, process_batch
 
-MARKER_SCHEMA = "path string, processed_at timestamp, day date"
+MARKER_SCHEMA = "path string, run_id long, processed_at timestamp, day date"
 
 
 def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) -> datetime:
@@ -40,28 +44,33 @@ def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) ->
 def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, markers_path: str,
                          cfg: MeterConfig, run_id: int, now: datetime, checkpoint: datetime | None = None,
                          regions: list[str] | None = None, start_ts: datetime | None = None,
-                         robust: bool = False) -> dict:
+                         robust: bool = True) -> dict:
     """One scheduled run. ``start_ts`` (a first run or a deliberate
     catch-up) replaces the look-back rule for the cut-off."""
     cutoff = start_ts if start_ts is not None else cutoff_for(now, checkpoint, cfg)
     hours = log_scan.hour_prefixes(cutoff, now)
-    listed = log_scan.load_paths(layout, regions, hours)
-    files = (log_scan.scan_files_robust(spark, listed).drop("read_error") if robust
-             else log_scan.scan_files(spark, listed))
-    files = files.where(F.col("modified") >= F.lit(cutoff)).dropDuplicates(["path"])
+    found = log_scan.list_objects(spark, log_scan.load_paths(layout, regions, hours))
+    fresh = found.where(F.col("modified") >= F.lit(cutoff)).select("path").distinct()
+    claimed: list[str] = []
     if glob_exists(spark, f"{markers_path}/day=*"):
         since = (now - timedelta(days=cfg.marker_ttl_days)).date()
-        markers = (spark.read.schema(MARKER_SCHEMA).parquet(markers_path)
-                        .where(F.col("day") >= F.lit(since)).select("path"))
-        files = files.join(markers, "path", "left_anti")
-    files = files.persist()
-    try:
-        seen = files.count()
-        if seen:
-            process_batch(files, run_id, paths, cfg)
-            (files.select("path", F.lit(now).cast("timestamp").alias("processed_at"),
-                          F.lit(now.date()).alias("day"))
-                  .write.mode("append").partitionBy("day").parquet(markers_path))
-    finally:
-        files.unpersist()
-    return {"run_id": run_id, "cutoff": cutoff.isoformat(), "hours": len(hours), "objects_processed": seen}
+        markers = spark.read.schema(MARKER_SCHEMA).parquet(markers_path)
+        fresh = fresh.join(markers.where(F.col("day") >= F.lit(since)).select("path"), "path", "left_anti")
+        claimed = [r["path"] for r in markers.where(F.col("run_id") == run_id).select("path").distinct().collect()]
+    # one window's object names; listing the window has brought them to the driver already
+    new = [r["path"] for r in fresh.collect()]
+    if new:
+        (spark.createDataFrame([(p,) for p in new], "path string")
+              .select("path", F.lit(run_id).cast("long").alias("run_id"), F.lit(now).cast("timestamp").alias("processed_at"),
+                      F.lit(now.date()).alias("day"))
+              .write.mode("append").partitionBy("day").parquet(markers_path))
+    objects = sorted({*new, *claimed})
+    unreadable = 0
+    if objects:
+        files = log_scan.scan_files_robust(spark, objects) if robust else log_scan.scan_files(spark, objects)
+        if robust:
+            unreadable = files.where(F.col("read_error").isNotNull()).count()
+            files = files.drop("read_error")
+        process_batch(files, run_id, paths, cfg)
+    return {"run_id": run_id, "cutoff": cutoff.isoformat(), "hours": len(hours), "objects_processed": len(objects),
+            "objects_unreadable": unreadable}
