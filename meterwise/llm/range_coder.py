@@ -267,7 +267,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def read_token_file(file: DataFrame) -> DataFrame:
-    """(part, row, id, place, n, crc): for each document the ids it has in each block, from the decoded blocks."""
+    """(part, row, id, place, n, crc) of each document, from the decoded blocks; one row for each run of blocks read together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, bytes]] = []
 
@@ -276,7 +276,11 @@ def read_token_file(file: DataFrame) -> DataFrame:
             for (part, _), (first, documents, ids) in zip(some, read_blocks([raw for _, raw in some])):
                 at = 0
                 for row, n, key, null in documents:
-                    rows.append((part, row, None if null else key, first + at, n, zlib.crc32(ids[at:at + n].tobytes())))
+                    raw, place = ids[at:at + n].tobytes(), first + at
+                    if rows and rows[-1][:2] == [part, row] and rows[-1][3] + rows[-1][4] == place:
+                        rows[-1][4:] = rows[-1][4] + n, zlib.crc32(raw, rows[-1][5])  # goes on from the block before
+                    else:
+                        rows.append([part, row, None if null else key, place, n, zlib.crc32(raw)])
                     at += n
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
