@@ -65,11 +65,9 @@ def hour_floor(t: datetime) -> datetime:
 
 def hour_prefixes(cutoff: datetime, now: datetime) -> list[datetime]:
     """S3: each hour from floor(cutoff) to floor(now), both ends included."""
-    out, t, end = [], hour_floor(cutoff), hour_floor(now)
-    while t <= end:
-        out.append(t)
-        t += timedelta(hours=1)
-    return out
+    first = hour_floor(cutoff)
+    last = (hour_floor(now) - first) // timedelta(hours=1)
+    return [first + timedelta(hours=h) for h in range(last + 1)]
 
 
 def hour_prefixes_df(bounds: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
