@@ -31,15 +31,18 @@ def run_start(ts: Column, schedule: str) -> Column:
     return time_bucket(ts, schedule)
 
 
-def spend_delta(priced_inv: DataFrame, cfg: MeterConfig, run_col: str | None = None) -> DataFrame:
+def spend_delta(inv: DataFrame, cfg: MeterConfig, run_col: str | None = None) -> DataFrame:
     """Cost added per (user, month) by each run.
 
-    ``priced_inv`` carries an exact ``cost`` per invocation (or per object
-    partial). Runs are the ``cfg.schedule`` windows of event time unless a
-    ``run_col`` (e.g. a stream batch id) is given.
+    ``inv`` holds invocations or partials of them. Tokens are summed per model
+    first and those sums are priced (cost is linear in a model's tokens). Runs
+    are the ``cfg.schedule`` windows of event time unless a ``run_col`` (e.g. a
+    stream batch id) is given.
     """
     run = F.col(run_col) if run_col else run_start(F.col("ts"), cfg.schedule)
-    return priced_inv.groupBy("user", "month", run.alias("run")).agg(F.sum("cost").alias("delta"))
+    per_model = inv.groupBy("user", "month", run.alias("run"), "model_id").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in TOKEN_COLS])
+    return pricing.with_cost(per_model, cfg).groupBy("user", "month", "run").agg(F.sum("cost").alias("delta"))
 
 
 def spend_before_after(delta: DataFrame) -> DataFrame:

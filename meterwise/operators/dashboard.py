@@ -154,32 +154,27 @@ def top_users(d: DataFrame, n: int) -> DataFrame:
              .select("user", "user_rank"))
 
 
-PIVOT_MAX_VALUES = 10_000
-
-
 def user_model_heatmap(d: DataFrame, n: int) -> DataFrame:
-    """A13 + J4 + P18: top-n users x every model, absent cells 0, long form
-    with ln(1 + cost) (a colour scale, kept to 12 decimals).
+    """A13 + J4 + P18: top-n users x every model they used, absent cells 0,
+    long form with ln(1 + cost) (a colour scale, kept to 12 decimals).
 
-    The top users (n rows) are broadcast into a semi-join; the pivot gets its
-    value list up front (bounded by the number of models, checked) so Spark
-    does not run an extra distinct job; ``unpivot`` returns the long form.
+    One scan: cells are summed per (user, model), folded into one row per
+    user, and only the n users with the highest spend leave that stage
+    (TakeOrderedAndProject). The last steps see n rows, each as long as the
+    number of models. Rows without a user or a model take no part.
     """
-    from meterwise.session import work_root
-    work_root(d.sparkSession)                     # a checkpoint folder exists
-    # both are small (n rows; the n users' model rows) and each feeds several
-    # branches below, so their lineage is cut once instead of recomputed
-    top = top_users(d, n).checkpoint()
-    rows = d.join(bc.bounded(top, n), "user", "left_semi").checkpoint()
-    models = [r[0] for r in rows.select("model").distinct().orderBy("model").limit(PIVOT_MAX_VALUES + 1).collect()]
-    if len(models) > PIVOT_MAX_VALUES:
-        raise ValueError("too many models for a pivot")
-    if not models:
-        return d.sparkSession.createDataFrame([], "user string, user_rank int, model string, cost_usd double, log_cost double")
-    wide = rows.groupBy("user").pivot("model", models).agg(F.sum("cost"))
-    wide = wide.select("user", *[pricing.usd(F.coalesce(F.col(f"`{m}`"), F.lit(0))).alias(m) for m in models])
-    long = wide.unpivot(["user"], [F.col(f"`{m}`") for m in models], "model", "cost_usd")
-    return (long.join(bc.bounded(top, n), "user")
+    cells = (d.where(F.col("user").isNotNull() & F.col("model").isNotNull())
+              .groupBy("user", "model").agg(F.sum("cost").alias("c")))
+    users = cells.groupBy("user").agg(F.sum("c").alias("cost"),
+                                      F.map_from_entries(F.collect_list(F.struct("model", "c"))).alias("by_model"))
+    order = [F.col("cost").desc(), F.col("user").asc()]
+    top = users.orderBy(*order).limit(n)
+    top = top.select("user", "by_model", F.row_number().over(Window.orderBy(*order)).alias("user_rank"),
+                     F.array_distinct(F.flatten(F.collect_list(F.map_keys("by_model")).over(
+                         Window.partitionBy(F.lit(0))))).alias("models"))
+    long = top.select("user", "user_rank", "by_model", F.explode("models").alias("model"))
+    cost = pricing.usd(F.coalesce(F.try_element_at("by_model", F.col("model")), F.lit(0).cast("decimal(38,12)")))
+    return (long.select("user", "model", cost.alias("cost_usd"), "user_rank")
                 .withColumn("log_cost", F.bround(F.log1p(F.col("cost_usd")), 12)))
 
 

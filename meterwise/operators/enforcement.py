@@ -4,10 +4,10 @@ Nothing is deleted: each decision carries the *would-be* action (REMOVED
 with dry-run off) instead of calling an identity service. The directory
 (users, groups, memberships) comes in as tables.
 
-Sizes: targets are bounded by the configured ids + names (checked before
-they are used as a literal); memberships are joined on user_id (a
-shuffle AQE may turn into a broadcast from the measured size); per-user
-lists are bounded by the number of targets.
+Sizes: targets come from the configured ids + names, one array value read
+inside the plan; memberships are joined on user_id (a shuffle AQE may turn
+into a broadcast from the measured size); per-user lists are bounded by the
+number of targets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from meterwise.config import UNKNOWN_USER, MeterConfig
 from meterwise.functions import broadcast as bc, text
 
-MAX_TARGETS = 1000
 ENTRY = "struct<ord:int,group:string,group_id:string,membership_id:string,reason:string>"
 
 
@@ -58,39 +57,29 @@ def decisions(cands: DataFrame, users: DataFrame, memberships: DataFrame, target
     target is a member (DRYRUN, or REMOVED when dry-run is off) or skipped
     as ``not_a_member``. Precedence REMOVED > ERROR > DRYRUN > SKIPPED.
     """
-    tl = targets.orderBy("ord").limit(MAX_TARGETS + 1).collect()
-    if len(tl) > MAX_TARGETS:
-        raise ValueError("too many enforcement targets")
-    base = cands.select("user", "month")
-    if not tl:
-        return _finish(base.select("user", "month", F.lit(None).cast("string").alias("user_id"),
-                                   F.lit("no_groups_resolved").alias("reason"),
-                                   F.array().cast(f"array<{ENTRY}>").alias("members")), [], cfg)
-    res = base.join(users, base["user"] == users["user_name"], "left").drop("user_name")
-    tdf = targets.select("ord", F.col("label").alias("group"), "group_id")
+    # the configured targets as one array value, read inside the plan (a scalar subquery)
+    entry = F.struct(F.col("ord").cast("int").alias("ord"), F.col("label").alias("group"), "group_id",
+                     F.lit(None).cast("string").alias("membership_id"), F.lit("not_a_member").alias("reason"))
+    tl = targets.select(F.sort_array(F.collect_list(entry)).alias("t")).scalar()
+    empty = F.array().cast(f"array<{ENTRY}>")
+    res = cands.select("user", "month").join(users, F.col("user") == users["user_name"], "left").drop("user_name")
     mem = (res.where(F.col("user_id").isNotNull()).select("user", "month", "user_id")
-              .join(memberships, "user_id")
-              .join(bc.bounded(tdf, len(tl)), "group_id")
+              .join(memberships, "user_id").withColumn("targets", tl)
+              .withColumn("hit", F.filter("targets", lambda t: t["group_id"] == F.col("group_id")))
+              .where(F.size("hit") > 0).withColumn("hit", F.element_at("hit", 1))
               .groupBy("user", "month")
               .agg(F.sort_array(F.collect_list(F.struct(
-                  F.col("ord"), F.col("group"), F.col("group_id"), F.col("membership_id"),
+                  F.col("hit.ord").alias("ord"), F.col("hit.group").alias("group"), "group_id", "membership_id",
                   F.lit(None).cast("string").alias("reason")))).alias("members")))
-    d = res.join(mem, ["user", "month"], "left")
-    d = d.select("user", "month", "user_id",
-                 F.when(F.col("user_id").isNull(), F.lit("user_unresolved")).alias("reason"),
-                 F.coalesce(F.col("members"), F.array().cast(f"array<{ENTRY}>")).alias("members"))
-    return _finish(d, [(r["ord"], r["label"], r["group_id"]) for r in tl], cfg)
-
-
-def _finish(d: DataFrame, tl, cfg: MeterConfig) -> DataFrame:
-    lit_targets = F.array(*[F.struct(F.lit(o).cast("int").alias("ord"), F.lit(l).alias("group"),
-                                     F.lit(g).alias("group_id"), F.lit(None).cast("string").alias("membership_id"),
-                                     F.lit("not_a_member").alias("reason")) for o, l, g in tl]) \
-        if tl else F.array().cast(f"array<{ENTRY}>")
+    d = res.join(mem, ["user", "month"], "left").withColumn("targets", tl)
+    none = F.size("targets") == 0
+    d = d.select("user", "month", F.when(~none, F.col("user_id")).alias("user_id"), "targets",
+                 F.when(none, F.lit("no_groups_resolved"))
+                  .when(F.col("user_id").isNull(), F.lit("user_unresolved")).alias("reason"),
+                 F.coalesce(F.col("members"), empty).alias("members"))
     member_ids = F.transform(F.col("members"), lambda e: e["group_id"])
     resolved = F.col("reason").isNull()
-    empty = F.array().cast(f"array<{ENTRY}>")
-    skipped = F.when(resolved, F.filter(lit_targets, lambda t: ~F.array_contains(member_ids, t["group_id"]))).otherwise(empty)
+    skipped = F.when(resolved, F.filter("targets", lambda t: ~F.array_contains(member_ids, t["group_id"]))).otherwise(empty)
     acted = F.when(resolved, F.col("members")).otherwise(empty)
     dry = bool(cfg.enforce_dry_run)
     d = d.select("user", "month", "user_id", "reason",

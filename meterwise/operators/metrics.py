@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from meterwise.config import MeterConfig
 from meterwise.functions import pricing
 from meterwise.functions.pricing import TOKEN_COLS
 from meterwise.operators.alerts import time_bucket
@@ -35,34 +36,39 @@ def metrics_by_model(model_totals: DataFrame) -> DataFrame:
 def metrics_cube(inv: DataFrame) -> DataFrame:
     """A5: CUBE(user, model_id) -- dimension sets [model], [user],
     [user, model], [] -- with six token/invocation measures. The per-event
-    total is clamped at 0 for the metric (P13, legacy)."""
+    total is clamped at 0 for the metric (P13, legacy). Events are summed per
+    (user, model) first, so the cube expands those rows, not the events."""
     d = inv.withColumn("total_tokens", F.greatest(sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0])),
                                                   F.lit(0).cast("bigint")))
-    g = d.cube("user", "model_id").agg(
+    pairs = d.groupBy("user", "model_id").agg(
         *[F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLS, "total_tokens")],
-        F.count(F.lit(1)).alias("invocations"), F.grouping_id().alias("grouping_id"))
-    return g
+        F.count(F.lit(1)).alias("invocations"))
+    return pairs.cube("user", "model_id").agg(*_measures(), F.grouping_id().alias("grouping_id"))
 
 
-def _five_minutes(inv: DataFrame, schedule: str) -> DataFrame:
-    return inv.withColumn("window_start", time_bucket(F.col("ts"), schedule))  # rows without a time: null window
+def window_partials(inv: DataFrame, schedule: str) -> DataFrame:
+    """Token sums per (5-minute event-time window, model); rows without a time: null window.
+
+    Cost is linear in the tokens of a model, so it is computed from these sums.
+    """
+    total = sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0]))
+    return inv.groupBy(time_bucket(F.col("ts"), schedule).alias("window_start"), "model_id").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in TOKEN_COLS], F.sum(total).cast("bigint").alias("total_tokens"),
+        F.count(F.lit(1)).alias("invocations"), F.max("ts").alias("last_ts"))
 
 
-def series_total(priced_inv: DataFrame, schedule: str = "5 minutes") -> DataFrame:
+def series_total(inv: DataFrame, cfg: MeterConfig) -> DataFrame:
     """Sums per 5-minute event-time window over all models (all five
     token series, invocations and cost)."""
-    d = _five_minutes(priced_inv, schedule)
-    return d.groupBy("window_start").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLS, "total_tokens")],
-        F.count(F.lit(1)).alias("invocations"), pricing.usd(F.sum("cost")).alias("cost_usd"))
+    d = pricing.with_cost(window_partials(inv, cfg.schedule), cfg)
+    return d.groupBy("window_start").agg(*_measures(), pricing.usd(F.sum("cost")).alias("cost_usd"))
 
 
-def series_by_model(priced_inv: DataFrame, schedule: str = "5 minutes") -> DataFrame:
+def series_by_model(inv: DataFrame, cfg: MeterConfig) -> DataFrame:
     """Tokens, invocations and cost per model per 5-minute window."""
-    d = _five_minutes(priced_inv, schedule)
-    return d.groupBy("window_start", "model_id").agg(
-        F.sum("total_tokens").cast("bigint").alias("total_tokens"),
-        F.count(F.lit(1)).alias("invocations"), pricing.usd(F.sum("cost")).alias("cost_usd"))
+    d = pricing.with_cost(window_partials(inv, cfg.schedule), cfg)
+    return d.select("window_start", "model_id", "total_tokens", "invocations",
+                    pricing.usd(F.col("cost")).alias("cost_usd"))
 
 
 def metric_rows(by_model: DataFrame) -> DataFrame:

@@ -49,12 +49,6 @@ def f1_priced(spark, sf):
     return rollup.priced_usage(f1_usage(spark, sf), fx.F1_CFG)
 
 
-def f1_priced_inv(spark, sf):
-    """Per-invocation exact cost (for series and per-run deltas)."""
-    inv = rollup.total_tokens(f1_inv(spark, sf))
-    return pricing.with_cost(inv, fx.F1_CFG)
-
-
 def f3_usage(spark, sf):
     return rollup.usage_rollup(tables.invocations_from_orders(spark, sf))
 
@@ -311,14 +305,14 @@ def q_metrics_cube(spark, sf):
 @register("series_5m_total")
 def q_series_5m_total(spark, sf):
     """5-minute event-time totals."""
-    s = metrics.series_total(f1_priced_inv(spark, sf), fx.F1_CFG.schedule)
+    s = metrics.series_total(f1_inv(spark, sf), fx.F1_CFG)
     return s.withColumn("window_start", _ts_text(F.col("window_start")))
 
 
 @register("series_5m_by_model")
 def q_series_5m_by_model(spark, sf):
     """5-minute event-time series per model."""
-    s = metrics.series_by_model(f1_priced_inv(spark, sf), fx.F1_CFG.schedule)
+    s = metrics.series_by_model(f1_inv(spark, sf), fx.F1_CFG)
     return s.withColumn("window_start", _ts_text(F.col("window_start")))
 
 
@@ -332,14 +326,14 @@ def q_metric_rows(spark, sf):
 # step 6: before/after spend and alerts
 # -------------------------------------------------------------------------
 def _f1_before_after(spark, sf):
-    d = alerts.spend_delta(f1_priced_inv(spark, sf), fx.F1_CFG)
+    d = alerts.spend_delta(f1_inv(spark, sf), fx.F1_CFG)
     return alerts.spend_before_after(d)
 
 
 @register("spend_delta")
 def q_spend_delta(spark, sf):
     """Cost added per (user, month) by each 5-minute run."""
-    d = alerts.spend_delta(f1_priced_inv(spark, sf), fx.F1_CFG)
+    d = alerts.spend_delta(f1_inv(spark, sf), fx.F1_CFG)
     return d.select("user", "month", _ts_text(F.col("run")).alias("run"),
                     pricing.usd(F.col("delta")).alias("delta_usd"))
 
@@ -526,18 +520,17 @@ def q_modified_since(spark, sf):
 @register("run_summary")
 def q_run_summary(spark, sf):
     """Objects seen/processed, records, users touched, regions."""
-    files = f2_files(spark, sf)
-    inv = log_scan.decode_invocations(files, _file_month(files))
-    # one aggregation over listed objects and counted records (no join)
-    rows = (files.select(F.lit("object").alias("kind"), "path", "region", F.lit(None).cast("string").alias("user"))
-                 .unionByName(inv.select(F.lit("record").alias("kind"), "path", "region", "user")))
-    obj, rec = F.col("kind") == "object", F.col("kind") == "record"
-    return rows.agg(
-        F.count_if(obj).alias("objects_seen"),
-        F.array_join(F.array_sort(F.collect_set(F.when(obj, F.col("region")))), ",").alias("regions"),
-        F.count_distinct(F.when(rec, F.col("path"))).alias("objects_processed"),
-        F.count_if(rec).alias("records_processed"),
-        F.count_distinct(F.when(rec, F.col("user"))).alias("users_touched"))
+    # one pass: an object without records still decodes to one row (null ``rec``)
+    d = log_scan.decode_records(f2_files(spark, sf))
+    rec = F.col("rec").isNotNull() & V.is_object(F.col("rec")) & inv_fn.schema_type_ok(F.col("rec"))
+    user = F.when(rec, inv_fn.identity_label(F.col("rec")))
+    cells = d.groupBy("path", "region", user.alias("user")).agg(F.count_if(rec).alias("records"))
+    return cells.agg(
+        F.count_distinct("path").alias("objects_seen"),
+        F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"),
+        F.count_distinct(F.when(F.col("records") > 0, F.col("path"))).alias("objects_processed"),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records_processed"),
+        F.count_distinct("user").alias("users_touched"))
 
 
 # -------------------------------------------------------------------------
@@ -631,12 +624,12 @@ def q_alerts_sink(spark, sf):
 
 @register("late_data_policy")
 def q_late_data_policy(spark, sf):
-    """ST5: 5-minute series from the stream with a 10-minute watermark."""
-    lay = f2_layout(spark, sf)
+    """ST5: 5-minute series of the stream; a window is closed 10 minutes
+    behind the latest event, and records that come later still count."""
     root = fresh_path(spark, "runs", "series")
-    series_stream.run_series_stream(spark, lay, f"{root}/out", f"{root}/_checkpoint", fx.F1_CFG,
+    series_stream.run_series_stream(spark, f2_layout(spark, sf), f"{root}/out", f"{root}/_checkpoint", fx.F1_CFG,
                                     max_files_per_trigger=500)
-    s = spark.read.parquet(f"{root}/out")
+    s = series_stream.read_series(spark, f"{root}/out", fx.F1_CFG)
     return s.withColumn("window_start", _ts_text(F.col("window_start")))
 
 

@@ -332,6 +332,12 @@ SELECT {ts_text('run')} AS window_start, model_id, CAST(sum(total_tokens) AS BIG
        CAST(count(*) AS BIGINT) AS invocations, {usd('sum(cost)')} AS cost_usd
 FROM pinv GROUP BY run, model_id"""
 
+ORACLE["late_data_policy"] = _priced_inv() + f"""
+SELECT {ts_text('run')} AS window_start, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in (*TOK, 'total_tokens'))},
+       CAST(count(*) AS BIGINT) AS invocations, {usd('sum(cost)')} AS cost_usd,
+       run + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM pinv) - INTERVAL 10 MINUTE AS closed
+FROM pinv GROUP BY run"""
+
 _NAMES = ("InputTokens", "OutputTokens", "CacheWriteTokens", "CacheReadTokens", "TotalTokens", "Invocations", "CostUSD")
 ORACLE["metric_rows"] = f1_base() + _MBM + " UNION ALL ".join(
     f"SELECT CASE WHEN grouping_id = 1 THEN '' ELSE 'ModelId=' || model_id END AS dims, '{n}' AS name, "

@@ -82,13 +82,14 @@ def test_times_in_basic_form_and_fallback(spark):
 
 def test_rows_without_a_time_still_count(spark):
     df = spark.sql("""SELECT 'u' AS user, '2024-01' AS month, 'm' AS model_id, CAST(t AS timestamp_ntz) AS ts,
-                             CAST(5 AS decimal(38,12)) AS cost, 1L AS total_tokens
+                             1000000L AS input_tokens, 0L AS output_tokens, 0L AS cache_write_tokens,
+                             0L AS cache_read_tokens
                       FROM VALUES ('2024-01-01 00:07:31'), (NULL) AS x(t)""")
     delta = {str(r["run"]): float(r["delta"]) for r in alerts.spend_delta(df, CFG).collect()}
-    assert delta == {"None": 5.0, "2024-01-01 00:05:00": 5.0}
+    assert delta == {"None": 3.0, "2024-01-01 00:05:00": 3.0}
     after = alerts.spend_before_after(alerts.spend_delta(df, CFG)).orderBy("run").collect()
-    assert [float(r["new_cost"]) for r in after] == [5.0, 10.0]
-    assert metrics.series_by_model(df).count() == 2
+    assert [float(r["new_cost"]) for r in after] == [3.0, 6.0]
+    assert metrics.series_by_model(df, CFG).count() == 2
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):

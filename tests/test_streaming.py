@@ -174,7 +174,7 @@ def test_rollup_stream_with_keyed_state_alerts(spark):
     assert all(r["subject"].startswith("[Spend ") and r["attributes"]["user"] == "alice" for r in al)
 
 
-def test_watermarked_series_equals_batch_windows_before_watermark(spark):
+def test_series_counts_every_record_and_marks_closed_windows(spark):
     from meterwise.streaming import series_stream
     root = tempfile.mkdtemp(prefix="mw-series-")
     base = f"{root}/logs/" + LOG_DIR.format(account="1")
@@ -183,10 +183,10 @@ def test_watermarked_series_equals_batch_windows_before_watermark(spark):
     _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz",
            [_rec("u", "y", t, 10 * (i + 1)) for i, t in enumerate(times)])
     out = f"{root}/series"
-    series_stream.run_series_stream(spark, log_scan.LogLayout(base), out, f"{root}/_ck", CFG, watermark="10 minutes")
-    got = sorted((r["window_start"].strftime("%H:%M"), r["input_tokens"], r["invocations"])
-                 for r in spark.read.parquet(out).collect())
-    # brute force: 5-minute buckets, emitted once the watermark (last event 10:44 - 10 min = 10:34) passes their end
+    series_stream.run_series_stream(spark, log_scan.LogLayout(base), out, f"{root}/_ck", CFG)
+    got = sorted((r["window_start"].strftime("%H:%M"), r["input_tokens"], r["invocations"], r["closed"])
+                 for r in series_stream.read_series(spark, out, CFG).collect())
+    # brute force: 5-minute buckets, closed once the watermark (last event 10:44 - 10 min = 10:34) passes their end
     buckets = {}
     for i, t in enumerate(times):
         m = int(t[14:16])
@@ -194,5 +194,22 @@ def test_watermarked_series_equals_batch_windows_before_watermark(spark):
         buckets.setdefault(start, [0, 0])
         buckets[start][0] += 10 * (i + 1)
         buckets[start][1] += 1
-    expect = sorted((f"10:{s:02d}", v[0], v[1]) for s, v in buckets.items() if s + 5 <= 34)
+    expect = sorted((f"10:{s:02d}", v[0], v[1], s + 5 <= 34) for s, v in buckets.items())
     assert got == expect
+
+
+def test_series_does_not_depend_on_the_batch_size(spark):
+    from meterwise.streaming import series_stream
+    root = tempfile.mkdtemp(prefix="mw-series-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
+    for k, minute in enumerate([50, 1, 30, 2]):                  # file order is not event order
+        _write(base, "us-east-1", datetime(2024, 5, 1, 10), f"{k}.json.gz",
+               [_rec("u", "y", f"2024-05-01T10:{minute:02d}:00Z", 10)])
+    lay, rows = log_scan.LogLayout(base), []
+    for cap in (1, 4):
+        out = f"{root}/series{cap}"
+        series_stream.run_series_stream(spark, lay, out, f"{root}/_ck{cap}", CFG, max_files_per_trigger=cap)
+        rows.append(sorted(map(tuple, series_stream.read_series(spark, out, CFG).collect())))
+        late = sum(r["late"] for r in series_stream.late_records(spark, out, CFG).collect())
+        assert late <= 3 and (cap == 1 or late == 0)
+    assert rows[0] == rows[1] and sum(r[6] for r in rows[0]) == 4
