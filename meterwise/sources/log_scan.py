@@ -224,14 +224,25 @@ def _strict_parse(s: Column) -> Column:
     return F.when(F.array_size(arr) == 1, F.element_at(arr, 1))
 
 
+def _long_items(s: Column) -> Column:
+    """Records of a document too long for one VARIANT: the elements of its
+    list (or of its ``records`` list) are read one by one; else null."""
+    one = F.concat(F.lit("["), s, F.lit("]"))
+    as_list = F.from_json(one, "array<array<variant>>")
+    as_records = F.from_json(one, "array<struct<records:array<variant>>>")
+    return F.coalesce(F.when(F.array_size(as_list) == 1, F.element_at(as_list, 1)),
+                      F.when(F.array_size(as_records) == 1, F.element_at(as_records, 1)["records"]))
+
+
 def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Every object's text -> one row per record (VARIANT ``rec``).
 
     Whole text a JSON list -> its objects; an object with a ``records`` list
-    -> those objects; another object -> itself; not one JSON document ->
-    each non-blank line parsed on its own, bad lines dropped. Non-object
-    values and bad lines are counted in ``malformed`` (per object) instead of
-    failing the run; an object that could not be read (null text) counts as 1.
+    -> those objects; another object -> itself; lists too long for one VARIANT
+    are read element by element; not one JSON document -> each non-blank line
+    parsed on its own, bad lines dropped. Non-object values and bad lines are
+    counted in ``malformed`` (per object) instead of failing the run; an
+    object that could not be read (null text) counts as 1.
     """
     t = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+|\s+$", "")
     unread = F.col(text_col).isNull().cast("int")
@@ -246,11 +257,15 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.transform(F.split(F.col("_t"), LINE_SPLIT), lambda l: F.trim(l)), lambda l: l != "")
     parsed_lines = F.transform(lines, lambda l: _strict_parse(l))
     from_lines = F.filter(parsed_lines, lambda v: v.isNotNull())
+    d = d.withColumn("_long", F.when(doc.isNull(), _long_items(F.col("_t"))))
+    by_line = doc.isNull() & F.col("_long").isNull() & (F.col("_t") != "")
     d = d.withColumn("_items", F.when(F.col("_t") == "", F.array().cast("array<variant>"))
                                .when(doc.isNotNull(), from_doc)
+                               .when(F.col("_long").isNotNull(), F.col("_long"))
                                .otherwise(from_lines))
-    bad_lines = F.when(doc.isNull() & (F.col("_t") != ""), F.size(lines) - F.size(F.col("_items"))).otherwise(F.lit(0))
-    d = d.withColumn("malformed", (unread + bad_lines + F.size(F.filter(F.col("_items"), lambda v: ~V.is_object(v)))).cast("bigint"))
+    bad_lines = F.when(by_line, F.size(lines) - F.size(F.col("_items"))).otherwise(F.lit(0))
+    other = F.filter(F.col("_items"), lambda v: ~F.coalesce(V.is_object(v), F.lit(False)))
+    d = d.withColumn("malformed", (unread + bad_lines + F.size(other)).cast("bigint"))
     keep = [c for c in files.columns if c != text_col]
     out = d.select(*keep, "malformed", F.posexplode_outer("_items").alias("pos", "rec"))
     return out

@@ -3,8 +3,11 @@
 import gzip
 import json
 import os
+import subprocess
+import sys
 import tempfile
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -86,3 +89,29 @@ def test_json_lines_mode_equals_whole_text_decode(spark, sf):
     assert key(lines.where("malformed = 0")) == key(whole)
     bad = lines.where("malformed = 1").count()
     assert bad == log_scan.scan_files(spark, [paths[1]]).count()                 # one bad line per plain object
+
+
+LONG_DOCUMENTS = """
+import sys
+from pyspark.sql import functions as F
+from meterwise.functions import variant as V
+from meterwise.session import build_session
+from meterwise.sources import log_scan
+spark = build_session("local[1]", app="long", shuffle_partitions=2, extra={"spark.driver.memory": "6g"})
+d = log_scan.decode_records(log_scan.scan_files(spark, [sys.argv[1]]))
+ok = F.col("rec").isNotNull() & V.is_object(F.col("rec"))
+print([(r["n"], r["bad"]) for r in d.groupBy("path").agg(F.count_if(ok).alias("n"), F.max("malformed").alias("bad")).collect()])
+"""
+
+
+def test_a_document_longer_than_one_variant_is_read_whole():
+    """A list and a ``records`` list of 140 MB each, with one value that is no record (its own JVM, for the heap)."""
+    rec = json.dumps({"schemaType": "ModelInvocationLog", "timestamp": "2024-05-01T10:00:00Z", "modelId": "y",
+                      "input": {"inputTokenCount": 3}, "pad": "p" * 14_000})
+    root, n = tempfile.mkdtemp(prefix="mw-long-"), 10_000
+    for name, head, tail in (("a", "[7,", "]"), ("b", '{"records":[7,', "]}")):
+        with gzip.open(os.path.join(root, f"{name}.json.gz"), "wt", compresslevel=1) as f:
+            f.write(head + ",".join([rec] * n) + tail)
+    done = subprocess.run([sys.executable, "-c", LONG_DOCUMENTS, root], capture_output=True, text=True, timeout=300,
+                          cwd=Path(__file__).resolve().parents[1])
+    assert done.stdout.strip().endswith(str([(n, 1), (n, 1)])), done.stderr[-2000:]
