@@ -6,6 +6,7 @@ output edge.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
@@ -51,41 +52,46 @@ class PriceEntry:
         return normalize_rates(self.rates, cw_mult, cr_mult)
 
 
-def normalize_rates(rates, cw_mult: Decimal, cr_mult: Decimal) -> tuple[Decimal, ...]:
-    """[in, out] or [in, out, cw, cr] -> four decimal rates per million tokens.
+@dataclass(frozen=True)
+class Rates:
+    """USD per million tokens; a cache rate left open follows from the input rate."""
 
-    Three-element entries behave like two-element ones (the third is ignored).
-    """
-    vals = [Decimal(str(r)) for r in rates]
-    if len(vals) < 2:
-        raise ValueError(f"price entry needs at least 2 rates, got {rates!r}")
-    rin, rout = vals[0], vals[1]
-    if len(vals) >= 4:
-        return (rin, rout, vals[2], vals[3])
-    return (rin, rout, rin * cw_mult, rin * cr_mult)
+    input: Decimal
+    output: Decimal
+    cache_write: Decimal | None = None
+    cache_read: Decimal | None = None
 
+    def filled(self, write_mult: Decimal, read_mult: Decimal) -> tuple[Decimal, Decimal, Decimal, Decimal]:
+        write = self.input * write_mult if self.cache_write is None else self.cache_write
+        read = self.input * read_mult if self.cache_read is None else self.cache_read
+        return self.input, self.output, write, read
 
-def price_entries_from_json(obj) -> tuple[PriceEntry, ...]:
-    """Parse a ``{pattern: [rates]}`` mapping; anything invalid -> defaults.
 
-    Keys are lower-cased and order is kept, as in the metered system. Empty
-    patterns would match every model, so they are rejected.
-    """
-    import json
+def normalize_rates(rates, cw_mult: Decimal, cr_mult: Decimal) -> tuple[Decimal, ...]:
+    """Two or four listed rates -> four; a single cache rate (three values) is not used."""
+    given = [Decimal(str(r)) for r in rates][:4]
+    if len(given) < 2:
+        raise ValueError(f"an input and an output rate are needed, got {rates!r}")
+    return Rates(*(given if len(given) == 4 else given[:2])).filled(cw_mult, cr_mult)
+
 
-    if isinstance(obj, str):
+def _json_object(value) -> dict:
+    """A mapping, or the text of one; anything else is an empty mapping."""
+    if isinstance(value, str):
         try:
-            obj = json.loads(obj)
-        except (ValueError, TypeError):
-            obj = None
-    if not isinstance(obj, dict) or not obj:
-        return DEFAULT_PRICES
-    out = []
-    for k, v in obj.items():
-        if not str(k):
-            raise ValueError("empty price pattern matches every model")
-        out.append(PriceEntry(str(k).lower(), tuple(str(x) for x in v)))
-    return tuple(out)
+            value = json.loads(value)
+        except ValueError:
+            return {}
+    return value if isinstance(value, dict) else {}
+
+
+def price_entries_from_json(value) -> tuple[PriceEntry, ...]:
+    """Price table from ``{pattern: [rates]}`` in the given order; the default
+    table if there is none. An empty pattern would match every model: an error."""
+    table = {str(k).lower(): rates for k, rates in _json_object(value).items()}
+    if "" in table:
+        raise ValueError("empty price pattern matches every model")
+    return tuple(PriceEntry(k, tuple(map(str, rates))) for k, rates in table.items()) or DEFAULT_PRICES
 
 
 DEFAULT_PRICES = tuple(PriceEntry(p, r) for p, r in DEFAULT_PRICE_ROWS)

@@ -42,15 +42,3 @@ def fraction_status(fraction: Column, cfg: MeterConfig) -> Column:
     return (F.when(fraction >= F.lit(1.0), F.lit(STATUS_BREACH))
              .when(fraction >= F.lit(float(cfg.warn_ratio)), F.lit(STATUS_WARNING))
              .otherwise(F.lit(STATUS_NORMAL)))
-
-
-def sql_status(cost_sql: str, cfg: MeterConfig) -> str:
-    return (f"(CASE WHEN {cost_sql} >= CAST({cfg.budget_usd} AS DECIMAL(38,12)) THEN '{STATUS_BREACH}' "
-            f"WHEN {cost_sql} >= CAST({cfg.warn_usd} AS DECIMAL(38,12)) THEN '{STATUS_WARNING}' "
-            f"ELSE '{STATUS_NORMAL}' END)")
-
-
-def sql_fraction_status(frac_sql: str, cfg: MeterConfig) -> str:
-    return (f"(CASE WHEN {frac_sql} >= 1.0 THEN '{STATUS_BREACH}' "
-            f"WHEN {frac_sql} >= {float(cfg.warn_ratio)!r} THEN '{STATUS_WARNING}' "
-            f"ELSE '{STATUS_NORMAL}' END)")

@@ -121,21 +121,3 @@ def with_cost_join(df: DataFrame, cfg: MeterConfig, model_col: str = "model_id",
 def usd(c: Column) -> Column:
     """Exact decimal money -> DOUBLE at the output edge."""
     return c.cast("double")
-
-
-# --------------------------------------------------------------------------
-# Independent SQL text of the same price rule, for the DuckDB oracle.
-# --------------------------------------------------------------------------
-def sql_rate_case(model_sql: str, cfg: MeterConfig, k: int) -> str:
-    mid = f"lower(coalesce({model_sql}, ''))"
-    parts = []
-    for _, pattern, rates in cfg.normalized_prices():
-        parts.append(f"WHEN contains({mid}, '{pattern}') THEN CAST({rates[k] / _MILLION:f} AS DECIMAL(16,12))")
-    fb = format(cfg.fallback_rates()[k] / _MILLION, 'f')
-    return f"(CASE {' '.join(parts)} ELSE CAST({fb} AS DECIMAL(16,12)) END)"
-
-
-def sql_cost(model_sql: str, token_sqls: list[str], cfg: MeterConfig) -> str:
-    terms = [f"CAST(coalesce({t}, 0) AS DECIMAL(18,0)) * {sql_rate_case(model_sql, cfg, k)}"
-             for k, t in enumerate(token_sqls)]
-    return "(" + " + ".join(terms) + ")"

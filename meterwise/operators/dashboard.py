@@ -79,14 +79,12 @@ def user_search(d: DataFrame, query: str, regex: bool = True) -> DataFrame:
 
 def apply_filters(d: DataFrame, flt: DashboardFilters) -> DataFrame:
     """F4-F6. The min-spend test uses the pre-filter all-model spend."""
-    out = user_search(d, flt.user_query, flt.regex)
-    if flt.models:
-        out = out.where(F.col("model").isin(list(flt.models)))
-    if flt.statuses:
-        out = out.where(F.col("status").isin(list(flt.statuses)))
-    if flt.min_spend > 0:
-        out = out.where(F.col("user_month_spend") >= F.lit(float(flt.min_spend)))
-    return out
+    chosen = [(flt.models, F.col("model").isin(*flt.models)),
+              (flt.statuses, F.col("status").isin(*flt.statuses)),
+              (flt.min_spend > 0, F.col("user_month_spend") >= F.lit(float(flt.min_spend)))]
+    for wanted, test in chosen:
+        d = d.where(test) if wanted else d
+    return user_search(d, flt.user_query, flt.regex)
 
 
 def user_spend_table(filtered: DataFrame, cfg: MeterConfig) -> DataFrame:

@@ -112,13 +112,24 @@ def throttle(audits: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFra
     w = Window.partitionBy("user", "month").orderBy(at_col)
     d = (audits.withColumn("prev_mode", F.lag("mode").over(w))
                .withColumn("prev_at", F.lag(at_col).over(w)))
+    return _with_notify(d, cfg, at_col)
+
+
+def throttle_next(audits: DataFrame, prior: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFrame:
+    """W5 for one run: its audits against the last earlier one of the same
+    (user, month), as :func:`latest_audit` gives it."""
+    last = prior.select("user", "month", F.col("mode").alias("prev_mode"), F.col("at").alias("prev_at"))
+    return _with_notify(audits.join(last, ["user", "month"], "left"), cfg, at_col)
+
+
+def _with_notify(d: DataFrame, cfg: MeterConfig, at_col: str) -> DataFrame:
     gap = F.col(at_col).cast("timestamp").cast("long") - F.col("prev_at").cast("timestamp").cast("long")
     window_s = int(cfg.renotify_hours) * 3600
     repeat = (F.col("prev_mode") == F.col("mode")) & (gap < F.lit(window_s))
     notify = (F.when(F.col("mode") == "REMOVED", F.lit(True))
                .when(F.col("mode").isin("DRYRUN", "ERROR"), ~F.coalesce(repeat, F.lit(False)))
                .otherwise(F.lit(False)))
-    if "notifiable" in audits.columns:
+    if "notifiable" in d.columns:
         notify = notify & F.col("notifiable")
     return d.withColumn("notify", notify)
 

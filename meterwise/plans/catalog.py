@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.functions import budget, pricing
+from meterwise.functions import budget, pricing, text
 from meterwise.functions.models import short_model
 from meterwise.functions.pricing import TOKEN_COLS
 from meterwise.operators import alerts, dashboard, leaderboard, metrics, rollup
@@ -589,6 +589,9 @@ def q_stream_rollup(spark, sf):
     return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
 
 
+_ALERT_COLS = ("level", "user", "month", "boundary_usd", "subject")
+
+
 @register("scheduled_rollup")
 def q_scheduled_rollup(spark, sf):
     """ST1 as a scheduled batch run: hour-prefix listing of the scan window,
@@ -611,15 +614,15 @@ def q_stream_spend_alerts(spark, sf):
     root = fresh_path(spark, "runs", "state_alerts")
     spend_state.run_spend_alert_stream(spark, f2_layout(spark, sf), f"{root}/alerts", f"{root}/_checkpoint",
                                        fx.F1_CFG, max_files_per_trigger=500)
-    return spend_state.read_state_alerts(spark, f"{root}/alerts")
+    return rollup_stream.read_alerts(spark, f"{root}/alerts").select(*_ALERT_COLS)
 
 
 @register("alerts_sink")
 def q_alerts_sink(spark, sf):
-    """Alert rows the stream wrote (level, user, month, subject, body,
-    attributes), one partition per micro-batch."""
+    """Alerts the stream wrote; amounts and bodies tell of the batch that
+    crossed, so the columns are those no batch boundary changes."""
     paths = _stream_run(spark, sf)
-    return rollup_stream.read_alerts(spark, paths.alerts)
+    return rollup_stream.read_alerts(spark, paths.alerts).select(*_ALERT_COLS)
 
 
 @register("late_data_policy")
@@ -647,8 +650,9 @@ def q_csv_export(spark, sf):
     cols = ["user", "month", "cost_usd", "pct_display", "status", "total_tokens", "input_tokens",
             "output_tokens", "invocations"]
     path = fresh_path(spark, "runs", "csv")
-    f1_user_table(spark, sf).select(*cols).write.option("header", True).csv(path)
-    return spark.read.option("header", True).csv(path)
+    t = f1_user_table(spark, sf).select(*cols)
+    t.write.option("header", True).csv(path)
+    return spark.read.schema(t.schema).option("header", True).csv(path)
 
 
 @register("unprocessed_objects")
@@ -750,3 +754,19 @@ def q_enforcement_audit(spark, sf):
     return last.select("user", "month", "mode", _ts_text(F.col("at")).alias("at"),
                        _ts_text(F.col("expire_at")).alias("expire_at"),
                        F.col("detail.userId").alias("user_id"))
+
+
+@register("enforcement_run")
+def q_enforcement_run(spark, sf):
+    """ST8 / S11 in the stream, dry-run off: last audit of each (user, month)
+    that the batches of the rollup stream wrote."""
+    paths = rollup_stream.StreamPaths.under(fresh_path(spark, "runs", "enforce"))
+    rollup_stream.run_rollup_stream(
+        spark, f2_layout(spark, sf), paths, fx.REMOVE_CFG, max_files_per_trigger=500,
+        directory=rollup_stream.Directory(tables.directory_users(spark, sf), tables.directory_groups(spark, sf),
+                                          tables.directory_memberships(spark, sf)))
+    last = enforcement.latest_audit(rollup_stream.read_audit(spark, paths.audit))
+    return last.select("user", "month", "mode", F.col("detail.userId").alias("user_id"),
+                       F.col("detail.reason").alias("reason"),
+                       text.group_list(F.col("detail.removed")).alias("removed_groups"),
+                       text.group_list(F.col("detail.skipped")).alias("skipped_groups"))

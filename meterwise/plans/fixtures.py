@@ -30,3 +30,5 @@ HIST_BINS = 40
 ENFORCE_CFG = F1_CFG.with_(enforce_enabled=True, identity_store_id="store-1",
                            group_ids=("g-3",), group_names=("NATION_5", "NATION_3", "NO_SUCH_GROUP"),
                            allow_list=("user7", "user42"))
+# The same with dry-run off: memberships count as removed.
+REMOVE_CFG = ENFORCE_CFG.with_(enforce_dry_run=False)

@@ -7,9 +7,6 @@ broken explicitly, no clock functions are used.
 
 from __future__ import annotations
 
-from meterwise.functions.budget import sql_fraction_status, sql_status
-from meterwise.functions.models import sql_short_model
-from meterwise.functions.pricing import sql_cost
 from meterwise.plans import fixtures as fx
 from meterwise.sources.raw_records import CHUNK_EVENTS
 from meterwise.sources.tables import EVENT_MODEL, ORDER_MODEL, OTHER_MODEL
@@ -19,6 +16,35 @@ U = '"user"'
 
 ORACLE: dict[str, str] = {}
 
+# USD per token of the default price table: first match, then the fallback (fixed values).
+RATES = (("opus", ("0.000005", "0.000025", "0.00000625", "0.0000005")),
+         ("sonnet", ("0.000003", "0.000015", "0.00000375", "0.0000003")),
+         ("haiku", ("0.000001", "0.000005", "0.00000125", "0.0000001")))
+FALLBACK = ("0.000003", "0.000015", "0.00000375", "0.0000003")
+
+
+def sql_cost(model: str, tokens: list[str]) -> str:
+    terms = []
+    for k, t in enumerate(tokens):
+        whens = " ".join(f"WHEN lower(coalesce({model}, '')) LIKE '%{p}%' THEN CAST({r[k]} AS DECIMAL(16,12))" for p, r in RATES)
+        terms.append(f"CAST(coalesce({t}, 0) AS DECIMAL(18,0)) * (CASE {whens} ELSE CAST({FALLBACK[k]} AS DECIMAL(16,12)) END)")
+    return "(" + " + ".join(terms) + ")"
+
+
+def sql_status(cost: str, cfg) -> str:
+    b = f"CAST({cfg.budget_usd} AS DECIMAL(38,12))"
+    return (f"(CASE WHEN {cost} < {b} * CAST({cfg.warn_ratio} AS DECIMAL(4,2)) THEN 'Normal' "
+            f"WHEN {cost} < {b} THEN 'Warning' ELSE 'Breach' END)")
+
+
+def sql_fraction_status(fraction: str, cfg) -> str:
+    return f"(CASE WHEN {fraction} < {float(cfg.warn_ratio)!r} THEN 'Normal' WHEN {fraction} < 1.0 THEN 'Warning' ELSE 'Breach' END)"
+
+
+def sql_short_model(m: str) -> str:
+    tail = f"regexp_replace({m}, '^.*?inference-profile/', '')"
+    return f"coalesce(nullif({tail}, ''), CASE WHEN coalesce({m}, '') = '' THEN '?' ELSE '' END)"
+
 
 def _case(col: str, pairs, default: str | None) -> str:
     whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in pairs)
@@ -56,7 +82,7 @@ def with_total(rel: str) -> str:
 
 
 def priced_sql(rel: str, cfg) -> str:
-    return f"SELECT *, {sql_cost('model_id', list(TOK), cfg)} AS cost FROM {rel}"
+    return f"SELECT *, {sql_cost('model_id', list(TOK))} AS cost FROM {rel}"
 
 
 def f1_base(cfg=fx.F1_CFG) -> str:
@@ -99,38 +125,34 @@ ORACLE["usage_rollup"] = f1_base() + f"SELECT {U}, model_id, month, {COUNTERS} F
 ORACLE["row_cost"] = f1_base() + f"SELECT {U}, model_id, month, {', '.join(TOK)}, {usd('cost')} AS cost_usd FROM priced"
 
 
-def _rates_sql(cfg):
-    from meterwise.functions.pricing import sql_rate_case
-    names = ("rate_in", "rate_out", "rate_cw", "rate_cr")
-    return ", ".join(f"CAST({sql_rate_case('model_id', cfg, k)} * 1000000 AS DOUBLE) AS {n}"
-                     for k, n in enumerate(names))
+def _first_match(values, otherwise: str) -> str:
+    whens = " ".join(f"WHEN lower(coalesce(model_id, '')) LIKE '%{p}%' THEN {v}" for (p, _), v in zip(RATES, values))
+    return f"(CASE {whens} ELSE {otherwise} END)"
+
+
+def _per_million(rate: str) -> str:
+    return f"CAST(CAST({rate} AS DECIMAL(16,12)) * 1000000 AS DOUBLE)"
 
 
-def _pattern_sql(cfg):
-    whens = " ".join(f"WHEN contains(lower(coalesce(model_id, '')), '{p}') THEN '{p}'"
-                     for _, p, _ in cfg.normalized_prices())
-    return f"(CASE {whens} ELSE NULL END)"
+_NAMES_R = ("rate_in", "rate_out", "rate_cw", "rate_cr")
 
 
 ORACLE["model_rates"] = f1_base() + f"""
-SELECT model_id, {_pattern_sql(fx.F1_CFG)} AS matched_pattern, CAST(sum(invocations) AS BIGINT) AS invocations,
-       {_rates_sql(fx.F1_CFG)}
+SELECT model_id, {_first_match([f"'{p}'" for p, _ in RATES], 'NULL')} AS matched_pattern, CAST(sum(invocations) AS BIGINT) AS invocations,
+       {', '.join(_first_match([_per_million(r[k]) for _, r in RATES], _per_million(FALLBACK[k])) + f' AS {n}' for k, n in enumerate(_NAMES_R))}
 FROM usage GROUP BY model_id"""
 
 
-def _price_rows_sql(cfg):
-    rows = []
-    for i, p, r in cfg.normalized_prices():
-        rows.append(f"({i}, '{p}', {float(r[0])!r}, {float(r[1])!r}, {float(r[2])!r}, {float(r[3])!r})")
-    fb = cfg.fallback_rates()
-    rows.append(f"({len(rows)}, NULL, {float(fb[0])!r}, {float(fb[1])!r}, {float(fb[2])!r}, {float(fb[3])!r})")
-    return ("SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") AS t(priority, pattern, rate_in, rate_out, rate_cw, rate_cr)")
+def _price_rows_sql() -> str:
+    rows = [*((f"'{p}'", r) for p, r in RATES), ("NULL", FALLBACK)]
+    return " UNION ALL ".join(f"SELECT {i} AS priority, {p} AS pattern, "
+                              + ", ".join(f"{_per_million(x)} AS {n}" for x, n in zip(r, _NAMES_R))
+                              for i, (p, r) in enumerate(rows))
 
 
 ORACLE["price_table"] = f1_base() + f""",
- counts AS (SELECT {_pattern_sql(fx.F1_CFG)} AS pattern, sum(invocations) AS n FROM usage GROUP BY 1),
- prices AS ({_price_rows_sql(fx.F1_CFG)})
+ counts AS (SELECT {_first_match([f"'{p}'" for p, _ in RATES], 'NULL')} AS pattern, sum(invocations) AS n FROM usage GROUP BY 1),
+ prices AS ({_price_rows_sql()})
 SELECT CAST(p.priority AS INTEGER) AS priority, p.pattern, CAST(p.rate_in AS DOUBLE) AS rate_in,
        CAST(p.rate_out AS DOUBLE) AS rate_out, CAST(p.rate_cw AS DOUBLE) AS rate_cw,
        CAST(p.rate_cr AS DOUBLE) AS rate_cr, CAST(coalesce(c.n, 0) AS BIGINT) AS invocations
@@ -154,7 +176,7 @@ WHERE c >= CAST({fx.F1_CFG.budget_usd} AS DECIMAL(38,12))"""
 ORACLE["model_totals"] = f1_base() + f"""
 SELECT model_id, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TOK)},
        CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(invocations) AS BIGINT) AS invocations,
-       {usd(sql_cost('model_id', [f'sum({t})' for t in TOK], fx.F1_CFG))} AS cost_usd
+       {usd(sql_cost('model_id', [f'sum({t})' for t in TOK]))} AS cost_usd
 FROM usage GROUP BY model_id"""
 
 ORACLE["leaderboard"] = f1_base() + f"""
@@ -299,7 +321,7 @@ FROM x GROUP BY ALL"""
 _MT = f"""
  mt AS (SELECT model_id, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TOK)},
                CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(invocations) AS BIGINT) AS invocations,
-               round_even({sql_cost('model_id', [f'sum({t})' for t in TOK], fx.F1_CFG)}, 4) AS cost4
+               round_even({sql_cost('model_id', [f'sum({t})' for t in TOK])}, 4) AS cost4
         FROM usage GROUP BY model_id)"""
 _MBM = f""",{_MT},
  mbm AS (SELECT model_id, CAST(0 AS BIGINT) AS grouping_id, {COUNTERS}, {usd('cost4')} AS cost_usd FROM mt
@@ -318,7 +340,7 @@ FROM t GROUP BY CUBE ({U}, model_id)"""
 
 def _priced_inv(cfg=fx.F1_CFG) -> str:
     return (f"WITH inv AS ({INV_EVENTS}),\n pinv AS (SELECT *, {' + '.join(TOK)} AS total_tokens, "
-            f"{sql_cost('model_id', list(TOK), cfg)} AS cost, "
+            f"{sql_cost('model_id', list(TOK))} AS cost, "
             f"time_bucket(INTERVAL '5 minutes', ts) AS run FROM inv)\n")
 
 
@@ -455,7 +477,7 @@ ORACLE["alert_text"] = _BA + f""",
        WHERE delta > 0 AND prev_cost < boundary AND boundary <= new_cost)
 SELECT level, {U}, month, {ts_text('run')} AS run,
        substr('[{fx.F1_CFG.alert_label} ' || level || '] ' || {U} || ' crossed $' || format('{{:.2f}}', b) || ' spend (' || month || ')', 1, 100) AS subject,
-       'Monthly spend crossed a configured boundary.' || chr(10) || chr(10) ||
+       'Spend of this month has passed an alert level.' || chr(10) || chr(10) ||
        '  Level         : ' || level || chr(10) ||
        '  User          : ' || {U} || chr(10) ||
        '  Month         : ' || month || chr(10) ||
@@ -469,13 +491,13 @@ FROM a"""
 _EC = fx.ENFORCE_CFG
 
 
-def _enforce_ctes() -> str:
-    allow = ", ".join(f"'{u}'" for u in _EC.allow_list) or "NULL"
-    ids = " UNION ALL ".join(f"SELECT {i} AS ord, '{g}' AS label, '{g}' AS group_id" for i, g in enumerate(_EC.group_ids))
-    names = ", ".join(f"({len(_EC.group_ids) + i}, '{n}')" for i, n in enumerate(_EC.group_names))
+def _enforce_ctes(ec=_EC) -> str:
+    allow = ", ".join(f"'{u}'" for u in ec.allow_list) or "NULL"
+    ids = " UNION ALL ".join(f"SELECT {i} AS ord, '{g}' AS label, '{g}' AS group_id" for i, g in enumerate(ec.group_ids))
+    names = ", ".join(f"({len(ec.group_ids) + i}, '{n}')" for i, n in enumerate(ec.group_names))
     return f""",
  spend AS (SELECT {U}, month, sum(cost) AS c FROM priced GROUP BY {U}, month),
- cand AS (SELECT * FROM spend WHERE c >= CAST({_EC.budget_usd} AS DECIMAL(38,12))
+ cand AS (SELECT * FROM spend WHERE c >= CAST({ec.budget_usd} AS DECIMAL(38,12))
           AND {U} IS NOT NULL AND {U} NOT IN ('unknown', '') AND {U} NOT IN ({allow})),
  grp AS (SELECT n_name AS display_name, 'g-' || CAST(n_nationkey AS VARCHAR) AS group_id FROM nation),
  tall AS ({ids} UNION ALL
@@ -503,10 +525,10 @@ def _enforce_ctes() -> str:
           FROM pairs GROUP BY {U}, month),
  decs AS (SELECT res.{U}, res.month,
                  CASE WHEN res.user_id IS NULL THEN 'ERROR' WHEN coalesce(n_mem, 0) > 0 THEN
-                      {"'DRYRUN'" if _EC.enforce_dry_run else "'REMOVED'"} ELSE 'SKIPPED' END AS mode,
+                      {"'DRYRUN'" if ec.enforce_dry_run else "'REMOVED'"} ELSE 'SKIPPED' END AS mode,
                  res.user_id, CASE WHEN res.user_id IS NULL THEN 'user_unresolved' END AS reason,
-                 {"'none'" if _EC.enforce_dry_run else "coalesce(members_txt, 'none')"} AS removed_groups,
-                 {"coalesce(members_txt, 'none')" if _EC.enforce_dry_run else "'none'"} AS dryrun_groups,
+                 {"'none'" if ec.enforce_dry_run else "coalesce(members_txt, 'none')"} AS removed_groups,
+                 {"coalesce(members_txt, 'none')" if ec.enforce_dry_run else "'none'"} AS dryrun_groups,
                  coalesce(skipped_txt, 'none') AS skipped_groups, 'none' AS errored_groups
           FROM res LEFT JOIN pagg ON pagg.{U} = res.{U} AND pagg.month = res.month)
 """
@@ -517,7 +539,7 @@ ORACLE["group_targets"] = f1_base(_EC) + _enforce_ctes() + "SELECT ord, label, g
 ORACLE["enforcement_decisions"] = f1_base(_EC) + _enforce_ctes() + "SELECT * FROM decs"
 
 _HIST = f""",
- pinv AS (SELECT *, {sql_cost('model_id', list(TOK), _EC)} AS cost, time_bucket(INTERVAL '5 minutes', ts) AS run FROM inv),
+ pinv AS (SELECT *, {sql_cost('model_id', list(TOK))} AS cost, time_bucket(INTERVAL '5 minutes', ts) AS run FROM inv),
  rd AS (SELECT {U}, month, run, sum(cost) AS delta FROM pinv GROUP BY {U}, month, run),
  rba AS (SELECT *, sum(delta) OVER (PARTITION BY {U}, month ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS new_cost
          FROM rd),
@@ -553,14 +575,28 @@ SELECT {U}, month, {ts_text('at_ts')} AS "at", mode AS level,
        substr(CASE mode WHEN 'REMOVED' THEN '[{_EC.alert_label} ENFORCE] Removed ' || {U} || ' from group(s) ('
                         WHEN 'DRYRUN' THEN '[{_EC.alert_label} ENFORCE dry-run] WOULD remove ' || {U} || ' ('
                         ELSE '[{_EC.alert_label} ENFORCE error] Failed enforcing ' || {U} || ' (' END || month || ')', 1, 100) AS subject,
-       'Budget enforcement ran for an over-budget user.' || chr(10) || chr(10) ||
+       'This user has spent the month''s budget and was checked.' || chr(10) || chr(10) ||
        '  User          : ' || {U} || chr(10) ||
        '  User ID       : ' || coalesce(user_id, '') || chr(10) ||
        '  Month         : ' || month || chr(10) ||
        CASE mode WHEN 'REMOVED' THEN '  Action        : REMOVED from group membership(s)' || chr(10) || '  Groups        : ' || removed_groups || chr(10) ||
-                      chr(10) || 'This is reversible: re-add the user to the group(s) above to restore access.' || chr(10)
+                      chr(10) || 'To undo it, put the user back into these groups.' || chr(10)
                  WHEN 'DRYRUN' THEN '  Action        : DRY-RUN (no change made)' || chr(10) || '  Would remove  : ' || dryrun_groups || chr(10) ||
-                      chr(10) || 'Dry-run is ON, so no membership was changed.' || chr(10)
+                      chr(10) || 'Memberships stay as they are in dry-run mode.' || chr(10)
                  ELSE '  Action        : ERROR (enforcement failed)' || chr(10) || '  Failed groups : ' || errored_groups || chr(10) ||
-                      chr(10) || 'Enforcement will be retried on the next run.' || chr(10) END AS body
+                      chr(10) || 'The next run tries again.' || chr(10) END AS body
 FROM n"""
+ORACLE["enforcement_run"] = f1_base(_EC) + _enforce_ctes(fx.REMOVE_CFG) + (
+    f"SELECT {U}, month, mode, user_id, reason, removed_groups, skipped_groups FROM decs")
+
+# ---------------------------------------------------------------- sinks: rows that no batch boundary changes
+_CSV = "month, cost_usd, pct_display, status, total_tokens, input_tokens, output_tokens, invocations"
+ORACLE["csv_export"] = f"SELECT {U}, {_CSV} FROM ({ORACLE['user_spend_table']})"
+ORACLE["alerts_sink"] = f"""
+SELECT level, {U}, month, CAST(boundary AS DOUBLE) AS boundary_usd,
+       substr('[Spend ' || level || '] ' || {U} || ' crossed $' || format('{{:.2f}}', CAST(boundary AS DOUBLE)) ||
+              ' spend (' || month || ')', 1, 100) AS subject
+FROM ({f1_base()} SELECT {U}, month, sum(cost) AS c FROM priced GROUP BY {U}, month)
+JOIN (VALUES ('WARN', {fx.F1_CFG.budget_usd} * {fx.F1_CFG.warn_ratio}), ('BREACH', {fx.F1_CFG.budget_usd})) v(level, boundary)
+  ON c >= boundary"""
+ORACLE["stream_spend_alerts"] = ORACLE["alerts_sink"]

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterwise.config import MeterConfig
 from meterwise.functions import pricing
-from meterwise.operators import alerts, metrics, rollup
+from meterwise.operators import alerts, enforcement, metrics, rollup
+from meterwise.session import path_exists
 from meterwise.sources import ledger, log_scan
 
 
@@ -31,6 +32,12 @@ from meterwise.sources import ledger, log_scan
 ALERTS_SCHEMA = ("level string, user string, month string, run bigint, prev_cost_usd double, "
                  "new_cost_usd double, boundary_usd double, subject string, body string, "
                  "attributes map<string,string>, batch_id bigint")
+AUDIT_SCHEMA = (f"user string, mode string, detail struct<userId:string,removed:array<{enforcement.ENTRY}>,"
+                f"dryrun:array<{enforcement.ENTRY}>,skipped:array<{enforcement.ENTRY}>,"
+                f"errored:array<{enforcement.ENTRY}>,reason:string>, at timestamp, expire_at timestamp, "
+                "month string, batch_id bigint")
+NOTICES_SCHEMA = ("user string, month string, at timestamp, level string, subject string, body string, "
+                  "attributes map<string,string>, batch_id bigint")
 METRICS_SCHEMA = "dims string, name string, value double, batch_id bigint"
 
 
@@ -42,16 +49,36 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS_SCHEMA).parquet(path)
 
 
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT_SCHEMA).parquet(path)
+
+
+def read_notices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NOTICES_SCHEMA).parquet(path)
+
+
 @dataclass(frozen=True)
 class StreamPaths:
     ledger: str
     alerts: str
     metrics: str
     checkpoint: str
+    audit: str = ""
+    notices: str = ""
 
     @classmethod
     def under(cls, root: str) -> "StreamPaths":
-        return cls(f"{root}/ledger", f"{root}/alerts", f"{root}/metrics", f"{root}/_checkpoint")
+        return cls(f"{root}/ledger", f"{root}/alerts", f"{root}/metrics", f"{root}/_checkpoint",
+                   f"{root}/audit", f"{root}/notices")
+
+
+@dataclass(frozen=True)
+class Directory:
+    """The directory tables that enforcement reads."""
+
+    users: DataFrame
+    groups: DataFrame
+    memberships: DataFrame
 
 
 def log_stream(spark: SparkSession, layout: log_scan.LogLayout, max_files_per_trigger: int = 1000,
@@ -87,50 +114,81 @@ def _priced_partials(df: DataFrame, cfg: MeterConfig) -> DataFrame:
     return pricing.with_cost(df, cfg)
 
 
+def _write_batch(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
+    """Rows of a batch, in place of any the same batch wrote before."""
+    (df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(path))
+
+
 def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
-                  ledger_alerts: bool = True) -> None:
+                  ledger_alerts: bool = True, directory: Directory | None = None) -> None:
+    """Ledger partials of a batch, then all that follows from them: alerts,
+    enforcement (if configured, with a directory) and metrics."""
     spark = batch.sparkSession
     files = log_scan.with_path_parts(batch)
     inv = log_scan.decode_invocations(files, F.date_format(F.col("modified"), "yyyy-MM"), cfg.month_zone)
-    inv = inv.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).persist()
+    inv = inv.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+    parts = ledger.batch_partials(inv).persist()
     try:
-        parts = ledger.batch_partials(inv)
         ledger.write_partials(parts, paths.ledger)
-        if ledger_alerts:
-            _ledger_alerts(spark, parts, batch_id, paths, cfg)
-        usage = rollup.usage_rollup(inv)
-        mrows = metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(usage, cfg)))
-        (mrows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(paths.metrics))
+        enforce = directory is not None and cfg.enforcement_configured()
+        if ledger_alerts or enforce:
+            ba = _before_after(spark, parts, batch_id, paths, cfg)
+            if ledger_alerts:
+                _write_batch(alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg), paths.alerts, batch_id)
+            if enforce:
+                _enforce(ba, files, batch_id, paths, cfg, directory)
+        usage = rollup.merge_usage(parts)
+        _write_batch(metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(usage, cfg))),
+                     paths.metrics, batch_id)
+    finally:
+        parts.unpersist()
+
+
+def _enforce(ba: DataFrame, files: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
+             directory: Directory) -> None:
+    """ST8 in the run: each touched user at or over budget gets a decision,
+    an audit row and, unless throttled by the last earlier audit, a notice.
+
+    The time of an audit is the latest modification time of the batch's
+    objects, so a replayed batch writes the same rows.
+    """
+    spark = ba.sparkSession
+    over = alerts.over_budget(ba.where(F.col("delta") > 0), cfg)
+    dec = enforcement.decisions(enforcement.candidates(over, cfg), directory.users, directory.memberships,
+                                enforcement.group_targets(directory.groups, cfg), cfg)
+    dec = dec.withColumn("at", files.select(F.max("modified")).scalar()).persist()
+    try:
+        prior = spark.createDataFrame([], AUDIT_SCHEMA)
+        if path_exists(spark, paths.audit):
+            prior = read_audit(spark, paths.audit).where(F.col("batch_id") < F.lit(int(batch_id)))
+        due = enforcement.throttle_next(dec, enforcement.latest_audit(prior), cfg)
+        _write_batch(enforcement.notices(due, cfg), paths.notices, batch_id)
+        _write_batch(enforcement.audit_rows(dec, cfg), paths.audit, batch_id, "month")
     finally:
-        inv.unpersist()
+        dec.unpersist()
 
 
-def _ledger_alerts(spark: SparkSession, parts: DataFrame, batch_id: int, paths: StreamPaths,
-                   cfg: MeterConfig) -> None:
-    """Dollar alerts of a batch from the ledger: prev / new month spend of
-    the users the batch touched (month partitions pruned, semi-join on the
-    touched users)."""
+def _before_after(spark: SparkSession, parts: DataFrame, batch_id: int, paths: StreamPaths,
+                  cfg: MeterConfig) -> DataFrame:
+    """Month spend before and after a batch of the users it touched, from the
+    ledger (month partitions pruned, semi-join on the touched users)."""
     touched = _priced_partials(parts, cfg).groupBy("user", "month").agg(F.sum("cost").alias("delta"))
     months = [r[0] for r in touched.select("month").distinct().collect()]
     led = _priced_partials(ledger.read_partials(spark, paths.ledger).where(F.col("month").isin(months)), cfg)
     led = led.join(touched.select("user", "month"), ["user", "month"], "left_semi")
     b = F.lit(int(batch_id))
     tot = led.groupBy("user", "month").agg(
-        F.sum(F.when(F.col("batch_id") < b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("prev_raw"),
         F.sum(F.when(F.col("batch_id") <= b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("new_cost"))
-    ba = (touched.join(tot, ["user", "month"])
-                 .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), F.lit(0).cast("decimal(38,12)")))
-                 .withColumn("run", b.cast("bigint")))
-    al = alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg).withColumn("batch_id", b.cast("bigint"))
-    (al.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(paths.alerts))
+    return (touched.join(tot, ["user", "month"])
+                   .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), F.lit(0).cast("decimal(38,12)")))
+                   .withColumn("run", b.cast("bigint")))
 
 
 def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, cfg: MeterConfig,
                       max_files_per_trigger: int = 1000, start_ts: datetime | None = None,
                       available_now: bool = True, processing_time: str | None = None, robust: bool = False,
-                      alerts_mode: str = "ledger"):
+                      alerts_mode: str = "ledger", directory: Directory | None = None):
     """Start the rollup stream; with ``available_now`` it processes what is
     there in bounded batches and stops (tests, catch-up), otherwise it runs
     on ``processing_time`` (e.g. ``'5 minutes'``).
@@ -145,7 +203,7 @@ def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: St
                                            max_files_per_trigger, start_ts, available_now, processing_time, robust)
     src = log_stream(spark, layout, max_files_per_trigger, start_ts, robust)
     ledger_alerts = alerts_mode == "ledger"
-    w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg, ledger_alerts))
+    w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg, ledger_alerts, directory))
             .option("checkpointLocation", paths.checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or cfg.schedule)
     q = w.start()

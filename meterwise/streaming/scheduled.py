@@ -28,7 +28,7 @@ from pyspark.sql import SparkSession, functions as F
 from meterwise.config import MeterConfig
 from meterwise.session import glob_exists
 from meterwise.sources import log_scan
-from meterwise.streaming.rollup_stream import StreamPaths, process_batch
+from meterwise.streaming.rollup_stream import Directory, StreamPaths, process_batch
 
 MARKER_SCHEMA = "path string, run_id long, processed_at timestamp, day date"
 
@@ -44,7 +44,7 @@ def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) ->
 def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, markers_path: str,
                          cfg: MeterConfig, run_id: int, now: datetime, checkpoint: datetime | None = None,
                          regions: list[str] | None = None, start_ts: datetime | None = None,
-                         robust: bool = True) -> dict:
+                         robust: bool = True, directory: Directory | None = None) -> dict:
     """One scheduled run. ``start_ts`` (a first run or a deliberate
     catch-up) replaces the look-back rule for the cut-off."""
     cutoff = start_ts if start_ts is not None else cutoff_for(now, checkpoint, cfg)
@@ -71,6 +71,6 @@ def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths:
         if robust:
             unreadable = files.where(F.col("read_error").isNotNull()).count()
             files = files.drop("read_error")
-        process_batch(files, run_id, paths, cfg)
+        process_batch(files, run_id, paths, cfg, directory=directory)
     return {"run_id": run_id, "cutoff": cutoff.isoformat(), "hours": len(hours), "objects_processed": len(objects),
             "objects_unreadable": unreadable}

@@ -35,7 +35,7 @@ def test_crash_and_repeat_gives_the_exact_ledger(spark, monkeypatch, step):
     _write(base, "us-east-1", HOUR, "a.json.gz", [_rec("a", "y", "2024-05-01T10:00:00Z", 100)])
     if step == "after_markers":
         with monkeypatch.context() as m:
-            m.setattr(scheduled, "process_batch", lambda *a: 1 / 0)
+            m.setattr(scheduled, "process_batch", lambda *a, **k: 1 / 0)
             with pytest.raises(ZeroDivisionError):
                 run(1, datetime(2024, 5, 1, 10, 5))
     else:
@@ -103,6 +103,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         sparkContext = Context()
 
         class conf:  # noqa: N801
-            get = staticmethod(lambda *a: None)
+            get = staticmethod(lambda *a, **k: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_root(Session())

@@ -213,3 +213,24 @@ def test_series_does_not_depend_on_the_batch_size(spark):
         late = sum(r["late"] for r in series_stream.late_records(spark, out, CFG).collect())
         assert late <= 3 and (cap == 1 or late == 0)
     assert rows[0] == rows[1] and sum(r[6] for r in rows[0]) == 4
+
+
+def test_batches_decide_audit_and_throttle(spark):
+    root = tempfile.mkdtemp(prefix="mw-enforce-")
+    base = f"{root}/logs/" + LOG_DIR.format(account="1")
+    cfg = CFG.with_(enforce_enabled=True, identity_store_id="s", group_ids=("g1",), allow_list=("carol",))
+    directory = rs.Directory(
+        spark.createDataFrame([("alice", "ua"), ("carol", "uc")], "user_name string, user_id string"),
+        spark.createDataFrame([], "display_name string, group_id string"),
+        spark.createDataFrame([("g1", "ua", "m1"), ("g1", "uc", "m3")], "group_id string, user_id string, membership_id string"))
+    paths, lay = rs.StreamPaths.under(f"{root}/run"), log_scan.LogLayout(base)
+    for k, hours in enumerate((0, 1, 30)):       # the second follows within the 24 hours, the third does not
+        _write(base, "us-east-1", datetime(2024, 5, 1, 10), f"{k}.json.gz",
+               [_rec(u, "x-opus", "2024-05-01T10:00:00Z", 1000) for u in ("alice", "bob", "carol")])
+        when = datetime(2024, 5, 1, 11).timestamp() + 3600 * hours
+        os.utime(os.path.join(base, "us-east-1", "2024/05/01/10", f"{k}.json.gz"), (when, when))
+        rs.run_rollup_stream(spark, lay, paths, cfg, directory=directory)
+    audit = sorted((r["batch_id"], r["user"], r["mode"]) for r in rs.read_audit(spark, paths.audit).collect())
+    assert audit == [(b, u, m) for b in range(3) for u, m in (("alice", "DRYRUN"), ("bob", "ERROR"))]
+    told = sorted((r["batch_id"], r["user"], r["level"]) for r in rs.read_notices(spark, paths.notices).collect())
+    assert told == [(0, "alice", "DRYRUN"), (2, "alice", "DRYRUN")]
