@@ -86,7 +86,7 @@ def test_keyed_state_alerts_equal_ledger_alerts(spark, sf):
     spend_state.run_spend_alert_stream(spark, lay, f"{root}/alerts", f"{root}/_ck", fx.F1_CFG, max_files_per_trigger=200)
     cols = ["user", "month", "level", "prev_cost_usd", "new_cost_usd", "boundary_usd", "subject", "body", "batch_id"]
     a = sorted(tuple(r) for r in rs.read_alerts(spark, paths.alerts).select(*cols).collect())
-    b = sorted(tuple(r) for r in spend_state.read_state_alerts(spark, f"{root}/alerts").select(*cols).collect())
+    b = sorted(tuple(r) for r in rs.read_alerts(spark, f"{root}/alerts").select(*cols).collect())
     assert a == b and len(a) > 0
 
 
