@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterwise.config import STATUS_BREACH, STATUS_NORMAL, STATUS_WARNING, MeterConfig
-from meterwise.functions import broadcast as bc, budget, pricing
+from meterwise.functions import budget, pricing
 from meterwise.functions.models import short_model
 from meterwise.functions.pricing import TOKEN_COLS
 
@@ -121,27 +121,28 @@ def top_n_with_others(d: DataFrame, group_col: str, n: int, value_cols: list[str
                       money: tuple[str, ...] = ("cost",)) -> DataFrame:
     """Top ``n`` groups by the first value, the rest folded into one
     ``Others (k)`` row placed last; no Others row when there are <= n groups.
+    Rows without a group take no part.
 
-    Single-pass relabel: the n winners (a TakeOrderedAndProject) are
-    broadcast back onto the grouped rows, which are relabelled and summed
-    again. Nothing but n keys ever reaches one task.
+    The winners come from a TakeOrderedAndProject and the totals from a plain
+    aggregate of the same grouped rows, whose shuffle is read twice. Others is
+    the totals less the winners, a sum over n + 1 rows.
     """
-    grouped = d.groupBy(group_col).agg(*[F.sum(c).alias(c) for c in value_cols])
-    top = (grouped.orderBy(F.col(value_cols[0]).desc(), F.col(group_col).asc()).limit(n)
-                  .select(group_col, value_cols[0]))
-    top = top.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col(value_cols[0]).desc(), F.col(group_col).asc()))).drop(value_cols[0])
-    lab = grouped.join(bc.bounded(top, n), group_col, "left")
-    is_other = F.col("rank").isNull()
-    folded = lab.groupBy(F.when(is_other, F.lit(None)).otherwise(F.col(group_col)).alias("_g"),
-                         F.coalesce(F.col("rank"), F.lit(n + 1)).alias("rank")).agg(
-        *[F.sum(c).alias(c) for c in value_cols], F.count(F.lit(1)).alias("_k"))
-    label = F.when(F.col("_g").isNull(), F.concat(F.lit("Others ("), F.col("_k").cast("string"), F.lit(")"))) \
-             .otherwise(F.col("_g"))
-    outs = []
-    for c in value_cols:
-        outs.append(pricing.usd(F.col(c)).alias(c + "_usd") if c in money else F.col(c).cast("bigint").alias(c))
-    return folded.select(label.alias(group_col), "rank", *outs)
+    grouped = (d.where(F.col(group_col).isNotNull()).groupBy(group_col)
+                .agg(*[F.sum(c).alias(c) for c in value_cols]))
+    order = [F.col(value_cols[0]).desc(), F.col(group_col).asc()]
+    top = (grouped.orderBy(*order).limit(n)
+                  .withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("_k", F.lit(1).cast("bigint")))
+    totals = (grouped.agg(*[F.sum(c).cast(grouped.schema[c].dataType).alias(c) for c in value_cols],
+                          F.count(group_col).alias("_k"))
+                     .withColumn(group_col, F.lit(None).cast("string")).withColumn("rank", F.lit(None).cast("int")))
+    rest = F.col("rank").isNull()
+    everything = Window.partitionBy(F.lit(0))  # n + 1 rows
+    left = lambda c: F.when(rest, F.sum(F.when(rest, F.col(c)).otherwise(-F.col(c))).over(everything)).otherwise(F.col(c))
+    rows = top.unionByName(totals).select(group_col, "rank", left("_k").alias("_k"), *[left(c).alias(c) for c in value_cols])
+    label = F.coalesce(F.col(group_col), F.concat(F.lit("Others ("), F.col("_k").cast("string"), F.lit(")")))
+    outs = [pricing.usd(F.col(c)).alias(c + "_usd") if c in money else F.col(c).cast("bigint").alias(c) for c in value_cols]
+    return (rows.where(~rest | (F.col("_k") > 0))
+                .select(label.alias(group_col), F.coalesce("rank", F.lit(n + 1)).alias("rank"), *outs))
 
 
 def top_users(d: DataFrame, n: int) -> DataFrame:

@@ -43,5 +43,11 @@ def test_decode_is_map_only_and_jvm_side(spark, sf, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
 
 
-def test_top_n_winners_are_broadcast(spark, sf):
-    assert "BroadcastHashJoin" in _plan(spark, sf, "top_users_others")
+def test_top_n_with_others_has_no_join(spark, sf):
+    plan = _plan(spark, sf, "top_users_others")
+    assert "Join" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_heatmap_is_one_scan(spark, sf):
+    plan = _plan(spark, sf, "user_model_heatmap")
+    assert plan.split("\n\n")[0].count("Scan parquet") == 1 and "TakeOrderedAndProject" in plan
