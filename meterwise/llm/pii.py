@@ -5,12 +5,15 @@ value found is a protected entity. The corpus then estimates how much a term
 near an entity tells about it: with N documents, n_e that hold the entity, n_t
 that hold the term and n_et that hold both near each other, the term discloses
 
-    PMI(e, t) / IC(e) = log(n_et N / (n_e n_t)) / log(N / n_e)
-
-of the entity's information. Terms that disclose at least ``GENERALISE`` of it,
-seen near it in at least ``SUPPORT`` documents, are replaced by a class label in
-those documents; from ``REMOVE`` on they are removed. Counts cover all
-documents and all their words.
+    PMI(e, t) / IC(e) = log(P(e | t) N / n_e) / log(N / n_e),  P(e | t) = n_et / n_t
+
+of the entity's information. Entities of any support count, so P(e | t) is also
+smoothed by ``PRIOR`` documents that hold the term and hold the entity as often
+as any document: (n_et + PRIOR n_e / N) / (n_t + PRIOR). Terms that disclose at
+least ``GENERALISE`` by the smoothed share are replaced by a class label in
+those documents. They are removed if the plain share is at least ``REMOVE`` and
+more than one document holds both; one document alone can be a coincidence.
+Counts cover all documents and all their words.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from meterwise.llm.common import cut, with_fields
 
 GENERALISE = 0.8
 REMOVE = 0.95
-SUPPORT = 3
+PRIOR = 2.0          # documents
 NEAR = 6            # words on either side of an entity
 NEAR_CHARS = 160    # and no further than so many characters
 # Kinds and patterns of base spans (fixed values); possessive forms of the same languages.
@@ -101,11 +104,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def entity_key(kind: str, value: str) -> str:
+    """Cards and phones are their digits, however they are written."""
+    return f"{kind}:{_NOT_DIGIT.sub('', value) if kind in ('card', 'phone') else value.lower()}"
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) for the words within reach of each entity; none that touches a base span."""
     out = []
     for kind, start, end in spans:
-        entity = f"{kind}:{text[start:end].lower()}"
+        entity = entity_key(kind, text[start:end])
         low = max(0, start - NEAR_CHARS)
         before = list(_TERM.finditer(text, low, start))
         if before and before[0].start() == low > 0:
@@ -141,31 +149,31 @@ def detect(docs: DataFrame, keep: list[str], text_col: str, prefix: str) -> Data
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str, near: str, n_docs: int) -> DataFrame:
-    """(entity, term, disclosed) for the pairs at or above GENERALISE.
+    """(entity, term, remove) for the pairs whose smoothed share is at or above GENERALISE.
 
     ``found`` has a row for each document with its ``near`` array; ``docs`` the
     texts of all documents. A term stands in at least as many documents as it
-    stands in near any entity, which bounds what it can disclose; pairs below
-    SUPPORT or whose bound is below GENERALISE are left out before the terms are
-    counted in all texts, which changes no result. A term that the word count
+    stands in near any entity, which bounds what it can disclose; pairs whose
+    bound is below GENERALISE are left out before the terms are counted in all
+    texts, which changes no result. A term that the word count
     does not know (case rules differ for a few letters) counts as standing near
     entities only.
     """
     n = F.lit(float(n_docs))
 
-    def share(holders: str):
-        told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col(holders)))
+    def share(holders: str, prior: float = PRIOR):
+        told = F.log2((F.col("n_et") * n / F.col("n_e") + prior) / (F.col(holders) + prior))
         whole = F.log2(n / F.col("n_e"))
         return F.when(whole > 0, told / whole)
 
     uses = found.where(F.size(near) > 0)
     distinct = lambda what: F.explode(F.array_distinct(F.transform(near, what)))
     entities = (uses.select(distinct(lambda x: x["entity"]).alias("entity"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT))
+                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
     terms = (uses.select(distinct(lambda x: x["term"]).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= SUPPORT))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")))
     pairs = (uses.select(distinct(lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))).alias("p"))
-             .select("p.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT))
+             .select("p.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")))
     pairs = cut(pairs.join(entities, "entity").join(terms, "term").where(share("n_near") >= GENERALISE))
     wanted = pairs.select(F.col("term").alias("w")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -173,8 +181,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, near: str, n_do
               .groupBy(F.col("term").alias("w")).agg(F.count(F.lit(1)).alias("n_t")))
     return (pairs.join(counts, pairs["term"] == counts["w"], "left")
             .withColumn("holders", F.greatest("n_near", F.coalesce("n_t", "n_near")))
-            .withColumn("disclosed", share("holders"))
-            .where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed"))
+            .where(share("holders") >= GENERALISE)
+            .select("entity", "term", ((share("holders", 0.0) >= REMOVE) & (F.col("n_et") > 1)).alias("remove")))
 
 
 def find_private(docs: DataFrame, keep: list[str], text_col: str = "text", prefix: str = "_pii_") -> DataFrame:
@@ -189,9 +197,9 @@ def find_private(docs: DataFrame, keep: list[str], text_col: str = "text", prefi
     flagged = cut(disclosing(found.select(near), docs, text_col, near, found.count()))
     uses = (found.where(F.size(near) > 0).select(rid, F.explode(near).alias("x")).select(F.col(rid).alias("_r"), "x.*")
             .join(flagged, ["entity", "term"]))
-    most = (uses.groupBy("_r", "start", "end").agg(F.max("disclosed").alias("disclosed"))
+    most = (uses.groupBy("_r", "start", "end").agg(F.max("remove").alias("remove"))
             .groupBy("_r").agg(F.sort_array(F.collect_list(F.struct(
-                F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("term").alias("kind"), "start", "end")))
+                F.when(F.col("remove"), "remove").otherwise("term").alias("kind"), "start", "end")))
                 .alias(more)))
     return found.join(most, found[rid] == most["_r"], "left").drop("_r", rid, near)
 

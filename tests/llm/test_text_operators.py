@@ -275,6 +275,18 @@ def test_disclosing_terms(spark):
     assert clean[60] is None and clean[61] == "" and clean[10] == rows[5][1]
 
 
+def test_terms_of_values_in_one_and_two_documents(spark):
+    """One document generalises, two remove; a value in two notations is one; common words stay."""
+    rows = [(0, "the office of Quokka is at 10.20.30.40 today"), (1, "ask Zanzibar on +1 234 567 8901 please"),
+            (2, "ask Zanzibar on +1 (234) 567-8901 please")]
+    rows += [(10 + i, "the office is open today so please ask on Monday") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "the office of [TERM] is at [IP] today"
+    assert clean[1] == clean[2] == "ask  on [PHONE] please" and clean[10] == rows[3][1]
+    assert {r["doc_id"]: r["n_terms"] for r in pii.private_spans(docs).collect() if r["n_terms"]} == {0: 1, 1: 1, 2: 1}
+
+
 def test_private_spans_on_awkward_rows(docs, rows):
     got = pii.private_spans(docs).toPandas()
     assert len(got) == len(rows) and (got["spans"] == "").all()
