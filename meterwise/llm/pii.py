@@ -2,16 +2,16 @@
 
 Base spans (email, ip, card, phone) are found by patterns in whole texts. Each
 value found is a protected entity. The corpus then estimates how much a term
-near an entity tells about it: with N documents, n_e that hold the entity, n_t
-that hold the term and n_et that hold both near each other, the term discloses
+tells about an entity: with N documents, n_e that hold the entity, n_t that hold
+the term and n_et that hold both, wherever they stand, the term discloses
 
     PMI(e, t) / IC(e) = log(P(e | t) N / n_e) / log(N / n_e),  P(e | t) = n_et / n_t
 
 of the entity's information. Entities of any support count, so P(e | t) is also
 smoothed by ``PRIOR`` documents that hold the term and hold the entity as often
 as any document: (n_et + PRIOR n_e / N) / (n_t + PRIOR). Terms that disclose at
-least ``GENERALISE`` by the smoothed share are replaced by a class label in
-those documents. They are removed if the plain share is at least ``REMOVE`` and
+least ``GENERALISE`` by the smoothed share are replaced by a class label wherever
+they stand in the documents that hold the entity. They are removed if the plain share is at least ``REMOVE`` and
 more than one document holds both; one document alone can be a coincidence.
 Counts cover all documents and all their words.
 """
@@ -30,8 +30,6 @@ from meterwise.llm.common import cut, with_fields
 GENERALISE = 0.8
 REMOVE = 0.95
 PRIOR = 2.0          # documents
-NEAR = 6            # words on either side of an entity
-NEAR_CHARS = 160    # and no further than so many characters
 # Kinds and patterns of base spans (fixed values); possessive forms of the same languages.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -45,7 +43,6 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"
 _TERM = re.compile(TERM)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-CONTEXT = "array<struct<entity:string,term:string,start:bigint,end:bigint>>"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -109,99 +106,134 @@ def entity_key(kind: str, value: str) -> str:
     return f"{kind}:{_NOT_DIGIT.sub('', value) if kind in ('card', 'phone') else value.lower()}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within reach of each entity; none that touches a base span."""
-    out = []
-    for kind, start, end in spans:
-        entity = entity_key(kind, text[start:end])
-        low = max(0, start - NEAR_CHARS)
-        before = list(_TERM.finditer(text, low, start))
-        if before and before[0].start() == low > 0:
-            del before[0]  # it may begin further left
-        after = list(_TERM.finditer(text, end, end + NEAR_CHARS))
-        if after and after[-1].end() == end + NEAR_CHARS < len(text):
-            del after[-1]
-        for w in before[-NEAR:] + after[:NEAR]:
-            if all(w.end() <= s or w.start() >= e for _, s, e in spans):
-                out.append((entity, w.group().lower(), w.start(), w.end()))
-    return out
+def outside_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words of the text but those that touch a base span; spans by start."""
+    at, done = 0, 0  # spans before ``at`` start left of the word's end, and reach to ``done``
+    for w in _TERM.finditer(text):
+        while at < len(spans) and spans[at][1] < w.end():
+            done, at = max(done, spans[at][2]), at + 1
+        if done <= w.start():
+            yield w.group().lower(), w.start(), w.end()
 
 
 def detect(docs: DataFrame, keep: list[str], text_col: str, prefix: str) -> DataFrame:
-    """Columns ``keep`` with <prefix>spans (base) and <prefix>near (terms near entities); null text counts as empty."""
+    """Columns ``keep`` with <prefix>spans (base), <prefix>held (entities) and <prefix>text (of holders, else null).
+
+    Null text counts as empty.
+    """
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans, near = b.column(b.num_columns - 1), [], []
+            texts, spans, held, kept = b.column(b.num_columns - 1), [], [], []
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
                 found = base_spans(text)
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
-                near.append([dict(zip(("entity", "term", "start", "end"), s)) for s in near_terms(text, found)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, span_type), pa.array(near, near_type)],
-                                             names=[*b.schema.names[:-1], f"{prefix}spans", f"{prefix}near"])
+                held.append(sorted({entity_key(k, text[s:e]) for k, s, e in found}))
+                kept.append(text if found else None)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(spans, span_type), pa.array(held, pa.list_(pa.string())), pa.array(kept, pa.string())],
+                names=[*b.schema.names[:-1], f"{prefix}spans", f"{prefix}held", f"{prefix}text"])
 
     kept = docs.select(*[f"`{c}`" for c in keep], F.col(text_col).alias(f"{prefix}text"))
-    schema = with_fields(kept.drop(f"{prefix}text").schema, f"{prefix}spans {SPANS}, {prefix}near {CONTEXT}")
+    schema = with_fields(kept.drop(f"{prefix}text").schema, f"{prefix}spans {SPANS}, {prefix}held array<string>, {prefix}text string")
     return kept.mapInArrow(run, schema)
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str, near: str, n_docs: int) -> DataFrame:
-    """(entity, term, remove) for the pairs whose smoothed share is at or above GENERALISE.
+def terms_of(holders: DataFrame) -> DataFrame:
+    """(_r, term): the distinct terms outside base spans of rows (_r, spans, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                rows, terms = [], []
+                for i in range(lo, min(lo + 64, b.num_rows)):
+                    r, spans, text = (c[i].as_py() for c in b.columns)
+                    new = {t for t, _, _ in outside_terms(text, [(s["kind"], s["start"], s["end"]) for s in spans])}
+                    rows += [r] * len(new)
+                    terms += new
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(terms, pa.string())], names=["_r", "term"])
+
+    return holders.select("_r", "spans", "text").mapInArrow(run, "_r bigint, term string")
+
+
+def places(marked: DataFrame) -> DataFrame:
+    """(_r, more): spans of every occurrence of the terms told in rows (_r, spans, text, told)."""
+    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    ``found`` has a row for each document with its ``near`` array; ``docs`` the
-    texts of all documents. A term stands in at least as many documents as it
-    stands in near any entity, which bounds what it can disclose; pairs whose
-    bound is below GENERALISE are left out before the terms are counted in all
-    texts, which changes no result. A term that the word count
-    does not know (case rules differ for a few letters) counts as standing near
-    entities only.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = []
+            for i in range(b.num_rows):
+                spans, text, told = (c[i].as_py() for c in b.columns[1:])
+                kinds = {x["term"]: "remove" if x["remove"] else "term" for x in told}
+                more.append([{"kind": kinds[t], "start": s, "end": e} for t, s, e in outside_terms(
+                    text, [(x["kind"], x["start"], x["end"]) for x in spans]) if t in kinds])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(more, span_type)], names=["_r", "more"])
+
+    return marked.select("_r", "spans", "text", "told").mapInArrow(run, f"_r bigint, more {SPANS}")
+
+
+def disclosing(holders: DataFrame, docs: DataFrame, text_col: str, n_docs: int) -> DataFrame:
+    """(_r, term, remove): for each holding row its terms whose smoothed share of one of its entities is at or above GENERALISE.
+
+    ``holders`` (a written table) has a row (_r, spans, held, text) for each
+    document with entities; ``docs`` the texts of all documents. A term and an
+    entity stand together in at most as many documents as the rarer of them,
+    which bounds what the term can disclose. Terms and pairs whose bound is below
+    GENERALISE are left out before pairs are made, which changes no result. A
+    term that the word count does not know (case rules differ for a few letters)
+    counts as standing in holding documents only.
     """
     n = F.lit(float(n_docs))
 
-    def share(holders: str, prior: float = PRIOR):
-        told = F.log2((F.col("n_et") * n / F.col("n_e") + prior) / (F.col(holders) + prior))
-        whole = F.log2(n / F.col("n_e"))
+    def share(n_et, n_e, n_t, prior: float = PRIOR):
+        told = F.log2((n_et * n / n_e + prior) / (n_t + prior))
+        whole = F.log2(n / n_e)
         return F.when(whole > 0, told / whole)
 
-    uses = found.where(F.size(near) > 0)
-    distinct = lambda what: F.explode(F.array_distinct(F.transform(near, what)))
-    entities = (uses.select(distinct(lambda x: x["entity"]).alias("entity"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    terms = (uses.select(distinct(lambda x: x["term"]).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")))
-    pairs = (uses.select(distinct(lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))).alias("p"))
-             .select("p.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")))
-    pairs = cut(pairs.join(entities, "entity").join(terms, "term").where(share("n_near") >= GENERALISE))
-    wanted = pairs.select(F.col("term").alias("w")).distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = (words.join(wanted, words["term"] == wanted["w"], "left_semi")
-              .groupBy(F.col("term").alias("w")).agg(F.count(F.lit(1)).alias("n_t")))
-    return (pairs.join(counts, pairs["term"] == counts["w"], "left")
-            .withColumn("holders", F.greatest("n_near", F.coalesce("n_t", "n_near")))
-            .where(share("holders") >= GENERALISE)
-            .select("entity", "term", ((share("holders", 0.0) >= REMOVE) & (F.col("n_et") > 1)).alias("remove")))
+    def can(most, n_t):
+        """Whether a term can disclose an entity of up to ``most`` documents: its share is largest if both are held by as many."""
+        n_e = F.least(most, F.col("n_held"))
+        return share(n_e, n_e, n_t) >= GENERALISE
+
+    each = holders.select("_r", F.explode("held").alias("entity"))
+    entities = cut(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
+    held = cut(each.join(entities, "entity"))
+    most = entities.agg(F.max("n_e")).first()[0] or 1
+    own = terms_of(holders).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(can(F.lit(most), F.col("n_held")))
+    words = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("w"))
+             .groupBy("w").agg(F.count(F.lit(1)).alias("n_w")))
+    counts = cut(own.join(words, F.col("term") == F.col("w"), "left")
+                 .select("term", "n_held", F.greatest("n_held", F.coalesce("n_w", "n_held")).alias("n_t"))
+                 .where(can(F.lit(most), F.col("n_t"))))
+    top = held.groupBy("_r").agg(F.max("n_e").alias("top"))
+    rare = terms_of(holders).join(counts, "term").join(top, "_r").where(can(F.col("top"), F.col("n_t"))).drop("top")
+    bound = share(F.least("n_e", "n_held"), F.col("n_e"), F.col("n_t"))
+    pairs = cut(rare.join(held, "_r").where(bound >= GENERALISE).select("_r", "entity", "term", "n_e", "n_t"))
+    n_et, n_e, n_t = F.col("n_et"), F.col("n_e"), F.col("n_t")
+    told = (pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+            .where(share(n_et, n_e, n_t) >= GENERALISE)
+            .select("entity", "term", ((share(n_et, n_e, n_t, 0.0) >= REMOVE) & (n_et > 1)).alias("remove")))
+    return pairs.join(told, ["entity", "term"]).groupBy("_r", "term").agg(F.max("remove").alias("remove"))
 
 
 def find_private(docs: DataFrame, keep: list[str], text_col: str = "text", prefix: str = "_pii_") -> DataFrame:
     """Columns ``keep`` of ``docs`` with <prefix>spans (base) and <prefix>more (added spans, or null).
 
-    Added spans are the disclosing terms near the entities they disclose, of
-    kind ``term`` (generalised) or ``remove``. Rows are told apart by their place
-    in a written table, so repeated ids and texts do no harm.
+    Added spans are all occurrences, outside base spans, of the disclosing terms
+    in the documents that hold what they disclose, of kind ``term`` (generalised)
+    or ``remove``. Rows are told apart by their place in a written table, so
+    repeated ids and texts do no harm.
     """
-    rid, spans, near, more = (prefix + x for x in ("rid", "spans", "near", "more"))
+    rid, spans, held, text, more = (prefix + x for x in ("rid", "spans", "held", "text", "more"))
     found = cut(detect(docs, keep, text_col, prefix).withColumn(rid, F.monotonically_increasing_id()))
-    flagged = cut(disclosing(found.select(near), docs, text_col, near, found.count()))
-    uses = (found.where(F.size(near) > 0).select(rid, F.explode(near).alias("x")).select(F.col(rid).alias("_r"), "x.*")
-            .join(flagged, ["entity", "term"]))
-    most = (uses.groupBy("_r", "start", "end").agg(F.max("remove").alias("remove"))
-            .groupBy("_r").agg(F.sort_array(F.collect_list(F.struct(
-                F.when(F.col("remove"), "remove").otherwise("term").alias("kind"), "start", "end")))
-                .alias(more)))
-    return found.join(most, found[rid] == most["_r"], "left").drop("_r", rid, near)
+    holders = found.where(F.size(held) > 0).select(
+        F.col(rid).alias("_r"), F.col(spans).alias("spans"), F.col(held).alias("held"), F.col(text).alias("text"))
+    told = (disclosing(holders, docs, text_col, found.count())
+            .groupBy("_r").agg(F.collect_list(F.struct("term", "remove")).alias("told")))
+    placed = places(holders.join(told, "_r")).withColumnRenamed("more", more)
+    return found.join(placed, found[rid] == placed["_r"], "left").drop("_r", rid, held, text)
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

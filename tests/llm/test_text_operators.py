@@ -287,6 +287,32 @@ def test_terms_of_values_in_one_and_two_documents(spark):
     assert {r["doc_id"]: r["n_terms"] for r in pii.private_spans(docs).collect() if r["n_terms"]} == {0: 1, 1: 1, 2: 1}
 
 
+def test_terms_far_from_the_value(spark):
+    """All mentions go in the documents that hold the value, however far off, and none elsewhere."""
+    far = "the office is open today so please ask on Monday " * 40
+    rows = [(i, f"Zanzibar wrote. {far}secret@mail.org by zanzibar here {far}and (Zanzibar)") for i in range(3)]
+    rows += [(3, f"Quokka wrote. {far} at 10.20.30.40"), (4, "on Monday mail Quokka and Zanzibar")]
+    rows += [(10 + i, "the office is open today so please ask and mail here by Monday as wrote") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i in range(3):
+        assert clean[i] == f" wrote. {far}[EMAIL] by  here {far}and ()"
+    assert clean[3] == f"[TERM] wrote. {far} at [IP]"
+    assert clean[4] == rows[4][1] and clean[10] == rows[5][1]
+    text = rows[0][1]
+    got = {r["doc_id"]: r for r in pii.private_spans(docs).collect()}
+    ends = [(m.start(), m.end()) for m in re.finditer("(?i)zanzibar", text)]
+    assert got[0]["n_terms"] == 3 and [s for s in got[0]["spans"].split(",") if "remove" in s] == [f"remove:{a}:{b}" for a, b in ends]
+
+
+@given(st.text("ab1. @+-", max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_outside_terms(text):
+    spans = pii.base_spans(text)
+    assert list(pii.outside_terms(text, spans)) == [
+        (m.group(), *m.span()) for m in re.finditer("[a-z]{3,}", text) if all(m.end() <= s or m.start() >= e for _, s, e in spans)]
+
+
 def test_private_spans_on_awkward_rows(docs, rows):
     got = pii.private_spans(docs).toPandas()
     assert len(got) == len(rows) and (got["spans"] == "").all()
