@@ -140,9 +140,14 @@ def canonical(df: DataFrame, fallback_month: Column, rec: str = "rec", zone: str
     """Record VARIANT -> canonical invocation columns (after the schema-type
     filter). Keeps any other columns of ``df``. ``fallback_time`` is the event
     time of records without a readable timestamp."""
+    return every_record(df.where(schema_type_ok(F.col(rec))), fallback_month, rec, zone, fallback_time)
+
+
+def every_record(df: DataFrame, fallback_month: Column, rec: str = "rec", zone: str = "offset",
+                 fallback_time: Column | None = None) -> DataFrame:
+    """The columns of :func:`canonical` for every row, whatever its schema type."""
     r = F.col(rec)
-    d = df.where(schema_type_ok(r))
-    d = with_tokens(d, rec)
+    d = with_tokens(df, rec)
     return d.select(
         *[c for c in df.columns if c != rec],
         V.text(V.field(r, "$.requestId")).alias("request_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meterwise.config import MeterConfig
 from meterwise.functions import budget, pricing, text
 from meterwise.functions.pricing import TOKEN_COLS
+from meterwise.operators import prefix
 
 
 _SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
@@ -93,39 +94,58 @@ def alert_rows(alerts: DataFrame, cfg: MeterConfig) -> DataFrame:
         F.create_map(F.lit("user"), F.col("user"), F.lit("level"), F.col("level")).alias("attributes"))
 
 
-def token_crossings(inv: DataFrame, cfg: MeterConfig, chunk: str = "1 hour") -> DataFrame:
+def token_crossings(inv: DataFrame, cfg: MeterConfig, start: DataFrame | None = None) -> DataFrame:
     """W2 / ST7: per (user, model, month) running token total, per event in
     (ts, record_id) order; WARN when prev < int(T*r) <= new, BREACH when
-    prev < T <= new.
+    prev < T <= new. Events without a time come first.
+
+    ``start`` (user, model_id, month, start) holds totals from before these
+    events (a stream's earlier batches).
 
     Scale: a two-level prefix sum. Events are first summed per
     (key, hour chunk); a window over those chunk totals (at most the hours
     of a month per key) gives each chunk's starting total. Only chunks that
     contain a crossing are expanded back to events -- an equi-join whose
-    broadcast AQE decides from the measured size -- and the per-event
-    running sum runs inside one (key, hour) partition. A hot user never
-    lands whole in one task.
+    broadcast AQE decides from the measured size -- and their running sums
+    come from :func:`prefix.running_sum`, which splits them by range: neither
+    a hot user nor a hot hour lands whole in one task.
     """
     keys = ["user", "model_id", "month"]
-    ev = (inv.select(*keys, "ts", "record_id",
-                     sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0])).alias("tokens"))
-             .withColumn("chunk", F.date_trunc("hour", F.col("ts")) if chunk == "1 hour"
-                         else F.window("ts", chunk).start))
+    ev = inv.select(*keys, "ts", "record_id",
+                    sum((F.col(c) for c in TOKEN_COLS[1:]), F.col(TOKEN_COLS[0])).alias("tokens"),
+                    F.date_trunc("hour", F.col("ts")).alias("chunk"))
     chunks = ev.groupBy(*keys, "chunk").agg(F.sum("tokens").alias("chunk_tokens"))
     wc = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks = chunks.withColumn("after", F.sum("chunk_tokens").over(wc)) \
-                   .withColumn("before", F.col("after") - F.col("chunk_tokens"))
+    chunks = chunks.withColumn("after", F.sum("chunk_tokens").over(wc))
+    if start is not None:
+        chunks = (chunks.join(start.select(*keys, "start"), keys, "left")
+                  .withColumn("after", F.col("after") + F.coalesce("start", F.lit(0))).drop("start"))
+    chunks = chunks.withColumn("before", F.col("after") - F.col("chunk_tokens"))
     levels = F.array(F.struct(F.lit("WARN").alias("level"), F.lit(cfg.warn_tokens).cast("bigint").alias("boundary")),
                      F.struct(F.lit("BREACH").alias("level"), F.lit(cfg.token_threshold).cast("bigint").alias("boundary")))
     hit = (chunks.select(*keys, "chunk", "before", "after", F.explode(levels).alias("b"))
                  .where((F.col("before") < F.col("b.boundary")) & (F.col("b.boundary") <= F.col("after")))
-                 .select(*keys, "chunk", "before", F.col("b.level").alias("level"), F.col("b.boundary").alias("boundary")))
+                 .select(*[F.col(k).alias(f"_{k}") for k in (*keys, "chunk")], "before", "b.level", "b.boundary"))
     # each event of a crossing chunk meets the (at most two) boundaries
     # crossed inside it; one running sum per (key, chunk, level)
-    x = ev.join(hit, [*keys, "chunk"])
-    we = (Window.partitionBy(*keys, "chunk", "level").orderBy("ts", "record_id")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    y = (x.withColumn("new_total", F.col("before") + F.sum("tokens").over(we))
+    same = F.col("chunk").eqNullSafe(F.col("_chunk"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    x = ev.join(hit, same).select(*keys, "chunk", "level", "boundary", "before", "ts", "record_id", "tokens")
+    y = prefix.running_sum(x, [*keys, "chunk", "level"], ["ts", "record_id"], "tokens", "into")
+    y = (y.withColumn("new_total", F.col("before") + F.col("into"))
           .withColumn("prev_total", F.col("new_total") - F.col("tokens")))
     y = y.where((F.col("prev_total") < F.col("boundary")) & (F.col("boundary") <= F.col("new_total")))
     return y.select(*keys, "level", "boundary", "record_id", "prev_total", "new_total")
+
+
+def token_alert_rows(crossings: DataFrame, cfg: MeterConfig) -> DataFrame:
+    """P16 + S12: token alerts with subject, body and attributes."""
+    c = F.col
+    return crossings.select(
+        "level", "user", "model_id", "month", c("record_id").cast("string").alias("record_id"), "prev_total", "new_total",
+        "boundary",
+        text.token_subject(c("level"), c("user"), c("model_id"), c("month"), c("boundary"), cfg.alert_label).alias("subject"),
+        text.token_body(c("level"), c("user"), c("model_id"), c("month"), c("prev_total"), c("new_total"), c("boundary"),
+                        cfg.token_threshold, int(cfg.warn_ratio * 100)).alias("body"),
+        F.create_map(F.lit("user"), c("user"), F.lit("level"), c("level"), F.lit("kind"), F.lit("tokens")).alias("attributes"))

@@ -82,3 +82,14 @@ def glob_exists(spark: SparkSession, pattern: str) -> bool:
     fs, p = _hadoop_path(spark, pattern)
     st = fs.globStatus(p)
     return st is not None and len(st) > 0
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder (none if it does not exist); one listing call."""
+    fs, p = _hadoop_path(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)

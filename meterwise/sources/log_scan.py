@@ -13,6 +13,7 @@ filter on ``_metadata.file_modification_time`` in streams.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -22,6 +23,8 @@ from meterwise.functions import invocation, variant as V
 
 PATH_RE = (r"/(?:region=)?([^/=]+)/(?:y=)?([0-9]{4})/(?:m=)?([0-9]{2})/(?:d=)?([0-9]{2})/"
            r"(?:h=)?([0-9]{2})/(.*)$")
+HOUR_DIR_RE = (r"^(.*?/(?:region=)?[^/=]+/(?:y=)?[0-9]{4}/(?:m=)?[0-9]{2}/(?:d=)?[0-9]{2}/"
+               r"(?:h=)?[0-9]{2})/")
 # Python's str.splitlines() line boundaries.
 LINE_SPLIT = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
@@ -185,22 +188,42 @@ def _decompress(batches):
         yield pdf
 
 
-def scan_files_robust(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S1 robust mode: every object read as bytes (``binaryFile``) and
-    decompressed in a vectorised ``mapInPandas``, so ``.gz``-named plain
+def scan_files_robust(spark: SparkSession, paths: list[str], since: datetime | None = None,
+                      until: datetime | None = None) -> DataFrame:
+    """S1 robust mode: every object below ``paths`` (folders or globs of folders) read as bytes
+    (``binaryFile``) and decompressed in a vectorised ``mapInPandas``, so ``.gz``-named plain
     objects and truncated archives neither fail the job nor vanish
     (``ignoreCorruptFiles`` would drop them). Same columns as
-    :func:`scan_files` plus ``read_error``."""
+    :func:`scan_files` plus ``read_error``.
+
+    Objects come from listing their folders, so no name is ever taken for a
+    pattern. ``since`` and ``until`` bound the modification time; the file
+    reader applies them before it opens an object.
+    """
     from meterwise.session import glob_exists
     paths = [p for p in paths if glob_exists(spark, p)]
     schema = "path string, modified timestamp, size long, text string, read_error string"
     if not paths:
         return spark.createDataFrame([], schema)
-    b = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-              .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content"))
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    if since is not None:
+        b = b.where(F.col("modificationTime") >= F.lit(since))
+    if until is not None:
+        b = b.where(F.col("modificationTime") <= F.lit(until))
+    b = b.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
     return b.mapInPandas(_decompress, schema)
 
 
+def hour_folder(path: Column) -> Column:
+    """The hour directory of an object path."""
+    return F.regexp_extract(path, HOUR_DIR_RE, 1)
+
+
+def literal(path: str) -> str:
+    """A path as a pattern that matches nothing but itself."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def with_path_parts(files: DataFrame) -> DataFrame:
     """Region, hour and object key parsed from the object path."""
     p = F.col("path")
@@ -302,6 +325,21 @@ def records_only(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("rec").isNotNull() & V.is_object(F.col("rec"))).drop("malformed")
 
 
+def decoded_rows(files: DataFrame, fallback_month: Column, zone: str = "offset") -> DataFrame:
+    """Objects -> one narrow row per decoded item, at least one per object.
+
+    ``present`` marks the items that are JSON objects, ``counted`` those of the
+    wanted schema type; ``first`` marks one row of each object, which carries the
+    object's ``malformed`` count. So one pass over the content serves the usage
+    and the run's own counts.
+    """
+    rec = F.col("rec")
+    d = (decode_records(files).withColumn("first", F.coalesce(F.col("pos"), F.lit(0)) == 0).drop("pos")
+         .withColumn("present", F.coalesce(rec.isNotNull() & V.is_object(rec), F.lit(False)))
+         .withColumn("counted", F.coalesce(F.col("present") & invocation.schema_type_ok(rec), F.lit(False))))
+    return invocation.every_record(d, fallback_month, "rec", zone, F.col("modified"))
+
+
 def decode_invocations(files: DataFrame, fallback_month: Column, zone: str = "offset") -> DataFrame:
     """Objects -> canonical invocations (schema-type filter applied)."""
     recs = records_only(decode_records(files))

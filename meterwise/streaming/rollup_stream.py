@@ -2,9 +2,11 @@
 S10-S13).
 
     readStream.text(log folder, wholetext) -> foreachBatch {
-        decode -> per-batch partials -> ledger partition (month, batch_id)
-        prev/new month spend of touched users from the ledger -> alerts
-        model totals of the batch -> metric rows }
+        decode -> staged narrow rows (the content is read once, here)
+        staged rows -> per-batch partials -> ledger partition (month, batch_id)
+        prev/new month spend of touched users from snapshot + partials -> alerts
+        prev/new tokens of touched (user, model, month) -> token alerts, named by the event that crossed
+        model totals of the batch -> metric rows; counts of the batch -> run table }
 
 The file source's checkpointed log replaces the object markers (an object
 is read once, late objects are still found); a restarted batch re-writes
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterwise.config import MeterConfig
 from meterwise.functions import pricing
 from meterwise.operators import alerts, enforcement, metrics, rollup
-from meterwise.session import path_exists
+from meterwise.session import fresh_path, path_exists
 from meterwise.sources import ledger, log_scan
 
 
@@ -39,6 +41,11 @@ AUDIT_SCHEMA = (f"user string, mode string, detail struct<userId:string,removed:
 NOTICES_SCHEMA = ("user string, month string, at timestamp, level string, subject string, body string, "
                   "attributes map<string,string>, batch_id bigint")
 METRICS_SCHEMA = "dims string, name string, value double, batch_id bigint"
+TOKEN_ALERTS_SCHEMA = ("level string, user string, model_id string, month string, record_id string, prev_total bigint, "
+                       "new_total bigint, boundary bigint, subject string, body string, "
+                       "attributes map<string,string>, batch_id bigint")
+RUNS_SCHEMA = ("objects_seen bigint, objects_processed bigint, objects_unreadable bigint, malformed bigint, "
+               "records_processed bigint, records_skipped bigint, users_touched bigint, regions string, batch_id bigint")
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +64,14 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NOTICES_SCHEMA).parquet(path)
 
 
+def read_token_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOKEN_ALERTS_SCHEMA).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RUNS_SCHEMA).parquet(path)
+
+
 @dataclass(frozen=True)
 class StreamPaths:
     ledger: str
@@ -65,11 +80,14 @@ class StreamPaths:
     checkpoint: str
     audit: str = ""
     notices: str = ""
+    token_alerts: str = ""
+    runs: str = ""
+    staged: str = ""
 
     @classmethod
     def under(cls, root: str) -> "StreamPaths":
-        return cls(f"{root}/ledger", f"{root}/alerts", f"{root}/metrics", f"{root}/_checkpoint",
-                   f"{root}/audit", f"{root}/notices")
+        return cls(f"{root}/ledger", f"{root}/alerts", f"{root}/metrics", f"{root}/_checkpoint", f"{root}/audit",
+                   f"{root}/notices", f"{root}/token_alerts", f"{root}/runs", f"{root}/_staged")
 
 
 @dataclass(frozen=True)
@@ -98,7 +116,7 @@ def log_stream(spark: SparkSession, layout: log_scan.LogLayout, max_files_per_tr
                    .load(layout.base)).select(
             "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
         src = b.mapInPandas(log_scan._decompress, "path string, modified timestamp, size long, text string, "
-                                                  "read_error string").drop("read_error")
+                                                  "read_error string")
     else:
         src = reader.text(layout.base, wholetext=True)
         src = src.select(F.col("_metadata.file_path").alias("path"),
@@ -120,32 +138,91 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
        .option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(path))
 
 
+def stage(batch: DataFrame, paths: StreamPaths, cfg: MeterConfig, claimed: DataFrame | None = None) -> DataFrame:
+    """The batch's decoded rows, written to the staging folder and read back.
+
+    The objects' content is read here and nowhere else; what follows reads a few
+    narrow columns per record, and outlives lost executors. ``claimed`` (distinct
+    paths) leaves out other objects; it meets the narrow rows, so no content is shuffled.
+    """
+    spark = batch.sparkSession
+    if "read_error" not in batch.columns:
+        batch = batch.withColumn("read_error", F.lit(None).cast("string"))
+    rows = log_scan.decoded_rows(log_scan.with_path_parts(batch), F.date_format(F.col("modified"), "yyyy-MM"), cfg.month_zone)
+    if claimed is not None:
+        rows = rows.join(claimed.select("path"), "path")
+    folder = paths.staged or fresh_path(spark, "staged")
+    rows.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def run_counts(rows: DataFrame) -> DataFrame:
+    """One row of counts of a batch's decoded rows."""
+    item = F.col("counted")
+    unread = F.col("first") & F.col("read_error").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    per_object = rows.groupBy("path", "region").agg(
+        F.count_if(unread).alias("unread"), F.max("malformed").alias("malformed"),
+        F.count_if(item).alias("records"), F.count_if(F.col("present") & ~item).alias("skipped"))
+    users = rows.where(item).select(F.count_distinct("user")).scalar()
+    return per_object.agg(
+        F.count(F.lit(1)).alias("objects_seen"), F.count_if(F.col("unread") == 0).alias("objects_processed"),
+        F.count_if(F.col("unread") > 0).alias("objects_unreadable"), zero(F.sum("malformed")).alias("malformed"),
+        zero(F.sum("records")).alias("records_processed"), zero(F.sum("skipped")).alias("records_skipped"),
+        zero(users).alias("users_touched"), F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"))
+
+
 def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
-                  ledger_alerts: bool = True, directory: Directory | None = None) -> None:
+                  ledger_alerts: bool = True, directory: Directory | None = None,
+                  claimed: DataFrame | None = None, strict: bool = False) -> dict:
     """Ledger partials of a batch, then all that follows from them: alerts,
-    enforcement (if configured, with a directory) and metrics."""
+    enforcement (if configured, with a directory), metrics and the batch's counts, which it returns.
+
+    With ``claimed``, every claimed object must arrive: if any is missing, nothing is written and the
+    batch fails, to be run again. ``strict`` also fails on an unreadable object.
+    """
     spark = batch.sparkSession
-    files = log_scan.with_path_parts(batch)
-    inv = log_scan.decode_invocations(files, F.date_format(F.col("modified"), "yyyy-MM"), cfg.month_zone)
-    inv = inv.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+    rows = stage(batch, paths, cfg, claimed)
+    counts = run_counts(rows).first().asDict()
+    if claimed is not None and counts["objects_seen"] != (wanted := claimed.count()):
+        raise RuntimeError(f"{wanted} objects are claimed, {counts['objects_seen']} were read")
+    if strict and counts["objects_unreadable"]:
+        raise RuntimeError(f"{counts['objects_unreadable']} objects cannot be read")
+    inv = rows.where("counted").withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
     parts = ledger.batch_partials(inv).persist()
     try:
+        ledger.forget_snapshots(spark, paths.ledger, batch_id)
         ledger.write_partials(parts, paths.ledger)
-        enforce = directory is not None and cfg.enforcement_configured()
-        if ledger_alerts or enforce:
-            ba = _before_after(spark, parts, batch_id, paths, cfg)
+        months = [r[0] for r in parts.select("month").distinct().collect()]
+        if ledger_alerts or directory is not None:
+            usage = ledger.month_partials(spark, paths.ledger, months, batch_id)
+            ba = _before_after(parts, usage, batch_id, cfg)
             if ledger_alerts:
                 _write_batch(alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg), paths.alerts, batch_id)
-            if enforce:
-                _enforce(ba, files, batch_id, paths, cfg, directory)
-        usage = rollup.merge_usage(parts)
-        _write_batch(metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(usage, cfg))),
+            if directory is not None and cfg.enforcement_configured():
+                _enforce(ba, rows, batch_id, paths, cfg, directory)
+        if paths.token_alerts:
+            before = ledger.month_partials(spark, paths.ledger, months, batch_id - 1)
+            _write_batch(_token_alerts(inv, before, cfg), paths.token_alerts, batch_id)
+        _write_batch(metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(rollup.merge_usage(parts), cfg))),
                      paths.metrics, batch_id)
+        if paths.runs:
+            _write_batch(spark.createDataFrame([counts], RUNS_SCHEMA.rsplit(",", 1)[0]), paths.runs, batch_id)
+        ledger.write_snapshots(spark, paths.ledger, months, batch_id)
     finally:
         parts.unpersist()
+    return counts
+
+
+def _token_alerts(inv: DataFrame, before: DataFrame, cfg: MeterConfig) -> DataFrame:
+    """ST7: token crossings of a batch, on top of the month totals before it."""
+    keys = list(rollup.USAGE_KEYS)
+    start = rollup.merge_usage(before).select(*keys, F.col("total_tokens").alias("start"))
+    crossed = alerts.token_crossings(inv.withColumn("record_id", F.col("request_id")), cfg, start=start)
+    return alerts.token_alert_rows(crossed, cfg)
 
 
-def _enforce(ba: DataFrame, files: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
+def _enforce(ba: DataFrame, rows: DataFrame, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
              directory: Directory) -> None:
     """ST8 in the run: each touched user at or over budget gets a decision,
     an audit row and, unless throttled by the last earlier audit, a notice.
@@ -157,7 +234,7 @@ def _enforce(ba: DataFrame, files: DataFrame, batch_id: int, paths: StreamPaths,
     over = alerts.over_budget(ba.where(F.col("delta") > 0), cfg)
     dec = enforcement.decisions(enforcement.candidates(over, cfg), directory.users, directory.memberships,
                                 enforcement.group_targets(directory.groups, cfg), cfg)
-    dec = dec.withColumn("at", files.select(F.max("modified")).scalar()).persist()
+    dec = dec.withColumn("at", rows.select(F.max("modified")).scalar()).persist()
     try:
         prior = spark.createDataFrame([], AUDIT_SCHEMA)
         if path_exists(spark, paths.audit):
@@ -169,20 +246,42 @@ def _enforce(ba: DataFrame, files: DataFrame, batch_id: int, paths: StreamPaths,
         dec.unpersist()
 
 
-def _before_after(spark: SparkSession, parts: DataFrame, batch_id: int, paths: StreamPaths,
-                  cfg: MeterConfig) -> DataFrame:
-    """Month spend before and after a batch of the users it touched, from the
-    ledger (month partitions pruned, semi-join on the touched users)."""
+def _before_after(parts: DataFrame, usage: DataFrame, batch_id: int, cfg: MeterConfig) -> DataFrame:
+    """Month spend before and after a batch of the users it touched; ``usage`` sums to the months' usage with it."""
+    zero = F.lit(0).cast("decimal(38,12)")
     touched = _priced_partials(parts, cfg).groupBy("user", "month").agg(F.sum("cost").alias("delta"))
-    months = [r[0] for r in touched.select("month").distinct().collect()]
-    led = _priced_partials(ledger.read_partials(spark, paths.ledger).where(F.col("month").isin(months)), cfg)
-    led = led.join(touched.select("user", "month"), ["user", "month"], "left_semi")
-    b = F.lit(int(batch_id))
-    tot = led.groupBy("user", "month").agg(
-        F.sum(F.when(F.col("batch_id") <= b, F.col("cost")).otherwise(F.lit(0).cast("decimal(38,12)"))).alias("new_cost"))
+    led = usage.join(touched.select("user", "month"), ["user", "month"], "left_semi")
+    tot = _priced_partials(rollup.merge_usage(led), cfg).groupBy("user", "month").agg(F.sum("cost").alias("new_cost"))
     return (touched.join(tot, ["user", "month"])
-                   .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), F.lit(0).cast("decimal(38,12)")))
-                   .withColumn("run", b.cast("bigint")))
+                   .withColumn("prev_cost", F.greatest(F.col("new_cost") - F.col("delta"), zero))
+                   .withColumn("run", F.lit(int(batch_id)).cast("bigint")))
+
+
+@dataclass(frozen=True)
+class Queries:
+    """The streaming queries of one run: the rollup, and the keyed-state alerts if they were asked for."""
+
+    rollup: object
+    alerts: object = None
+
+    def all(self) -> list:
+        return [q for q in (self.rollup, self.alerts) if q is not None]
+
+    def awaitTermination(self) -> None:  # noqa: N802 (as Spark's own)
+        """Until one query ends; its failure is raised, and the others stop."""
+        try:
+            while all(q.isActive for q in self.all()):
+                for q in self.all():
+                    q.awaitTermination(5)
+            for q in self.all():
+                if q.exception() is not None:
+                    raise q.exception()
+        finally:
+            self.stop()
+
+    def stop(self) -> None:
+        for q in self.all():
+            q.stop()
 
 
 def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, cfg: MeterConfig,
@@ -195,11 +294,13 @@ def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: St
 
     ``alerts_mode='state'`` computes the dollar alerts in a second query
     with keyed state (:mod:`spend_state`) instead of re-reading the ledger
-    in each batch; both write the same alert rows to ``paths.alerts``.
+    in each batch; both write the same alert rows to ``paths.alerts``. The
+    result then holds both queries.
     """
+    alert_query = None
     if alerts_mode == "state":
         from meterwise.streaming import spend_state
-        spend_state.run_spend_alert_stream(spark, layout, paths.alerts, paths.checkpoint + "_alerts", cfg,
+        alert_query = spend_state.run_spend_alert_stream(spark, layout, paths.alerts, paths.checkpoint + "_alerts", cfg,
                                            max_files_per_trigger, start_ts, available_now, processing_time, robust)
     src = log_stream(spark, layout, max_files_per_trigger, start_ts, robust)
     ledger_alerts = alerts_mode == "ledger"
@@ -209,4 +310,4 @@ def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: St
     q = w.start()
     if available_now:
         q.awaitTermination()
-    return q
+    return q if alert_query is None else Queries(q, alert_query)

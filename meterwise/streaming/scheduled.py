@@ -14,23 +14,28 @@ does, and remembers processed objects in a marker table:
 Objects are claimed before they are read. A run that fails at any step and is
 repeated with the same ``run_id`` takes what that id has claimed, whatever the
 window then is, plus new objects, and overwrites its own partitions: nothing is
-counted twice and nothing is lost. Paths are listed, de-duplicated and matched
-with the markers first; only the objects that remain are read, once. Damaged
+counted twice and nothing is lost. Listing, anti-join and claims stay in Spark:
+no object name comes to the driver, and none is used as a pattern. The claimed
+objects' hour folders (a bounded list) are listed, the reader skips what was
+modified outside the claims' times, and the claims pick their rows; a claimed
+object that does not arrive fails the run before anything is written. Damaged
 objects are counted, marked and do not stop the run.
+
+Names that begin with "_" or "." are hidden from Spark's readers and never listed.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterwise.config import MeterConfig
 from meterwise.session import glob_exists
 from meterwise.sources import log_scan
 from meterwise.streaming.rollup_stream import Directory, StreamPaths, process_batch
 
-MARKER_SCHEMA = "path string, run_id long, processed_at timestamp, day date"
+MARKER_SCHEMA = "path string, modified timestamp, run_id long, processed_at timestamp, day date"
 
 
 def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) -> datetime:
@@ -50,27 +55,26 @@ def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths:
     cutoff = start_ts if start_ts is not None else cutoff_for(now, checkpoint, cfg)
     hours = log_scan.hour_prefixes(cutoff, now)
     found = log_scan.list_objects(spark, log_scan.load_paths(layout, regions, hours))
-    fresh = found.where(F.col("modified") >= F.lit(cutoff)).select("path").distinct()
-    claimed: list[str] = []
+    fresh = (found.where(F.col("modified") >= F.lit(cutoff))
+             .groupBy("path").agg(F.max("modified").alias("modified")))
+    since = (now - timedelta(days=cfg.marker_ttl_days)).date()
+
+    def markers() -> DataFrame:
+        return spark.read.schema(MARKER_SCHEMA).parquet(markers_path).where(F.col("day") >= F.lit(since))
+
     if glob_exists(spark, f"{markers_path}/day=*"):
-        since = (now - timedelta(days=cfg.marker_ttl_days)).date()
-        markers = spark.read.schema(MARKER_SCHEMA).parquet(markers_path)
-        fresh = fresh.join(markers.where(F.col("day") >= F.lit(since)).select("path"), "path", "left_anti")
-        claimed = [r["path"] for r in markers.where(F.col("run_id") == run_id).select("path").distinct().collect()]
-    # one window's object names; listing the window has brought them to the driver already
-    new = [r["path"] for r in fresh.collect()]
-    if new:
-        (spark.createDataFrame([(p,) for p in new], "path string")
-              .select("path", F.lit(run_id).cast("long").alias("run_id"), F.lit(now).cast("timestamp").alias("processed_at"),
-                      F.lit(now.date()).alias("day"))
-              .write.mode("append").partitionBy("day").parquet(markers_path))
-    objects = sorted({*new, *claimed})
-    unreadable = 0
-    if objects:
-        files = log_scan.scan_files_robust(spark, objects) if robust else log_scan.scan_files(spark, objects)
-        if robust:
-            unreadable = files.where(F.col("read_error").isNotNull()).count()
-            files = files.drop("read_error")
-        process_batch(files, run_id, paths, cfg, directory=directory)
-    return {"run_id": run_id, "cutoff": cutoff.isoformat(), "hours": len(hours), "objects_processed": len(objects),
-            "objects_unreadable": unreadable}
+        fresh = fresh.join(markers().select("path"), "path", "left_anti")
+    (fresh.select("path", "modified", F.lit(run_id).cast("long").alias("run_id"),
+                  F.lit(now).cast("timestamp").alias("processed_at"), F.lit(now.date()).alias("day"))
+          .write.mode("append").partitionBy("day").parquet(markers_path))
+    claimed = (markers().where(F.col("run_id") == run_id).groupBy("path").agg(F.max("modified").alias("modified")))
+    span = claimed.agg(F.min("modified").alias("a"), F.max("modified").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    summary = {"run_id": run_id, "cutoff": cutoff.isoformat(), "hours": len(hours), "objects_processed": span["n"],
+               "objects_unreadable": 0}
+    if not span["n"]:
+        return summary
+    # hours x regions of one window (and of an earlier attempt of this run)
+    folders = [log_scan.literal(r[0]) for r in claimed.select(log_scan.hour_folder(F.col("path"))).distinct().collect()]
+    files = log_scan.scan_files_robust(spark, folders, span["a"], span["b"])
+    counts = process_batch(files, run_id, paths, cfg, directory=directory, claimed=claimed, strict=not robust)
+    return summary | {k: v for k, v in counts.items() if k != "objects_processed"}

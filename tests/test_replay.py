@@ -106,3 +106,71 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
             get = staticmethod(lambda *a, **k: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_root(Session())
+
+
+ODD_NAMES = ["plain.json.gz", "br[1]x.json.gz", "cur{a,b}.json.gz", "sp ace%20.json.gz", "st*r.json.gz", "q?.json.gz",
+             "back\\slash.json.gz", "p#h.json.gz"]
+
+
+@pytest.mark.parametrize("robust", [True, False])
+def test_names_are_never_patterns(spark, robust):
+    root, base = _logs()
+    for i, name in enumerate(ODD_NAMES):
+        _write(base, "us-east-1", HOUR, name, [_rec(f"u{i}", "y", "2024-05-01T10:00:00Z", 1)])
+    paths = rs.StreamPaths.under(f"{root}/run")
+    done = scheduled.run_scheduled_rollup(spark, log_scan.LogLayout(base), paths, f"{root}/markers", CFG, 1,
+                                          datetime(2024, 5, 1, 10, 5), robust=robust)
+    assert done["objects_processed"] == done["objects_seen"] == len(ODD_NAMES)
+    assert sorted(k[0] for k in _totals(spark, paths.ledger)) == [f"u{i}" for i in range(len(ODD_NAMES))]
+    assert [r.asDict() for r in rs.read_runs(spark, paths.runs).select("objects_seen", "records_processed", "users_touched",
+                                                                      "regions").collect()] == [
+        {"objects_seen": 8, "records_processed": 8, "users_touched": 8, "regions": "us-east-1"}]
+
+
+def test_a_claimed_object_that_is_gone_fails_the_run(spark, monkeypatch):
+    root, base = _logs()
+    paths = rs.StreamPaths.under(f"{root}/run")
+    for name in "ab":
+        _write(base, "us-east-1", HOUR, f"{name}.json.gz", [_rec(name, "y", "2024-05-01T10:00:00Z", 1)])
+    read = log_scan.scan_files_robust
+
+    def lose_one(*a, **k):
+        os.remove(os.path.join(base, "us-east-1/2024/05/01/10/b.json.gz"))
+        return read(*a, **k)
+    monkeypatch.setattr(log_scan, "scan_files_robust", lose_one)
+    with pytest.raises(RuntimeError, match="2 objects are claimed, 1 were read"):
+        scheduled.run_scheduled_rollup(spark, log_scan.LogLayout(base), paths, f"{root}/markers", CFG, 1, datetime(2024, 5, 1, 10, 5))
+    assert not os.path.exists(paths.ledger)
+
+
+def test_month_totals_read_a_bounded_number_of_partials(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from meterwise.sources import ledger
+    monkeypatch.setattr(ledger, "SNAPSHOT_EVERY", 3)
+    root, _ = _logs()
+    path, month = f"{root}/ledger", "2024-05"
+
+    def batch(k, n):
+        ledger.forget_snapshots(spark, path, k)
+        rows = spark.createDataFrame([(k, "u", "m", month, n, 0, 0, 0)], "batch_id long, user string, model_id string, month string, "
+                                     "input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
+        ledger.write_partials(ledger.batch_partials(rows.withColumn("ts", F.lit(None).cast("timestamp_ntz"))), path)
+        ledger.write_snapshots(spark, path, [month], k)
+
+    def total(upto):
+        df = ledger.month_partials(spark, path, [month], upto)
+        return df.agg(F.sum("input_tokens")).first()[0], len({os.path.dirname(f) for f in df.inputFiles()})
+
+    want, folders = 0, []
+    for k in range(14):
+        batch(k, 10 ** (k % 5))
+        want += 10 ** (k % 5)
+        got, n = total(k)
+        assert got == want
+        folders.append(n)
+    assert max(folders) <= 4  # one snapshot and fewer than SNAPSHOT_EVERY partials, or those that fill it
+    batch(13, 10 ** 3)                       # the last batch again
+    assert total(13)[0] == want
+    batch(7, 5 + 10 ** 2)                    # an old batch again, with more in it: the snapshots that hold it go
+    assert total(13)[0] == want + 5 and total(6)[0] == sum(10 ** (k % 5) for k in range(7))
