@@ -112,6 +112,7 @@ class MeterConfig:
     marker_ttl_days: int = 45
     # legacy per-(user, model, month) token alerts
     token_threshold: int = 5_000_000
+    token_alerts: bool = False  # the rollup batches also write token alerts
     # dashboard / reader
     top_n: int = 15
     leaderboard_depth: int = 25
@@ -125,6 +126,9 @@ class MeterConfig:
     allow_list: tuple[str, ...] = ()
     audit_ttl_days: int = 60
     renotify_hours: int = 24
+    # 'gap': silent while the audit before is of the same mode and younger than the window (every run renews it);
+    # 'per_window': silent until the window after the last notice that was sent
+    throttle: str = "gap"
     # month rule: 'offset' = month of the timestamp as written (default);
     # 'utc' = month after converting to UTC
     month_zone: str = "offset"

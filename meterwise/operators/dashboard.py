@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterwise.config import STATUS_BREACH, STATUS_NORMAL, STATUS_WARNING, MeterConfig
-from meterwise.functions import budget, pricing
+from meterwise.functions import budget, pricing, text
 from meterwise.functions.models import short_model
 from meterwise.functions.pricing import TOKEN_COLS
 
@@ -225,6 +225,8 @@ def usage_notices(users_tbl: DataFrame, filtered: DataFrame, selected: DataFrame
         F.size(F.coalesce(F.col("models"), F.array())).alias("n_models"),
         F.substring(subject, 1, 100).alias("subject"),
         lines.alias("per_model_text"),
+        text.usage_body(F.col("user"), F.col("month"), F.col("cost_usd"), b, pct, F.col("total_tokens"),
+                        tuple(F.col(c) for c in TOKEN_COLS), F.col("invocations"), lines, F.lit(actor)).alias("body"),
         F.lit(actor).alias("actor"))
 
 

@@ -108,13 +108,45 @@ def throttle(audits: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFra
     notifies; DRYRUN/ERROR notify unless the previous audit of the same
     (user, month) has the same mode and is less than the re-notify window
     old (a gap rule: every run rewrites the time). Pre-resolution ERRORs
-    never notify."""
+    never notify. ``cfg.throttle = 'per_window'`` chooses :func:`throttle_per_window`."""
+    if cfg.throttle == "per_window":
+        return throttle_per_window(audits, cfg, at_col)
     w = Window.partitionBy("user", "month").orderBy(at_col)
     d = (audits.withColumn("prev_mode", F.lag("mode").over(w))
                .withColumn("prev_at", F.lag(at_col).over(w)))
     return _with_notify(d, cfg, at_col)
 
 
+def throttle_per_window(audits: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFrame:
+    """Trap T9's other reading: after a notice of a mode, DRYRUN and ERROR audits of the same mode
+    stay silent until the re-notify window since that *sent* notice has passed; REMOVED always sends,
+    SKIPPED never does, and neither does an audit that is not notifiable.
+
+    Whether an audit sends depends on all earlier sends, which no frame can
+    express: the audits of a (user, month), at most one per run, are folded in
+    order, and the fold keeps the times of the notices only.
+    """
+    can = F.col("notifiable") if "notifiable" in audits.columns else F.lit(True)
+    step = F.struct(F.col(at_col).cast("timestamp").alias("at"), "mode", F.coalesce(can, F.lit(False)).alias("can"))
+    none = F.lit(None)
+    start = F.struct(none.cast("timestamp").alias("at"), none.cast("string").alias("mode"),
+                     F.array().cast("array<timestamp>").alias("sent"))
+    window_s = int(cfg.renotify_hours) * 3600
+
+    def fold(acc, x):
+        quiet = (acc["mode"] == x["mode"]) & (x["at"].cast("double") - acc["at"].cast("double") < window_s)
+        send = x["can"] & ((x["mode"] == "REMOVED")
+                           | (x["mode"].isin("DRYRUN", "ERROR") & ~F.coalesce(quiet, F.lit(False))))
+        return F.when(send, F.struct(x["at"].alias("at"), x["mode"].alias("mode"),
+                                     F.concat(acc["sent"], F.array(x["at"])).alias("sent"))).otherwise(acc)
+
+    sent = (audits.groupBy("user", "month").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+            .select("user", "month", F.aggregate("steps", start, fold, lambda acc: acc["sent"]).alias("_sent")))
+    return (audits.join(sent, ["user", "month"])
+            .withColumn("notify", F.array_contains("_sent", F.col(at_col).cast("timestamp")) & F.coalesce(can, F.lit(False))
+                        & F.col("mode").isin("REMOVED", "DRYRUN", "ERROR")).drop("_sent"))
+
+
 def throttle_next(audits: DataFrame, prior: DataFrame, cfg: MeterConfig, at_col: str = "at") -> DataFrame:
     """W5 for one run: its audits against the last earlier one of the same
     (user, month), as :func:`latest_audit` gives it."""

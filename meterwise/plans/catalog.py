@@ -9,6 +9,7 @@ decimals; counters as BIGINT; times as ``yyyy-MM-dd HH:mm:ss`` text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -399,16 +400,18 @@ def _inv_out(d):
 
 
 def f2_records(spark, sf):
-    """Raw records in memory (parsed VARIANT), without the file layer."""
-    r = raw_records.raw_records(spark, sf)
-    return r.select("event_id", "region", "slice", F.parse_json("json").alias("rec"))
+    """Raw records in memory (parsed VARIANT), without the file layer: the
+    well-formed ones and, with ids "odd-...", those of every other form."""
+    r = raw_records.raw_records(spark, sf).select("event_id", "json")
+    odd = raw_records.odd_records(spark, sf).select("event_id", F.replace("json", F.lit('"req-'), F.lit('"odd-')).alias("json"))
+    return r.unionByName(odd).select("event_id", F.parse_json("json").alias("rec"))
 
 
 @register("log_scan")
 def q_log_scan(spark, sf):
-    """One row per log object (region, hour, object key, bytes)."""
+    """One row per log object (region, hour, object key), read whole."""
     f = f2_files(spark, sf)
-    return f.select("object_key", "region", "hour", "size", F.length("text").alias("chars"))
+    return f.select("object_key", "region", "hour", ((F.col("size") > 0) & (F.length("text") > 0)).alias("has_content"))
 
 
 @register("decode_records")
@@ -510,27 +513,25 @@ def q_scan_window(spark, sf):
 
 @register("modified_since")
 def q_modified_since(spark, sf):
-    """Objects modified at or after the cut-off (``modifiedAfter``)."""
-    from datetime import datetime
-    lay = f2_layout(spark, sf)
-    files = log_scan.scan_files(spark, log_scan.load_paths(lay, None, None), modified_after=datetime(2024, 2, 1))
-    return log_scan.with_path_parts(files).select("object_key", "modified")
+    """Two deliveries of the log, days 1-14 and then the rest; the objects
+    modified after the last one of the first delivery."""
+    base = raw_records.log_base(fresh_path(spark, "runs", "deliveries"))
+    records, day = raw_records.raw_records(spark, sf), F.dayofmonth("ts")
+    raw_records.write_logs(records.where(day < 15), base, "overwrite")
+    everything = log_scan.load_paths(log_scan.LogLayout(base, hive=True), None, None)
+    last = log_scan.list_objects(spark, everything).agg(F.max("modified")).first()[0]
+    raw_records.write_logs(records.where(day >= 15), base, "append")
+    files = log_scan.scan_files_robust(spark, everything, since=last + timedelta(milliseconds=1))
+    return log_scan.with_path_parts(files).select("object_key")
 
 
 @register("run_summary")
 def q_run_summary(spark, sf):
-    """Objects seen/processed, records, users touched, regions."""
-    # one pass: an object without records still decodes to one row (null ``rec``)
-    d = log_scan.decode_records(f2_files(spark, sf))
-    rec = F.col("rec").isNotNull() & V.is_object(F.col("rec")) & inv_fn.schema_type_ok(F.col("rec"))
-    user = F.when(rec, inv_fn.identity_label(F.col("rec")))
-    cells = d.groupBy("path", "region", user.alias("user")).agg(F.count_if(rec).alias("records"))
-    return cells.agg(
-        F.count_distinct("path").alias("objects_seen"),
-        F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"),
-        F.count_distinct(F.when(F.col("records") > 0, F.col("path"))).alias("objects_processed"),
-        F.coalesce(F.sum("records"), F.lit(0)).alias("records_processed"),
-        F.count_distinct("user").alias("users_touched"))
+    """The counts that a scheduled run itself wrote (objects seen and
+    read, damaged lines, records, users, regions)."""
+    runs = rollup_stream.read_runs(spark, _scheduled_run(spark, sf).runs)
+    return runs.select("objects_seen", "regions", "objects_processed", "objects_unreadable", "malformed",
+                       "records_processed", "records_skipped", "users_touched")
 
 
 # -------------------------------------------------------------------------
@@ -597,13 +598,36 @@ def q_scheduled_rollup(spark, sf):
     """ST1 as a scheduled batch run: hour-prefix listing of the scan window,
     marker anti-join, ledger partition of the run. One catch-up run from the
     first event hour to the last event; totals equal the one-shot rollup."""
+    paths = _scheduled_run(spark, sf)
+    return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+def _scheduled_run(spark, sf):
     from meterwise.streaming import scheduled
     b = tables.table(spark, sf, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()[0]
     root = fresh_path(spark, "runs", "scheduled")
     paths = rollup_stream.StreamPaths.under(root)
     scheduled.run_scheduled_rollup(spark, f2_layout(spark, sf), paths, f"{root}/markers", fx.F1_CFG, 1,
                                    now=b["b"], start_ts=b["a"].replace(minute=0, second=0, microsecond=0))
-    return ledger.read_usage(spark, paths.ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+    return paths
+
+
+@register("stream_token_alerts")
+def q_stream_token_alerts(spark, sf):
+    """ST7 in the stream: token alerts that the batches wrote; which event crossed depends on the
+    order of delivery, so the columns are those no batch boundary changes."""
+    paths = rollup_stream.StreamPaths.under(fresh_path(spark, "runs", "token_alerts"))
+    rollup_stream.run_rollup_stream(spark, f2_layout(spark, sf), paths, fx.F1_CFG.with_(token_alerts=True),
+                                    max_files_per_trigger=500)
+    return rollup_stream.read_token_alerts(spark, paths.token_alerts).select(
+        "level", "user", "model_id", "month", "boundary", "subject")
+
+
+@register("token_alert_text")
+def q_token_alert_text(spark, sf):
+    """Subject and body of the token alerts."""
+    r = alerts.token_alert_rows(alerts.token_crossings(f1_inv(spark, sf), fx.F1_CFG), fx.F1_CFG)
+    return r.select("level", "user", "model_id", "month", "record_id", "subject", "body")
 
 
 @register("stream_spend_alerts")
@@ -736,6 +760,13 @@ def q_enforcement_throttle(spark, sf):
     return t.select("user", "month", _ts_text(F.col("at")).alias("at"), "mode", "notify")
 
 
+@register("enforcement_per_window")
+def q_enforcement_per_window(spark, sf):
+    """W5, ``per_window``: which audit rows send a notice when silence is counted from the last notice sent."""
+    t = enforcement.throttle(_audit_history(spark, sf), fx.ENFORCE_CFG.with_(throttle="per_window"))
+    return t.select("user", "month", _ts_text(F.col("at")).alias("at"), "mode", "notify")
+
+
 @register("enforcement_notices")
 def q_enforcement_notices(spark, sf):
     """Enforcement notices that pass the throttle."""

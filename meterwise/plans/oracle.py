@@ -394,6 +394,22 @@ SELECT {U}, model_id, month, level, boundary, record_id, CAST(new_total - tokens
        CAST(new_total AS BIGINT) AS new_total
 FROM r, lv WHERE new_total - tokens < boundary AND boundary <= new_total"""
 
+_TT = fx.F1_CFG.token_threshold
+_TOKEN_SUBJECT = (f"substr('[{fx.F1_CFG.alert_label} ' || level || '] ' || {U} || ' crossed ' || format('{{:,}}', boundary) || "
+                  "' tokens on ' || model_id || ' (' || month || ')', 1, 100) AS subject")
+ORACLE["token_alert_text"] = f"""
+SELECT level, {U}, model_id, month, CAST(record_id AS VARCHAR) AS record_id, {_TOKEN_SUBJECT},
+       'Token usage of this month has passed an alert level.' || chr(10) || chr(10) ||
+       '  Level         : ' || level || chr(10) || '  User          : ' || {U} || chr(10) ||
+       '  Model         : ' || model_id || chr(10) || '  Month         : ' || month || chr(10) ||
+       '  Previous total: ' || format('{{:,}}', prev_total) || ' tokens' || chr(10) ||
+       '  New total     : ' || format('{{:,}}', new_total) || ' tokens' || chr(10) ||
+       '  Boundary      : ' || format('{{:,}}', boundary) || ' tokens' || chr(10) ||
+       '  Threshold     : {_TT:,} tokens (warn at {int(fx.F1_CFG.warn_ratio * 100)}%)' || chr(10) AS body
+FROM ({ORACLE["token_crossings"]})"""
+ORACLE["stream_token_alerts"] = f"""
+SELECT level, {U}, model_id, month, boundary, {_TOKEN_SUBJECT} FROM ({ORACLE["token_crossings"]})"""
+
 ORACLE["usage_notice"] = f1_base() + detail_cte() + _FDF + f""",
  sel AS (SELECT DISTINCT {U}, month FROM detail WHERE status = 'Breach'),
  ut AS (SELECT {U}, month, {usd('sum(cost)')} AS cost_usd,
@@ -408,7 +424,20 @@ ORACLE["usage_notice"] = f1_base() + detail_cte() + _FDF + f""",
 SELECT ut.{U}, ut.month, cost_usd, {pct_sql('cost_usd', fx.F1_CFG)} AS pct_of_budget, total_tokens, {', '.join(TOK)},
        invocations, n_models,
        substr('[{fx.F1_CFG.alert_label} USAGE] ' || ut.{U} || ' • $' || format('{{:,.2f}}', cost_usd) || ' spend (' || ut.month || ')', 1, 100) AS subject,
-       per_model_text, '{fx.ACTOR}' AS actor
+       per_model_text,
+       'This usage notice was sent by hand.' || chr(10) || chr(10) ||
+       '  User           : ' || ut.{U} || chr(10) ||
+       '  Month          : ' || ut.month || chr(10) ||
+       '  Total spend    : $' || format('{{:,.2f}}', cost_usd) || chr(10) ||
+       '  Budget         : ${float(fx.F1_CFG.budget_usd):,.2f} per user / month (all models)' || chr(10) ||
+       '  Consumption    : ' || format('{{:.1f}}', {pct_sql('cost_usd', fx.F1_CFG)}) || '% of budget' || chr(10) ||
+       '  Total tokens   : ' || format('{{:,}}', total_tokens) || ' (in ' || format('{{:,}}', input_tokens) || ' / out ' ||
+       format('{{:,}}', output_tokens) || ' / cache-write ' || format('{{:,}}', cache_write_tokens) || ' / cache-read ' ||
+       format('{{:,}}', cache_read_tokens) || ')' || chr(10) ||
+       '  Invocations    : ' || format('{{:,}}', invocations) || chr(10) ||
+       '  Per-model spend: ' || chr(10) || per_model_text || chr(10) ||
+       '  Triggered by   : {fx.ACTOR}' || chr(10) AS body,
+       '{fx.ACTOR}' AS actor
 FROM ut JOIN pm ON ut.{U} = pm.{U} AND ut.month = pm.month"""
 
 # ---------------------------------------------------------------- step 5 (raw logs)
@@ -420,21 +449,43 @@ _OBJ = (f"{_REG} || '/' || strftime(ts, '%Y/%m/%d') || '/00/' || CAST(event_id %
 
 ORACLE["decode_records"] = _RAW + f"SELECT {_INV_OUT} FROM raw"
 ORACLE["region_pruned_scan"] = _RAW + f"SELECT {_INV_OUT} FROM raw WHERE region IN ('us-east-1', 'eu-west-1')"
-ORACLE["identity_label"] = _RAW + f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, {U} FROM raw"
-ORACLE["token_extract"] = _RAW + f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, {', '.join(TOK)} FROM raw"
-ORACLE["token_coerce"] = _RAW + (f"SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
+# What the odd records must become, by event id: the values in the order of raw_records.ODD_*.
+_WELL, _ODD = "'req-' || CAST(event_id AS VARCHAR) AS request_id", "'odd-' || CAST(event_id AS VARCHAR) AS request_id"
+
+
+def _nth(values: tuple, kind: str = "VARCHAR") -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" if kind == "VARCHAR" else str(v) for v in values)
+    return f"CAST([{listed}][event_id % {len(values)} + 1] AS {kind})"
+
+
+_ODD_USER = _nth(("arn:aws:iam::1:root", "unknown", "arn:aws:sts::1:assumed-role/R/", "b c"))
+_ODD_TYPE = ("ModelInvocationLog", None, None, "")
+_ODD_IN = (12, 12, 10, 0, 1, 0, 0, -3, 100, 0)
+_ODD_FAILS = (3, 5, 9)  # counts that int() rejects zero all four
+_ODD_KIND = ("BIGINT", "DECIMAL(3,1)", "STRING", "STRING", "BOOLEAN", "STRING", "MISSING", "BIGINT", "DOUBLE", "ARRAY<BIGINT>")
+_ODD_MONTH = ("2024-01", "2024-02", "2024-03", "1970-01", "1970-01", "2024-03", "1970-01")
+_ODD_TOKENS = ", ".join([f"{_nth(_ODD_IN, 'BIGINT')} AS input_tokens"] + [
+    f"CAST(CASE WHEN event_id % 10 IN {_ODD_FAILS} THEN 0 ELSE {n} END AS BIGINT) AS {t}" for t, n in zip(TOK[1:], (2, 1, 0))])
+
+ORACLE["identity_label"] = _RAW + f"SELECT {_WELL}, {U} FROM raw UNION ALL SELECT {_ODD}, {_ODD_USER} FROM events"
+ORACLE["token_extract"] = _RAW + f"SELECT {_WELL}, {', '.join(TOK)} FROM raw UNION ALL SELECT {_ODD}, {_ODD_TOKENS} FROM events"
+ORACLE["token_coerce"] = _RAW + (f"SELECT {_WELL}, "
                                  f"CASE WHEN slice = 1 THEN 'STRING' WHEN slice IN (2, 3) THEN 'MISSING' ELSE 'BIGINT' END AS input_kind, "
-                                 f"{', '.join(TOK)} FROM raw")
-ORACLE["month_bucket"] = _RAW + "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, month FROM raw"
+                                 f"{', '.join(TOK)} FROM raw UNION ALL SELECT {_ODD}, {_nth(_ODD_KIND)}, {_ODD_TOKENS} FROM events")
+ORACLE["month_bucket"] = _RAW + f"SELECT {_WELL}, month FROM raw UNION ALL SELECT {_ODD}, {_nth(_ODD_MONTH)} FROM events"
 ORACLE["stream_usage_last_wins"] = _RAW + (
-    "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
+    f"SELECT {_WELL}, "
     "CASE WHEN slice IN (2, 3, 4) THEN input_tokens ELSE 0 END AS usage_input_tokens, "
     "CASE WHEN slice IN (2, 3, 4) THEN output_tokens ELSE 0 END AS usage_output_tokens, "
     "CASE WHEN slice IN (2, 3, 4) THEN cache_write_tokens ELSE 0 END AS usage_cache_creation_input_tokens, "
-    "CASE WHEN slice IN (2, 3, 4) THEN cache_read_tokens ELSE 0 END AS usage_cache_read_input_tokens FROM raw")
+    "CASE WHEN slice IN (2, 3, 4) THEN cache_read_tokens ELSE 0 END AS usage_cache_read_input_tokens FROM raw "
+    f"UNION ALL SELECT {_ODD}, 0, 0, 0, 0 FROM events")
 ORACLE["schema_type_filter"] = _RAW + (
-    "SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, "
-    "CASE WHEN slice IN (0, 2, 4) THEN 'ModelInvocationLog' WHEN slice = 3 THEN '' END AS schema_type FROM raw")
+    f"SELECT {_WELL}, "
+    "CASE WHEN slice IN (0, 2, 4) THEN 'ModelInvocationLog' WHEN slice = 3 THEN '' END AS schema_type FROM raw "
+    f"UNION ALL SELECT {_ODD}, {_nth(_ODD_TYPE)} FROM events WHERE {_nth(_ODD_TYPE)} IS NOT NULL")
+ORACLE["log_scan"] = _RAW + f"SELECT DISTINCT {_OBJ} AS object_key, region, strftime(ts, '%Y/%m/%d') || '/00' AS hour, true AS has_content FROM raw"
+ORACLE["modified_since"] = _RAW + f"SELECT DISTINCT {_OBJ} AS object_key FROM raw WHERE CAST(strftime(ts, '%d') AS INTEGER) >= 15"
 ORACLE["object_rollup"] = _RAW + f"""
 SELECT {_OBJ} AS object_key, {U}, model_id, month, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TOK)},
        CAST(count(*) AS BIGINT) AS invocations, CAST(sum({' + '.join(TOK)}) AS BIGINT) AS total_tokens
@@ -456,6 +507,8 @@ ORACLE["run_summary"] = _RAW + f"""
 SELECT (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_seen,
        (SELECT string_agg(DISTINCT region, ',' ORDER BY region) FROM raw) AS regions,
        (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw) AS objects_processed,
+       CAST(0 AS BIGINT) AS objects_unreadable, CAST(0 AS BIGINT) AS records_skipped,
+       (SELECT CAST(count(DISTINCT {_OBJ}) AS BIGINT) FROM raw WHERE slice = 4) AS malformed,
        (SELECT CAST(count(*) AS BIGINT) FROM raw) AS records_processed,
        (SELECT CAST(count(DISTINCT {U}) AS BIGINT) FROM raw) AS users_touched"""
 
@@ -586,6 +639,18 @@ SELECT {U}, month, {ts_text('at_ts')} AS "at", mode AS level,
                  ELSE '  Action        : ERROR (enforcement failed)' || chr(10) || '  Failed groups : ' || errored_groups || chr(10) ||
                       chr(10) || 'The next run tries again.' || chr(10) END AS body
 FROM n"""
+ORACLE["enforcement_per_window"] = "WITH RECURSIVE" + f1_base(_EC).lstrip().removeprefix("WITH") + _enforce_ctes() + _HIST + f""",
+ o AS (SELECT *, row_number() OVER (PARTITION BY {U}, month ORDER BY at_ts, mode) AS i FROM hist),
+ walk AS (
+  SELECT {U}, month, at_ts, mode, i, notifiable AND mode IN ('REMOVED', 'DRYRUN', 'ERROR') AS notify,
+         CASE WHEN notifiable AND mode IN ('REMOVED', 'DRYRUN', 'ERROR') THEN at_ts END AS last_at,
+         CASE WHEN notifiable AND mode IN ('REMOVED', 'DRYRUN', 'ERROR') THEN mode END AS last_mode FROM o WHERE i = 1
+  UNION ALL
+  SELECT {U}, month, at_ts, mode, i, send, CASE WHEN send THEN at_ts ELSE last_at END, CASE WHEN send THEN mode ELSE last_mode END
+  FROM (SELECT o.*, w.last_at, w.last_mode, o.notifiable AND (o.mode = 'REMOVED' OR (o.mode IN ('DRYRUN', 'ERROR') AND NOT coalesce(
+               w.last_mode = o.mode AND epoch(o.at_ts) - epoch(w.last_at) < {int(_EC.renotify_hours) * 3600}, FALSE))) AS send
+        FROM walk w JOIN o ON o.{U} = w.{U} AND o.month = w.month AND o.i = w.i + 1))
+SELECT {U}, month, {ts_text('at_ts')} AS "at", mode, notify FROM walk"""
 ORACLE["enforcement_run"] = f1_base(_EC) + _enforce_ctes(fx.REMOVE_CFG) + (
     f"SELECT {U}, month, mode, user_id, reason, removed_groups, skipped_groups FROM decs")
 

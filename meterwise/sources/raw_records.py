@@ -95,6 +95,30 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(eid.alias("event_id"), "ts", F.col("_region").alias("region"), "slice", js.alias("json"))
 
 
+# Fixed fixture values: what odd_records puts in by event id.
+ODD_TYPES = ("ModelInvocationLog", "OtherLog", "modelinvocationlog", "")
+ODD_ARNS = ("arn:aws:iam::1:root", "", "arn:aws:sts::1:assumed-role/R/", "arn:aws:sts::1:assumed-role/R/a/b c")
+ODD_COUNTS = ("12", "12.9", '" +1_0 "', '"12.5"', "true", '"x"', "null", "-3", "1e2", "[1]")
+ODD_TIMES = ("2024-01-31T23:30:00-05:00", "2024-02-01T00:30:00+02:00", "20240315T101500Z", "2024-13-01T00:00:00Z", "soon",
+             "2024-03-05", "")
+
+
+def odd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per event (event_id, json) whose type, identity, counts and time take all forms in turn,
+    well-formed or not: what the projections must coerce, replace or drop."""
+    ids = tables.table(spark, sf_dir, "events").select("event_id")
+
+    def pick(values: tuple[str, ...], quoted: bool = True) -> Column:
+        texts = F.array(*[F.lit(f'"{v}"' if quoted else v) for v in values])
+        return F.element_at(texts, (F.col("event_id") % len(values) + 1).cast("int"))
+
+    js = F.concat(F.lit('{"requestId":"req-'), F.col("event_id").cast("string"), F.lit('","schemaType":'), pick(ODD_TYPES),
+                  F.lit(',"timestamp":'), pick(ODD_TIMES), F.lit(',"identity":{"arn":'), pick(ODD_ARNS),
+                  F.lit('},"input":{"inputTokenCount":'), pick(ODD_COUNTS, quoted=False),
+                  F.lit(',"cacheWriteInputTokenCount":1},"output":{"outputTokenCount":2}}'))
+    return ids.select("event_id", js.alias("json"))
+
+
 def log_root(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the written fixture for ``sf_dir`` (under the work root)."""
     tag = sf_dir.rstrip("/").replace("/", "_").strip("_")
@@ -117,8 +141,14 @@ def write_log_fixture(spark: SparkSession, sf_dir: str, force: bool = False) ->
     base = log_base(root)
     if not force and path_exists(spark, f"{root}/_DONE"):
         return root
-    r = raw_records(spark, sf_dir)
-    r = r.select("event_id", "region", "slice", "json",
+    write_logs(raw_records(spark, sf_dir), base, "overwrite")
+    spark.createDataFrame([("ok",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_DONE")
+    return root
+
+
+def write_logs(records: DataFrame, base: str, mode: str) -> None:
+    """Raw records as log files below ``base``."""
+    r = records.select("event_id", "region", "slice", "json",
                  F.date_format("ts", "yyyy").alias("y"), F.date_format("ts", "MM").alias("m"),
                  F.date_format("ts", "dd").alias("d"), F.lit("00").alias("h"),
                  F.floor(F.col("event_id") / CHUNK_EVENTS).alias("chunk"))
@@ -138,11 +168,9 @@ def write_log_fixture(spark: SparkSession, sf_dir: str, force: bool = False) ->
             .otherwise(F.concat(F.lit("[\n  "), pretty, F.lit("\n]\n"))))
     gz_docs = docs.select(*keys, doc.alias("value"))
     gz = gz_lines.unionByName(gz_docs)
-    (gz.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*keys)
+    (gz.repartition(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(*keys)
        .option("compression", "gzip").text(base))
     (plain_lines.repartition(*keys).write.mode("append").partitionBy(*keys).text(base))
-    spark.createDataFrame([("ok",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_DONE")
-    return root
 
 
 def write_envelope_fixture(spark: SparkSession, sf_dir: str, force: bool = False) -> str:

@@ -201,7 +201,7 @@ def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: Mete
                 _write_batch(alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg), paths.alerts, batch_id)
             if directory is not None and cfg.enforcement_configured():
                 _enforce(ba, rows, batch_id, paths, cfg, directory)
-        if paths.token_alerts:
+        if cfg.token_alerts and paths.token_alerts:
             before = ledger.month_partials(spark, paths.ledger, months, batch_id - 1)
             _write_batch(_token_alerts(inv, before, cfg), paths.token_alerts, batch_id)
         _write_batch(metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(rollup.merge_usage(parts), cfg))),

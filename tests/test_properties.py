@@ -45,6 +45,46 @@ def test_chunked_token_crossings_equal_running_sum(spark, rows):
     assert got == _brute_crossings(rows, 1000, 0.8)
 
 
+USAGE = ("record_id long, user string, model_id string, month string, ts timestamp_ntz, input_tokens long, "
+         "output_tokens long, cache_write_tokens long, cache_read_tokens long")
+
+
+def test_crossings_of_events_without_a_time_and_in_a_hot_hour(spark):
+    cfg = MeterConfig(token_threshold=1000, warn_ratio=Decimal("0.8"))
+    t0 = datetime(2024, 3, 1)
+    # one user, one instant, and some events without any time, which come first
+    rows = [(i, "hot", "m", "2024-03", None if i % 50 == 0 else t0, 3, 0, 0, 0) for i in range(500)]
+    rows += [(1000, "big", "m", "2024-03", None, 2000, 0, 0, 0)]
+    got = sorted((r["user"], r["level"], r["record_id"], r["prev_total"], r["new_total"])
+                 for r in alerts.token_crossings(spark.createDataFrame(rows, USAGE).repartition(6), cfg).collect())
+    order = sorted(range(500), key=lambda i: (i % 50 != 0, i))
+    assert got == [("big", "BREACH", 1000, 0, 2000), ("big", "WARN", 1000, 0, 2000),
+                   ("hot", "BREACH", order[333], 999, 1002), ("hot", "WARN", order[266], 798, 801)]
+
+
+def test_crossings_on_top_of_earlier_totals(spark):
+    cfg = MeterConfig(token_threshold=1000, warn_ratio=Decimal("0.8"))
+    rows = [(1, "u", "m", "2024-03", datetime(2024, 3, 1), 10, 0, 0, 0), (2, "v", "m", "2024-03", datetime(2024, 3, 1), 10, 0, 0, 0)]
+    start = spark.createDataFrame([("u", "m", "2024-03", 795), ("v", "m", "2024-03", 800)],
+                                  "user string, model_id string, month string, start long")
+    got = alerts.token_crossings(spark.createDataFrame(rows, USAGE), cfg, start=start).collect()
+    assert [(r["user"], r["level"], r["prev_total"], r["new_total"]) for r in got] == [("u", "WARN", 795, 805)]
+
+
+def test_a_running_sum_spans_ranges(spark):
+    from meterwise.operators import prefix
+    rows = [("hot" if i % 3 else None, i % 40, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, o int, v long").repartition(5)
+    got = {(r["k"], r["o"], r["v"]): r["s"] for r in prefix.running_sum(df, ["k"], ["o", "v"], "v", "s").collect()}
+    want = {}
+    for k in ("hot", None):
+        total = 0
+        for row in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]):
+            total += row[2]
+            want[row] = total
+    assert got == want
+
+
 runs = st.lists(st.tuples(st.sampled_from(["u1", "u2", "hot"]), st.integers(0, 50),
                           st.decimals(min_value=0, max_value=3, places=2)), min_size=1, max_size=40)
 

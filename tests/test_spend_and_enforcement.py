@@ -126,3 +126,26 @@ def test_dashboard_views_share_one_cached_detail(spark, sf):
         assert v.histogram().agg(F.sum("users")).collect()[0][0] == v.users().count()
     finally:
         v.close()
+
+
+def test_per_window_throttle_is_an_ordered_fold(spark):
+    import random
+    from datetime import datetime, timedelta
+    rng = random.Random(4)
+    rows = []
+    for u in range(12):
+        t = datetime(2024, 1, 1)
+        for _ in range(rng.randint(1, 60)):
+            t += timedelta(minutes=rng.choice([5, 5, 300, 1435, 1440, 1500]))
+            rows.append((f"u{u}", "2024-01", t, rng.choice(["DRYRUN"] * 5 + ["ERROR", "SKIPPED", "REMOVED"]), rng.random() > 0.1))
+    want, last = {}, {}
+    for user, month, at, mode, can in sorted(rows):
+        before = last.get(user)
+        quiet = before is not None and before[1] == mode and (at - before[0]).total_seconds() < 24 * 3600
+        send = can and (mode == "REMOVED" or (mode in ("DRYRUN", "ERROR") and not quiet))
+        if send:
+            last[user] = (at, mode)
+        want[user, at] = send
+    df = spark.createDataFrame(rows, "user string, month string, at timestamp, mode string, notifiable boolean")
+    got = {(r["user"], r["at"]): r["notify"] for r in enforcement.throttle(df, CFG.with_(throttle="per_window")).collect()}
+    assert got == want and got != {(r["user"], r["at"]): r["notify"] for r in enforcement.throttle(df, CFG).collect()}
