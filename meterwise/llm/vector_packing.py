@@ -5,7 +5,8 @@ loss-bearing tokens. A sequence is filled by the dot-product heuristic: of the
 examples that still fit in every dimension, the one whose demand points most
 along what is left of the capacities is placed next, until none fits. Examples
 with equal demands are interchangeable, so a step chooses among demands, of
-which there are at most as many as the capacities allow, not among examples.
+which there are at most as many as the capacities allow, not among examples;
+its cost grows with the number of different counts of tokens without loss.
 
 Documents are tokenised whole and cut every ``tokens`` ids; a piece of full
 length is a sequence of its own. Pieces are dealt to packing tasks of bounded
@@ -15,6 +16,7 @@ size; each leaves at most a few sequences partly filled.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,32 +41,45 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
 
     Demands are weighted by the inverse of the capacities. Ties go to the
     larger demand in tokens, then in loss tokens; equal examples are placed in
-    the order given.
+    the order given. The segment term is the same for all candidates. Among
+    examples of the same tokens without loss, the dot product grows with their
+    tokens, so only the longest one that fits of each such kind is weighed; it is found by
+    bisection in the lengths still left.
     """
-    caps = np.array(limits, float)
-    demands, kind = np.unique(np.stack([tokens, loss], axis=1), axis=0, return_inverse=True)
-    kind = kind.reshape(-1)
-    order = np.argsort(kind, kind="stable")
-    left = np.bincount(kind, minlength=len(demands))
-    used = np.concatenate([[0], np.cumsum(left)])[:-1]  # next example of each demand, in order
-    need = np.stack([demands[:, 0], np.ones(len(demands)), demands[:, 1]], axis=1)[::-1]
-    weighted = need / (caps * caps)
-    left, used = left[::-1].copy(), used[::-1].copy()
+    cap_t, cap_s, cap_l = limits
+    gap = tokens - loss
+    order = np.lexsort((np.arange(len(tokens)), tokens, gap))
+    kinds = []  # (tokens without loss, lengths left in ascending order, the examples of each length)
+    for part in np.split(order, np.flatnonzero(np.diff(gap[order])) + 1) if len(order) else []:
+        cuts = np.flatnonzero(np.diff(tokens[part])) + 1
+        examples = [x.tolist()[::-1] for x in np.split(part, cuts)]
+        kinds.append((int(gap[part[0]]), [int(tokens[x[0]]) for x in examples], examples))
     sequence, offset = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
-    number, placed, room, at = 0, 0, caps.copy(), 0
+    number, placed, at = 0, 0, 0
+    room_t, room_s, room_l = limits
+    weight_t, weight_l = cap_l * cap_l, cap_t * cap_t  # both inverse squares times (cap_t * cap_l) ** 2: whole numbers
     while placed < len(tokens):
-        fits = (left > 0) & (need <= room).all(axis=1)
-        if not fits.any():
-            number, room, at = number + 1, caps.copy(), 0
+        best = None
+        for kind in kinds if room_s else ():
+            i = bisect_right(kind[1], min(room_t, room_l + kind[0])) - 1
+            if i >= 0:
+                n = kind[1][i]
+                m = n - kind[0]
+                rank = (n * room_t * weight_t + m * room_l * weight_l, n, m)
+                if best is None or rank > best[0]:
+                    best = rank, kind, i
+        if best is None:
+            number, at = number + 1, 0
+            room_t, room_s, room_l = limits
             continue
-        best = int(np.where(fits, weighted @ room, -1.0).argmax())
-        example = order[used[best]]
+        (_, n, m), (_, lengths, examples), i = best
+        example = examples[i].pop()
+        if not examples[i]:
+            del lengths[i], examples[i]
         sequence[example], offset[example] = number, at
-        used[best] += 1
-        left[best] -= 1
         placed += 1
-        room -= need[best]
-        at += int(need[best, 0])
+        at += n
+        room_t, room_s, room_l = room_t - n, room_s - 1, room_l - m
     return sequence, offset
 
 
