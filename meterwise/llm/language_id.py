@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm.common import cut, fold, with_fields
@@ -45,16 +45,23 @@ def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, at, n): trigram counts of about PER_LANGUAGE hash-chosen rows of each language."""
+    """(lang, at, n): trigram counts of the at most PER_LANGUAGE ids of each language with the smallest hashes.
+
+    An id counts once however often it is repeated (its smallest text is taken).
+    The hash limit lets through a little more than that; the rest is ranked.
+    """
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(
-        F.col("lang").isNotNull() & (fold(F.col("id"), HOLD_OUT) != HELD))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        F.col("lang").isNotNull() & (fold(F.col("id"), HOLD_OUT) != HELD) & F.col("t").rlike(LETTER))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
     if not sizes:
         return None
     scale = 1 << 30
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items())
-                            for x in (lang, min(scale, scale * PER_LANGUAGE // n))])
-    chosen = usable.where((F.pmod(F.xxhash64("id"), F.lit(scale)) < limits[F.col("lang")]) & F.col("t").rlike(LETTER))
+                            for x in (lang, min(scale, scale * 2 * PER_LANGUAGE // n))])
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(scale))).where(F.col("h") < limits[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy("h", "id")  # about 2 * PER_LANGUAGE rows
+    chosen = (hashed.groupBy("lang", "id", "h").agg(F.min("t").alias("t"))
+              .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PER_LANGUAGE))
     return cut(chosen.select("lang", F.encode(F.lower("t"), "UTF-8").alias("t"))
                .mapInArrow(counts_of(1, letters_only=True), "lang string, at binary, n binary"))
 

@@ -198,8 +198,12 @@ def disclosing(holders: DataFrame, docs: DataFrame, text_col: str, n_docs: int)
         return share(n_e, n_e, n_t) >= GENERALISE
 
     each = holders.select("_r", F.explode("held").alias("entity"))
-    entities = cut(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    held = cut(each.join(entities, "entity"))
+    row = F.col("_r")
+    holding = cut(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64(row)).alias("x"),
+                                             F.sum(F.xxhash64(row, F.lit(1)).cast("decimal(38,0)")).alias("s")))
+    # Entities that the same documents hold disclose alike: each such class is one entity from here on.
+    entities = cut(holding.withColumn("class", F.struct("n_e", "x", "s")).select("entity", "class", "n_e"))
+    held = cut(each.join(entities, "entity").select("_r", F.col("class").alias("entity"), "n_e").distinct())
     most = entities.agg(F.max("n_e")).first()[0] or 1
     own = terms_of(holders).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(can(F.lit(most), F.col("n_held")))
     words = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("w"))

@@ -199,7 +199,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: st
     Links join fingerprints at ``radius`` or fewer differing bits, and
     component_id is the smallest id reachable, itself included. Rows of equal
     id are rows; a null id is never smallest unless a component has no other.
-    An empty table gives an empty result.
+    An empty table gives an empty result. The key tables are made for a
+    ``radius`` of 2; any other raises.
     """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
@@ -214,11 +215,14 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: st
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is its component's smallest.
+    """One row of ``docs``, all columns, for each component.
 
-    Rows of one id that differ, or repeat, stay together when that id stays.
+    It is a row of the smallest id (a null id comes last); of several rows of
+    that id the one whose text has the smaller hash stays, and of rows equal in
+    id and text any one. So repeated rows are copies like any other.
     """
-    found = simhash_dedup(docs, shingle, radius, id_col, text_col)
-    stay = (found.where(F.col("component_id").eqNullSafe(F.col(id_col)))
-            .select(F.col(id_col).alias("_stay")).distinct())
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    found = simhash_dedup(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), shingle, radius, "_key", "_text")
+    stay = found.where(F.col("component_id").eqNullSafe(F.col("_key"))).select(F.col("_key").alias("_stay")).distinct()
+    kept = docs.withColumn("_key", key).join(stay, F.col("_key").eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

@@ -1,9 +1,11 @@
 """Operators on documents against brute force, and on awkward and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -134,11 +136,22 @@ def test_bit_sliced_distances(fps, radius):
     assert (got == (np.bitwise_count(a[:, None] ^ a[None, :]) <= radius)).all()
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, ids with several texts and a group of copies of a third of all rows."""
+    text = {c: sentence(random.Random(c), "en", 60) for c in range(8)}
+    rows = [(i, text[0]) for i in range(100, 140)] + [(7, text[1])] * 30 + [(3, text[2]), (3, text[3]), (9, text[2]), (2, text[3])]
+    rows += [(None, text[4]), (50, text[4]), (None, text[5]), (None, text[5])] + [(200 + c, text[c]) for c in (6, 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept if r["doc_id"] is not None) == sorted(
+        [(text[0], 100), (text[1], 7), (text[2], 3), (text[3], 2), (text[4], 50), (text[6], 206), (text[7], 207)])
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [text[5]]
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.schema == docs.schema
     ids = [r["doc_id"] for r in kept.collect()]
-    assert 5 in ids and 1005 not in ids and ids.count(1007) == 2 and 1000 in ids and 1001 not in ids
+    assert 5 in ids and 1005 not in ids and ids.count(1007) == 1 and ids.count(1008) == 2 and 1000 in ids and 1001 not in ids
 
 
 # Packing and token files
@@ -173,6 +186,31 @@ def test_bins_hold_their_limits(items):
         assert off[order].tolist() == np.concatenate([[0], np.cumsum(n[order])[:-1]]).tolist()
 
 
+def plain_pack(tokens, loss, limits):
+    """The dot-product heuristic, in fractions, over all examples that are left."""
+    left, out, number, at, room = list(range(len(tokens))), [None] * len(tokens), 0, 0, list(limits)
+    while left:
+        fit = [i for i in left if tokens[i] <= room[0] and room[1] >= 1 and loss[i] <= room[2]]
+        if not fit:
+            number, at, room = number + 1, 0, list(limits)
+            continue
+        i = max(fit, key=lambda i: (sum(Fraction(d * r, c * c) for d, r, c in zip((tokens[i], 1, loss[i]), room, limits)),
+                                    tokens[i], loss[i], -i))
+        out[i] = number, at
+        at += tokens[i]
+        room = [room[0] - tokens[i], room[1] - 1, room[2] - loss[i]]
+        left.remove(i)
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(1, 16), st.integers(0, 9)), max_size=40), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_packing_follows_the_dot_product(items, segments):
+    n, m = [a for a, _ in items], [b for _, b in items]
+    seq, off = vector_packing.pack(np.array(n, np.int64), np.array(m, np.int64), (16, segments, 9))
+    assert list(zip(seq.tolist(), off.tolist())) == plain_pack(n, m, (16, segments, 9))
+
+
 def test_packed_documents(docs, rows, tokenizer):
     got = vector_packing.pack_documents(docs, tokenizer_path()).toPandas()
     ids = {(i, t): tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
@@ -305,6 +343,64 @@ def test_terms_far_from_the_value(spark):
     assert got[0]["n_terms"] == 3 and [s for s in got[0]["spans"].split(",") if "remove" in s] == [f"remove:{a}:{b}" for a, b in ends]
 
 
+def naive_added(rows):
+    """(document, term) of all disclosing terms, from unpruned counts of every term with every value."""
+    n, held, terms = len(rows), {}, {}
+    for i, text in rows:
+        spans = pii.base_spans(text)
+        held[i] = {pii.entity_key(k, text[s:e]) for k, s, e in spans}
+        terms[i] = {t for t, _, _ in pii.outside_terms(text, spans)}
+    words = {i: set(re.findall(pii.TERM, text.lower())) for i, text in rows}
+    count = lambda sets, x: sum(x in s for s in sets.values())
+    out = set()
+    for i, _ in rows:
+        for e in held[i]:
+            n_e = count(held, e)
+            for t in terms[i]:
+                n_t = max(count({j: terms[j] for j in terms if held[j]}, t), count(words, t))
+                n_et = sum(e in held[j] and t in terms[j] for j, _ in rows)
+                whole = math.log2(n / n_e)
+                if whole > 0 and math.log2((n_et * n / n_e + pii.PRIOR) / (n_t + pii.PRIOR)) / whole >= pii.GENERALISE:
+                    out.add((i, t))
+    return out
+
+
+def test_disclosure_is_the_unpruned_count(spark):
+    rng = random.Random(11)
+    names = [f"name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    values = [f"p{i}@mail.org" for i in range(40)] + ["10.0.0.1", "+49 170 555 1234"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(names[:12]) for _ in range(6)]
+        if i % 5 == 0:
+            for v in rng.sample(range(len(values)), rng.choice([1, 1, 2, 4])):
+                words += [values[v], names[12 + v] if rng.random() < 0.8 else rng.choice(names)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, got = dict(rows), set()
+    for r in pii.private_spans(docs).collect():
+        for kind, s, e in (x.split(":") for x in r["spans"].split(",") if x):
+            if kind in ("term", "remove"):
+                got.add((r["doc_id"], texts[r["doc_id"]][int(s):int(e)].lower()))
+    want = naive_added(rows)
+    assert got == want and len(want) > 20
+
+
+def test_values_of_the_same_documents_are_one_entity(spark, monkeypatch):
+    """One document with very many values and rare words makes a row per word, not one per word and value."""
+    made = []
+    real = pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df: made.append(real(df)) or made[-1])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"zz{a}{b}{c}" for a in letters for b in letters for c in letters][:1500]
+    big = " ".join(f"{w} q{i}@mail.org" for i, w in enumerate(rare))
+    docs = spark.createDataFrame([(0, big)] + [(i, f"plain words stand here {i}") for i in range(1, 300)], "doc_id long, text string")
+    got = pii.private_spans(docs).where("doc_id = 0").first()
+    assert got["n_email"] == 1500 and got["n_terms"] >= 1500
+    assert [df.count() for df in made if "term" in df.columns and "entity" in df.columns] == [got["n_terms"]]
+
+
 @given(st.text("ab1. @+-", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_outside_terms(text):
@@ -322,6 +418,15 @@ def test_private_spans_on_awkward_rows(docs, rows):
 
 # Language
 
+def test_the_sample_is_bounded_for_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    rows = [(5, sentence(random.Random(1), "en", 20), "en")] * 4000
+    rows += [(i, sentence(random.Random(i), lang, 20), lang) for i in range(400) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sizes = {r["lang"]: r["count"] for r in language_id._sample(df, "doc_id", "text", "lang").groupBy("lang").count().collect()}
+    assert sizes == {"en": 20, "de": 20}
+
+
 def test_languages(docs, rows):
     got = language_id.language_id(docs)
     assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
