@@ -13,14 +13,16 @@ from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 _CACHE: dict = {}
+_OWNER: list = [None]  # the context whose columns _CACHE holds
 
 
 def dec(value, dtype: str) -> Column:
     v = value if isinstance(value, Decimal) else Decimal(str(value))
     sc = SparkContext._active_spark_context
-    key = (id(sc), format(v, "f"), dtype)
-    c = _CACHE.get(key)
-    if c is None:
-        c = F.lit(format(v, "f")).cast(dtype)
-        _CACHE[key] = c
-    return c
+    if _OWNER[0] is not sc:
+        _CACHE.clear()
+        _OWNER[0] = sc
+    key = (format(v, "f"), dtype)
+    if key not in _CACHE:
+        _CACHE[key] = F.lit(key[0]).cast(dtype)
+    return _CACHE[key]

@@ -21,10 +21,6 @@ RATE_NAMES = ("rate_in", "rate_out", "rate_cw", "rate_cr")
 TOKEN_COLS = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")
 _MILLION = Decimal(1_000_000)
 
-# Up to this many patterns the look-up is a folded CASE chain inside
-# whole-stage codegen; larger tables use a broadcast theta join.
-CASE_CHAIN_LIMIT = 64
-
 
 def price_frame(spark: SparkSession, cfg: MeterConfig) -> DataFrame:
     """Normalized price table: priority, pattern, four rates per 1M tokens.
@@ -44,78 +40,45 @@ def _token_rate(r: Decimal) -> Column:
     return dec(r / _MILLION, "decimal(16,12)")
 
 
-def rate_columns(model: Column, cfg: MeterConfig) -> list[Column]:
-    """Per-token rates for ``model`` as four DECIMAL(16,12) columns (CASE chain)."""
+def resolved(model: Column, cfg: MeterConfig) -> Column:
+    """The first entry whose pattern is in ``model``, else the fallback: pattern and four per-token rates.
+
+    The table is one literal array (Catalyst folds it), searched per row, so a
+    table of any size is one short expression and needs no join.
+    """
+    def entry(pattern: str | None, rates) -> Column:
+        return F.struct(F.lit(pattern).cast("string").alias("pattern"),
+                        *[_token_rate(r).alias(n) for r, n in zip(rates, RATE_NAMES)])
+
     mid = F.lower(F.coalesce(model, F.lit("")))
-    entries = cfg.normalized_prices()
-    fb = cfg.fallback_rates()
-    cols = []
-    for k in range(4):
-        expr = None
-        for _, pattern, rates in entries:
-            cond = mid.contains(pattern)
-            expr = F.when(cond, _token_rate(rates[k])) if expr is None else expr.when(cond, _token_rate(rates[k]))
-        expr = _token_rate(fb[k]) if expr is None else expr.otherwise(_token_rate(fb[k]))
-        cols.append(expr)
-    return cols
+    fallback = entry(None, cfg.fallback_rates())
+    entries = [entry(p, r) for _, p, r in cfg.normalized_prices()]
+    if not entries:
+        return fallback
+    return F.coalesce(F.try_element_at(F.filter(F.array(*entries), lambda e: mid.contains(e["pattern"])), F.lit(1)), fallback)
 
 
 def matched_pattern(model: Column, cfg: MeterConfig) -> Column:
-    mid = F.lower(F.coalesce(model, F.lit("")))
-    expr = None
-    for _, pattern, _ in cfg.normalized_prices():
-        expr = F.when(mid.contains(pattern), F.lit(pattern)) if expr is None else expr.when(mid.contains(pattern), F.lit(pattern))
-    return F.lit(None).cast("string") if expr is None else expr
+    return resolved(model, cfg)["pattern"]
 
 
-def cost_usd(model: Column, tokens: list[Column], cfg: MeterConfig) -> Column:
-    """Exact USD cost DECIMAL(38,12) of four token counts priced for ``model``."""
-    rates = rate_columns(model, cfg)
-    terms = [F.coalesce(t, F.lit(0)).cast(TOKEN_DEC) * r for t, r in zip(tokens, rates)]
+def cost_usd(tokens: list[Column], rates: Column) -> Column:
+    """Exact USD cost DECIMAL(38,12) of four token counts at the rates of :func:`resolved`."""
+    terms = [F.coalesce(t, F.lit(0)).cast(TOKEN_DEC) * rates[n] for t, n in zip(tokens, RATE_NAMES)]
     return (terms[0] + terms[1] + terms[2] + terms[3]).cast(MONEY_DEC)
 
 
 def with_cost(df: DataFrame, cfg: MeterConfig, model_col: str = "model_id",
               out: str = "cost") -> DataFrame:
     """Add the exact decimal ``cost`` column to a usage-shaped DataFrame."""
-    if len(cfg.prices) > CASE_CHAIN_LIMIT:
-        return with_cost_join(df, cfg, model_col, out)
-    return df.withColumn(out, cost_usd(F.col(model_col), [F.col(c) for c in TOKEN_COLS], cfg))
-
+    priced = df.withColumn("_rates", resolved(F.col(model_col), cfg))  # looked up once a row
+    return priced.withColumn(out, cost_usd([F.col(c) for c in TOKEN_COLS], F.col("_rates"))).drop("_rates")
 
-def resolve_rates_join(df: DataFrame, cfg: MeterConfig, model_col: str = "model_id") -> DataFrame:
-    """Theta-join form of the look-up for large price tables.
 
-    Distinct model ids (a small set) are matched against the broadcast price
-    table with ``contains``; ``min_by(rates, priority)`` keeps the first match
-    and the fallback row (``pattern IS NULL``) catches the rest. The result is
-    joined back on the model id with an equi-join.
-    """
-    spark = df.sparkSession
-    prices = price_frame(spark, cfg)
-    models = df.select(F.col(model_col).alias("_mid")).distinct()
-    from meterwise.functions.broadcast import bounded
-    m = models.join(
-        bounded(prices, len(cfg.prices) + 1),
-        F.col("pattern").isNull()
-        | F.lower(F.coalesce(F.col("_mid"), F.lit(""))).contains(F.col("pattern")),
-        "inner")
-    resolved = m.groupBy("_mid").agg(
-        F.min_by(F.struct(*[F.col(n) for n in RATE_NAMES], F.col("pattern")),
-                 F.col("priority")).alias("_r"))
-    resolved = resolved.select(
-        "_mid", *[(F.col(f"_r.{n}") / F.lit(_MILLION)).cast(TOKEN_RATE_DEC).alias(n) for n in RATE_NAMES],
-        F.col("_r.pattern").alias("matched_pattern"))
-    return df.join(resolved, df[model_col].eqNullSafe(resolved["_mid"]), "left").drop("_mid")
-
-
-def with_cost_join(df: DataFrame, cfg: MeterConfig, model_col: str = "model_id",
-                   out: str = "cost") -> DataFrame:
-    r = resolve_rates_join(df, cfg, model_col)
-    terms = [F.coalesce(F.col(t), F.lit(0)).cast(TOKEN_DEC) * F.col(n)
-             for t, n in zip(TOKEN_COLS, RATE_NAMES)]
-    return (r.withColumn(out, (terms[0] + terms[1] + terms[2] + terms[3]).cast(MONEY_DEC))
-             .drop(*RATE_NAMES, "matched_pattern"))
+def with_rates(df: DataFrame, cfg: MeterConfig, model_col: str = "model_id") -> DataFrame:
+    """Add ``matched_pattern`` and the four per-token rates."""
+    r = df.withColumn("_rates", resolved(F.col(model_col), cfg))
+    return r.select(*df.columns, F.col("_rates.pattern").alias("matched_pattern"), *[f"_rates.{n}" for n in RATE_NAMES])
 
 
 def usd(c: Column) -> Column:

@@ -13,6 +13,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from meterwise.config import price_entries_from_json
 from meterwise.functions import budget, pricing, text
 from meterwise.functions.models import short_model
 from meterwise.functions.pricing import TOKEN_COLS
@@ -102,15 +103,28 @@ def q_row_cost(spark, sf):
 
 @register("model_rates")
 def q_model_rates(spark, sf):
-    """First-match rates per observed model, via the broadcast
-    theta join over the distinct model ids."""
+    """First-match rates per observed model."""
     u = f1_usage(spark, sf)
     per_model = u.groupBy("model_id").agg(F.sum("invocations").cast("bigint").alias("invocations"))
-    r = pricing.resolve_rates_join(per_model, fx.F1_CFG)
+    r = pricing.with_rates(per_model, fx.F1_CFG)
     return r.select("model_id", "matched_pattern", "invocations",
                     *[(F.col(n) * F.lit(1_000_000)).cast("double").alias(n) for n in pricing.RATE_NAMES])
 
 
+@register("price_override")
+def q_price_override(spark, sf):
+    """Cost per model under a price table given as JSON, with two, three and four rates a row
+    and in no sorted order, and under a text that is none (the default table)."""
+    usage = f1_usage(spark, sf)
+    rows = None
+    for name, value in fx.PRICE_TEXTS:
+        cfg = fx.F1_CFG.with_(prices=price_entries_from_json(value))
+        part = rollup.model_totals(usage, cfg).select(F.lit(name).alias("prices"), "model_id", "total_tokens",
+                                                      pricing.usd(F.col("cost")).alias("cost_usd"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @register("price_table")
 def q_price_table(spark, sf):
     """The normalized price table with the invocations each entry
@@ -551,6 +565,30 @@ def q_decode_subscription(spark, sf):
     return _inv_out(subscription.subscription_invocations(ev))
 
 
+@register("event_rollup")
+def q_event_rollup(spark, sf):
+    """S7 as a stream: envelopes delivered twice, some of them late, into counters; nothing counts twice."""
+    return ledger.read_usage(spark, _event_run(spark, sf).ledger).select(*rollup.USAGE_KEYS, *rollup.COUNTER_COLS)
+
+
+@register("event_token_alerts")
+def q_event_token_alerts(spark, sf):
+    """ST7 on the event path: token alerts of the envelope stream (columns no batch boundary changes)."""
+    return rollup_stream.read_token_alerts(spark, _event_run(spark, sf).token_alerts).select(
+        "level", "user", "model_id", "month", "boundary", "subject")
+
+
+def _event_run(spark, sf):
+    from meterwise.streaming import event_stream
+    root = fresh_path(spark, "runs", "events")
+    env = spark.read.parquet(raw_records.write_envelope_fixture(spark, sf))
+    env.write.parquet(f"{root}/in")
+    env.where(F.col("block") % 3 == 0).write.mode("append").parquet(f"{root}/in")  # delivered again
+    paths = rollup_stream.StreamPaths.under(root)
+    event_stream.run_event_stream(spark, f"{root}/in", paths, f"{root}/seen", fx.F1_CFG, max_files_per_trigger=4)
+    return paths
+
+
 @register("usage_counters")
 def q_usage_counters(spark, sf):
     """Per-day batches written to the ledger, one batch replayed, read

@@ -32,3 +32,5 @@ ENFORCE_CFG = F1_CFG.with_(enforce_enabled=True, identity_store_id="store-1",
                            allow_list=("user7", "user42"))
 # The same with dry-run off: memberships count as removed.
 REMOVE_CFG = ENFORCE_CFG.with_(enforce_dry_run=False)
+
+PRICE_TEXTS = (("override", '{"Sonnet": [2, 10, 3], "OPUS": [4, 20], "haiku": [1, 5, 2, 0.5]}'), ("default", "no JSON"))

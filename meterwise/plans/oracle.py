@@ -143,6 +143,25 @@ SELECT model_id, {_first_match([f"'{p}'" for p, _ in RATES], 'NULL')} AS matched
 FROM usage GROUP BY model_id"""
 
 
+# What fixtures.PRICE_TEXTS must give: USD per million tokens; a single cache rate is not used.
+_OVERRIDE = (("opus", (4, 20, 5, "0.4")), ("sonnet", (2, 10, "2.5", "0.2")), ("haiku", (1, 5, 2, "0.5")))
+_OTHERS = (3, 15, "3.75", "0.3")
+
+
+def _override_cost() -> str:
+    terms = []
+    for k, t in enumerate(TOK):
+        whens = " ".join(f"WHEN lower(model_id) LIKE '%{p}%' THEN CAST({r[k]} AS DECIMAL(10,6))" for p, r in _OVERRIDE)
+        terms.append(f"sum(CAST({t} AS DECIMAL(18,0)) * CASE {whens} ELSE CAST({_OTHERS[k]} AS DECIMAL(10,6)) END)")
+    return f"CAST(({' + '.join(terms)}) / 1000000 AS DOUBLE)"
+
+
+ORACLE["price_override"] = f1_base() + f"""
+SELECT 'override' AS prices, model_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, {_override_cost()} AS cost_usd
+FROM usage GROUP BY model_id
+UNION ALL SELECT 'default', model_id, CAST(sum(total_tokens) AS BIGINT), {usd('sum(cost)')} FROM priced GROUP BY model_id"""
+
+
 def _price_rows_sql() -> str:
     rows = [*((f"'{p}'", r) for p, r in RATES), ("NULL", FALLBACK)]
     return " UNION ALL ".join(f"SELECT {i} AS priority, {p} AS pattern, "
@@ -517,6 +536,8 @@ ORACLE["decode_subscription"] = ORACLE["decode_records"]
 ORACLE["usage_counters"] = ORACLE["usage_rollup"]
 ORACLE["stream_rollup"] = ORACLE["usage_rollup"]
 ORACLE["scheduled_rollup"] = ORACLE["usage_rollup"]
+ORACLE["event_rollup"] = ORACLE["usage_rollup"]
+ORACLE["event_token_alerts"] = ORACLE["stream_token_alerts"]
 ORACLE["usage_month_scan"] = f3_base() + f"SELECT {U}, model_id, month, {COUNTERS} FROM usage WHERE month = '{fx.F3_MONTH}'"
 ORACLE["unprocessed_objects"] = _RAW + f"SELECT DISTINCT {_OBJ} AS object_key FROM raw WHERE CAST(strftime(ts, '%d') AS INTEGER) >= 15"
 ORACLE["marker_expiry"] = f"""

@@ -83,7 +83,8 @@ def decode_envelopes(df: DataFrame, data_col: str = "data") -> DataFrame:
     return env.select(*[c for c in unz.columns if c not in ("payload",)],
                       F.col("env.logGroup").alias("log_group"), F.col("env.logStream").alias("log_stream"),
                       F.explode_outer("env.logEvents").alias("ev")) \
-              .select("*", F.col("ev.message").alias("message"), F.col("ev.timestamp").alias("event_ms")).drop("ev")
+              .select("*", F.col("ev.id").alias("log_event_id"), F.col("ev.message").alias("message"),
+                      F.col("ev.timestamp").alias("event_ms")).drop("ev")
 
 
 def subscription_invocations(events: DataFrame, zone: str = "offset") -> DataFrame:
@@ -97,3 +98,22 @@ def subscription_invocations(events: DataFrame, zone: str = "offset") -> DataFra
     d = d.where(F.col("rec").isNotNull() & V.is_object(F.col("rec")))
     fallback = F.date_format(F.timestamp_millis(F.col("event_ms")), "yyyy-MM")
     return invocation.canonical(d.drop("message"), fallback, "rec", zone, F.timestamp_millis(F.col("event_ms")))
+
+
+def event_rows(events: DataFrame, zone: str = "offset") -> DataFrame:
+    """Log events -> one narrow row each, in the form of ``log_scan.decoded_rows``.
+
+    An event whose message is missing or not one JSON document is ``malformed``; one that is
+    not an object of the wanted schema type is present but not counted. An undecodable payload
+    is one row with its error.
+    """
+    from meterwise.sources.log_scan import _strict_parse
+    rec, at = F.col("rec"), F.timestamp_millis(F.col("event_ms"))
+    unread = F.col("error").isNotNull()
+    d = events.select("*", F.explode(F.array(_strict_parse(F.col("message")))).alias("rec"))
+    d = d.select(F.coalesce("log_stream", F.lit("")).alias("path"), "region", at.alias("modified"),
+                 F.col("error").alias("read_error"), F.lit(True).alias("first"),
+                 F.when(~unread & rec.isNull(), 1).otherwise(0).cast("bigint").alias("malformed"),
+                 F.coalesce(V.is_object(rec), F.lit(False)).alias("present"),
+                 F.coalesce(V.is_object(rec) & invocation.schema_type_ok(rec), F.lit(False)).alias("counted"), "rec")
+    return invocation.every_record(d, F.date_format(F.col("modified"), "yyyy-MM"), "rec", zone, F.col("modified"))

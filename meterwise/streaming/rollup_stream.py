@@ -162,7 +162,7 @@ def run_counts(rows: DataFrame) -> DataFrame:
     unread = F.col("first") & F.col("read_error").isNotNull()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     per_object = rows.groupBy("path", "region").agg(
-        F.count_if(unread).alias("unread"), F.max("malformed").alias("malformed"),
+        F.count_if(unread).alias("unread"), F.sum(F.when(F.col("first"), F.col("malformed"))).alias("malformed"),
         F.count_if(item).alias("records"), F.count_if(F.col("present") & ~item).alias("skipped"))
     users = rows.where(item).select(F.count_distinct("user")).scalar()
     return per_object.agg(
@@ -181,13 +181,20 @@ def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: Mete
     With ``claimed``, every claimed object must arrive: if any is missing, nothing is written and the
     batch fails, to be run again. ``strict`` also fails on an unreadable object.
     """
-    spark = batch.sparkSession
     rows = stage(batch, paths, cfg, claimed)
     counts = run_counts(rows).first().asDict()
     if claimed is not None and counts["objects_seen"] != (wanted := claimed.count()):
         raise RuntimeError(f"{wanted} objects are claimed, {counts['objects_seen']} were read")
     if strict and counts["objects_unreadable"]:
         raise RuntimeError(f"{counts['objects_unreadable']} objects cannot be read")
+    settle(rows, counts, batch_id, paths, cfg, ledger_alerts, directory)
+    return counts
+
+
+def settle(rows: DataFrame, counts: dict, batch_id: int, paths: StreamPaths, cfg: MeterConfig,
+           ledger_alerts: bool = True, directory: Directory | None = None) -> None:
+    """Write all that follows from a batch's staged rows, each table's partition of this batch."""
+    spark = rows.sparkSession
     inv = rows.where("counted").withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
     parts = ledger.batch_partials(inv).persist()
     try:
@@ -211,7 +218,6 @@ def process_batch(batch: DataFrame, batch_id: int, paths: StreamPaths, cfg: Mete
         ledger.write_snapshots(spark, paths.ledger, months, batch_id)
     finally:
         parts.unpersist()
-    return counts
 
 
 def _token_alerts(inv: DataFrame, before: DataFrame, cfg: MeterConfig) -> DataFrame:

@@ -27,14 +27,15 @@ def test_one_run_crosses_both(spark):  # E9
     assert sorted((r["run"], r["level"]) for r in a.collect()) == [(2, "BREACH"), (2, "WARN")]
 
 
-def test_price_lookup_first_match_and_join_agree(spark):
+def test_price_lookup_first_match(spark):
     cfg = MeterConfig()
     df = spark.createDataFrame([("a.claude-opus-sonnet", 1_000_000, 0, 0, 0), ("zzz", 0, 1_000_000, 0, 0),
                                 (None, 0, 0, 1_000_000, 1_000_000)],
                                "model_id string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
     a = {r["model_id"]: r["cost"] for r in pricing.with_cost(df, cfg).collect()}
-    b = {r["model_id"]: r["cost"] for r in pricing.with_cost_join(df, cfg).collect()}
-    assert a == b
+    b = {r["model_id"]: (r["matched_pattern"], r["rate_in"]) for r in pricing.with_rates(df, cfg).collect()}
+    assert b == {"a.claude-opus-sonnet": ("opus", Decimal("0.000005")), "zzz": (None, Decimal("0.000003")),
+                 None: (None, Decimal("0.000003"))}
     assert a["a.claude-opus-sonnet"] == Decimal("5") and a["zzz"] == Decimal("15")
     assert a[None] == Decimal("3.75") + Decimal("0.3")
 
@@ -100,18 +101,19 @@ def test_decisions_precedence(spark):  # E11 (without a failing delete: REMOVED
     assert off.count() == 0
 
 
-def test_large_price_table_uses_join_with_same_result(spark):
-    entries = tuple(PriceEntry(f"m{i:03d}", (str(i + 1), str(2 * i + 1))) for i in range(80))
+def test_price_table_of_any_size(spark):
+    entries = tuple(PriceEntry(f"m{i:03d}", (str(i + 1), str(2 * i + 1))) for i in range(400))
     cfg = MeterConfig(prices=entries + MeterConfig().prices)
-    assert len(cfg.prices) > pricing.CASE_CHAIN_LIMIT
-    df = spark.createDataFrame([(f"x-m{i:03d}-y", 1000, 10, 5, 7) for i in range(0, 80, 7)] + [("opus", 1, 1, 1, 1), ("zzz", 3, 3, 3, 3)],
+    df = spark.createDataFrame([(f"x-m{i:03d}-y", 1000, 10, 5, 7) for i in range(0, 400, 7)]
+                               + [("opus", 1, 1, 1, 1), ("zzz", 3, 3, 3, 3), ("x-M003-m001", 1000, 10, 5, 7)],
                                "model_id string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
-    joined = {r["model_id"]: r["cost"] for r in pricing.with_cost(df, cfg).collect()}
-    chain = {r["model_id"]: r["cost"] for r in df.withColumn("cost", pricing.cost_usd(
-        F.col("model_id"), [F.col(c) for c in pricing.TOKEN_COLS], cfg)).collect()}
-    assert joined == chain
-    assert joined["x-m007-y"] == (Decimal(1000) * 8 + Decimal(10) * 15 + Decimal(5) * 8 * Decimal("1.25")
-                                  + Decimal(7) * 8 * Decimal("0.10")) / Decimal(1_000_000)
+    got = {r["model_id"]: r["cost"] for r in pricing.with_cost(df, cfg).collect()}
+    million = Decimal(1_000_000)
+    cost = lambda i: (Decimal(1000) * (i + 1) + Decimal(10) * (2 * i + 1) + Decimal(5) * (i + 1) * Decimal("1.25")
+                      + Decimal(7) * (i + 1) * Decimal("0.10")) / million
+    assert got == {**{f"x-m{i:03d}-y": cost(i) for i in range(0, 400, 7)}, "x-M003-m001": cost(1),
+                   "opus": (Decimal(5) + 25 + Decimal("6.25") + Decimal("0.5")) / million,
+                   "zzz": 3 * (Decimal(3) + 15 + Decimal("3.75") + Decimal("0.3")) / million}
 
 
 def test_dashboard_views_share_one_cached_detail(spark, sf):
