@@ -252,3 +252,28 @@ def test_stream_token_alerts_name_the_event_for_any_batch_size(spark):
                            for r in rs.read_token_alerts(spark, paths.token_alerts).collect()))
     # 300 tokens a call (input, output, cache write): 1,500 with the 5th, 3,000 with the 10th
     assert told == [[("BREACH", "r30", 2700, 3000), ("WARN", "r120", 1200, 1500)]] * 3
+
+
+def test_jobs_enforce_and_report_every_dataset(spark):
+    from meterwise import jobs
+    root = tempfile.mkdtemp(prefix="mw-jobs-")
+    base, work = f"{root}/logs/" + LOG_DIR.format(account="7"), f"{root}/work"
+    _write(base, "us-east-1", datetime(2024, 5, 1, 10), "a.json.gz",
+           [_rec("alice", "x-opus", "2024-05-01T10:00:00Z", 1000), _rec("bob", "y", "2024-05-01T10:01:00Z", 10)])
+    for name, row, ddl in (("users", ("alice", "u-1"), "user_name string, user_id string"),
+                           ("groups", ("Devs", "g-1"), "display_name string, group_id string"),
+                           ("memberships", ("g-1", "u-1", "m-1"), "group_id string, user_id string, membership_id string")):
+        spark.createDataFrame([row], ddl).write.parquet(f"{root}/directory/{name}")
+    cfg = CFG.with_(enforce_enabled=True, identity_store_id="s", group_names=("Devs",))
+    done = jobs.rollup_run(spark, f"{root}/logs", "7", work, cfg, now=datetime(2024, 5, 1, 10, 5),
+                           directory=jobs.read_directory(spark, f"{root}/directory"))
+    assert (done["objects_processed"], done["records_processed"], done["users_touched"], done["regions"]) == (1, 2, 2, "us-east-1")
+    audit = rs.read_audit(spark, f"{work}/audit").collect()
+    assert [(r["user"], r["mode"]) for r in audit] == [("alice", "DRYRUN")]
+    jobs.report(spark, work, "2024-05", f"{root}/report", cfg, jobs.DashboardFilters("ALI"))
+    rows = {n: spark.read.parquet(f"{root}/report/{n}").collect() for n in sorted(os.listdir(f"{root}/report")) if n != "users_csv"}
+    assert sorted(rows) == ["detail", "heatmap", "histogram", "kpis", "leaderboard", "model_leaderboard", "top_models",
+                            "top_users", "usage_notices", "users"]
+    assert len(rows["leaderboard"]) == 2 and [r["user"] for r in rows["users"]] == ["alice"]
+    assert "  User           : alice\n" in rows["usage_notices"][0]["body"] and "Triggered by" in rows["usage_notices"][0]["body"]
+    assert spark.read.option("header", True).csv(f"{root}/report/users_csv").count() == 1
