@@ -7,6 +7,7 @@
 
 ``rollup`` and ``stream`` enforce when enforcement is configured and ``--directory`` names a folder with the
 parquet tables ``users``, ``groups`` and ``memberships``; ``report`` writes every dashboard dataset.
+All of them send their alerts and notices to the table ``outbox`` of the work folder, each once.
 
 ``rollup`` is one scheduled run: it reads the high-water mark (the previous
 run's time, ST2) and the next run id from the run log in the work folder,
@@ -30,7 +31,7 @@ from meterwise.operators.dashboard import DashboardFilters, DashboardViews
 from meterwise.session import glob_exists
 from meterwise.sources import ledger, log_scan
 from meterwise.sources.raw_records import LOG_DIR
-from meterwise.streaming import event_stream, scheduled
+from meterwise.streaming import event_stream, outbox, scheduled
 from meterwise.streaming.rollup_stream import Directory, StreamPaths, run_rollup_stream
 
 RUN_LOG_SCHEMA = "run_id long, now timestamp, cutoff string, objects long"
@@ -56,7 +57,7 @@ def rollup_run(spark: SparkSession, logs_root: str, account: str, work: str, cfg
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     run_id, checkpoint = last_run(spark, work)
     summary = scheduled.run_scheduled_rollup(
-        spark, _layout(logs_root, account), StreamPaths.under(work), f"{work}/markers", cfg, run_id,
+        spark, _layout(logs_root, account), StreamPaths.under(work, with_outbox=True), f"{work}/markers", cfg, run_id,
         now=now, checkpoint=checkpoint, regions=regions, start_ts=start_ts, robust=robust,
         directory=directory)
     (spark.createDataFrame([(run_id, now, summary["cutoff"], summary["objects_processed"])], RUN_LOG_SCHEMA)
@@ -77,7 +78,8 @@ def report(spark: SparkSession, work: str, month: str, out: str, cfg: MeterConfi
     filter prunes ledger partitions), one folder each below ``out``.
 
     The leaderboards take all usage of the month; the rest goes through
-    ``filters``. ``usage_notices`` has a notice for each user over budget.
+    ``filters``. ``usage_notices`` has a notice for each user over budget; those
+    that tell something new go to the outbox.
     """
     priced = rollup.priced_usage(ledger.read_usage(spark, f"{work}/ledger", month), cfg)
     views = DashboardViews(priced, cfg, filters)
@@ -93,6 +95,8 @@ def report(spark: SparkSession, work: str, month: str, out: str, cfg: MeterConfi
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{out}/{name}")
         views.export_csv(f"{out}/users_csv")
+        written = spark.read.parquet(f"{out}/usage_notices")
+        outbox.send([outbox.usage_notices(written)], f"{work}/outbox", "report")
     finally:
         views.close()
 
@@ -163,12 +167,12 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps(rollup_run(spark, a.logs, a.account, a.work, cfg, log_scan.regions_to_scan(a.regions),
                                     iso(a.now), iso(a.start), a.robust, read_directory(spark, a.directory))))
     elif a.cmd == "stream":
-        q = run_rollup_stream(spark, _layout(a.logs, a.account), StreamPaths.under(a.work), cfg,
+        q = run_rollup_stream(spark, _layout(a.logs, a.account), StreamPaths.under(a.work, with_outbox=True), cfg,
                               max_files_per_trigger=a.max_files, available_now=False,
                               processing_time=a.trigger, robust=a.robust, directory=read_directory(spark, a.directory))
         q.awaitTermination()
     elif a.cmd == "events":
-        event_stream.run_event_stream(spark, a.envelopes, StreamPaths.under(a.work), f"{a.work}/seen", cfg,
+        event_stream.run_event_stream(spark, a.envelopes, StreamPaths.under(a.work, with_outbox=True), f"{a.work}/seen", cfg,
                                       max_files_per_trigger=a.max_files, available_now=False,
                                       processing_time=a.trigger).awaitTermination()
     else:

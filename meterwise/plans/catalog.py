@@ -553,7 +553,7 @@ def q_run_summary(spark, sf):
 # -------------------------------------------------------------------------
 from meterwise.session import fresh_path  # noqa: E402
 from meterwise.sources import ledger, subscription  # noqa: E402
-from meterwise.streaming import rollup_stream, series_stream  # noqa: E402
+from meterwise.streaming import outbox, rollup_stream, series_stream  # noqa: E402
 
 
 @register("decode_subscription")
@@ -661,6 +661,21 @@ def q_stream_token_alerts(spark, sf):
         "level", "user", "model_id", "month", "boundary", "subject")
 
 
+@register("notice_outbox")
+def q_notice_outbox(spark, sf):
+    """S12 + R3: the outbox after a stream with spend and token alerts and a report of usage notices,
+    all of which are sent again at the end; which batch crossed decides the texts, so subjects only."""
+    paths = rollup_stream.StreamPaths.under(fresh_path(spark, "runs", "outbox"), with_outbox=True)
+    rollup_stream.run_rollup_stream(spark, f2_layout(spark, sf), paths, fx.F1_CFG.with_(token_alerts=True),
+                                    max_files_per_trigger=500)
+    usage = outbox.usage_notices(q_usage_notice(spark, sf))
+    outbox.send([usage], paths.outbox, "report")
+    found = [outbox.spend_notices(rollup_stream.read_alerts(spark, paths.alerts)),
+             outbox.token_notices(rollup_stream.read_token_alerts(spark, paths.token_alerts))]
+    outbox.send([*found, usage], paths.outbox, "report")
+    return outbox.read_outbox(spark, paths.outbox).select("kind", "level", "user", "month", "subject")
+
+
 @register("token_alert_text")
 def q_token_alert_text(spark, sf):
     """Subject and body of the token alerts."""

@@ -686,3 +686,7 @@ FROM ({f1_base()} SELECT {U}, month, sum(cost) AS c FROM priced GROUP BY {U}, mo
 JOIN (VALUES ('WARN', {fx.F1_CFG.budget_usd} * {fx.F1_CFG.warn_ratio}), ('BREACH', {fx.F1_CFG.budget_usd})) v(level, boundary)
   ON c >= boundary"""
 ORACLE["stream_spend_alerts"] = ORACLE["alerts_sink"]
+ORACLE["notice_outbox"] = f"""
+SELECT 'spend' AS kind, level, {U}, month, subject FROM ({ORACLE["alerts_sink"]})
+UNION ALL SELECT 'token', level, {U}, month, subject FROM ({ORACLE["stream_token_alerts"]})
+UNION ALL SELECT 'usage', 'USAGE', {U}, month, subject FROM ({ORACLE["usage_notice"]})"""

@@ -28,6 +28,7 @@ from meterwise.functions import pricing
 from meterwise.operators import alerts, enforcement, metrics, rollup
 from meterwise.session import fresh_path, path_exists
 from meterwise.sources import ledger, log_scan
+from meterwise.streaming import outbox
 
 
 # Schemas of the sink tables, so a sink with no rows yet still reads.
@@ -83,11 +84,13 @@ class StreamPaths:
     token_alerts: str = ""
     runs: str = ""
     staged: str = ""
+    outbox: str = ""
 
     @classmethod
-    def under(cls, root: str) -> "StreamPaths":
+    def under(cls, root: str, with_outbox: bool = False) -> "StreamPaths":
         return cls(f"{root}/ledger", f"{root}/alerts", f"{root}/metrics", f"{root}/_checkpoint", f"{root}/audit",
-                   f"{root}/notices", f"{root}/token_alerts", f"{root}/runs", f"{root}/_staged")
+                   f"{root}/notices", f"{root}/token_alerts", f"{root}/runs", f"{root}/_staged",
+                   f"{root}/outbox" if with_outbox else "")
 
 
 @dataclass(frozen=True)
@@ -196,6 +199,8 @@ def settle(rows: DataFrame, counts: dict, batch_id: int, paths: StreamPaths, cfg
     """Write all that follows from a batch's staged rows, each table's partition of this batch."""
     spark = rows.sparkSession
     inv = rows.where("counted").withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+    to_send = []
+    mine = F.col("batch_id") == F.lit(int(batch_id))
     parts = ledger.batch_partials(inv).persist()
     try:
         ledger.forget_snapshots(spark, paths.ledger, batch_id)
@@ -206,11 +211,16 @@ def settle(rows: DataFrame, counts: dict, batch_id: int, paths: StreamPaths, cfg
             ba = _before_after(parts, usage, batch_id, cfg)
             if ledger_alerts:
                 _write_batch(alerts.alert_rows(alerts.spend_alerts(ba, cfg), cfg), paths.alerts, batch_id)
+                to_send.append(outbox.spend_notices(read_alerts(spark, paths.alerts).where(mine)))
             if directory is not None and cfg.enforcement_configured():
                 _enforce(ba, rows, batch_id, paths, cfg, directory)
+                to_send.append(outbox.enforcement_notices(read_notices(spark, paths.notices).where(mine)))
         if cfg.token_alerts and paths.token_alerts:
             before = ledger.month_partials(spark, paths.ledger, months, batch_id - 1)
             _write_batch(_token_alerts(inv, before, cfg), paths.token_alerts, batch_id)
+            to_send.append(outbox.token_notices(read_token_alerts(spark, paths.token_alerts).where(mine)))
+        if paths.outbox:
+            outbox.send(to_send, paths.outbox, "rollup", batch_id)
         _write_batch(metrics.metric_rows(metrics.metrics_by_model(rollup.model_totals(rollup.merge_usage(parts), cfg))),
                      paths.metrics, batch_id)
         if paths.runs:
@@ -307,7 +317,8 @@ def run_rollup_stream(spark: SparkSession, layout: log_scan.LogLayout, paths: St
     if alerts_mode == "state":
         from meterwise.streaming import spend_state
         alert_query = spend_state.run_spend_alert_stream(spark, layout, paths.alerts, paths.checkpoint + "_alerts", cfg,
-                                           max_files_per_trigger, start_ts, available_now, processing_time, robust)
+                                           max_files_per_trigger, start_ts, available_now, processing_time, robust,
+                                           paths.outbox)
     src = log_stream(spark, layout, max_files_per_trigger, start_ts, robust)
     ledger_alerts = alerts_mode == "ledger"
     w = (src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, cfg, ledger_alerts, directory))
