@@ -5,19 +5,23 @@ size are interchangeable, so the heap needs only the table of group sizes and
 how many groups have each: different sizes s1 < s2 < ... add up to at least
 D(D+1)/2 bytes, hence at most sqrt(2 x corpus bytes) rows reach the driver,
 however many groups there are, and they arrive as a stream. The schedule it
-makes (at most ``shards`` ranges of ranks for each size) is joined back.
+makes (at most ``shards`` ranges of ranks for each size) leaves the driver as a
+stream as well: it is written in parts of SCHEDULE_ROWS rows and joined back.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.llm.common import cut, split_rank
+from meterwise.session import fresh_path
 
+SCHEDULE_ROWS = 200_000  # rows of the schedule that the driver holds at once
 SCHEDULE = "group_bytes long, low long, high long, shard int"
 
 
@@ -55,6 +59,16 @@ def lpt_schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tupl
             loads[i] += size * n
 
 
+def written(spark: SparkSession, schedule: Iterator[tuple[int, int, int, int]]) -> DataFrame:
+    """The schedule as a table; at most SCHEDULE_ROWS of its rows are in the driver at any time."""
+    path = fresh_path(spark, "llm")
+    part = None
+    while part is None or len(part) == SCHEDULE_ROWS:
+        part = list(islice(schedule, SCHEDULE_ROWS))
+        spark.createDataFrame(part, SCHEDULE).write.mode("append").parquet(path)
+    return spark.read.schema(SCHEDULE).parquet(path)
+
+
 def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot for every row; rows of equal text share a shard.
 
@@ -62,8 +76,9 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     (unsigned; null: that of no bytes), law ("bytes"), shard, slot (gapless from
     0 within the shard) and grown_shard (null: the law is not ``key``).
     Null texts form a group of their own beside empty ones. Repeated rows are
-    rows. An empty table gives an empty result. A group is known by size, crc32
-    and xxhash64 together.
+    rows. An empty table gives an empty result. A very long text is a row like any
+    other: only its size and hashes are kept. A group is known by size, crc32 and
+    xxhash64 together.
     """
     spark = docs.sparkSession
     rows = cut(docs.select(
@@ -74,7 +89,7 @@ def lpt_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     groups = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
                  .withColumn("group_bytes", F.col("size") * F.col("_n")))
     sizes = groups.groupBy("group_bytes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("group_bytes"))
-    plan = spark.createDataFrame(list(lpt_schedule(sizes.toLocalIterator(), shards)), SCHEDULE)
+    plan = written(spark, lpt_schedule(sizes.toLocalIterator(), shards))
     ranked = split_rank(groups, ["group_bytes"], key, "_rank", groups.count())
     placed = ranked.join(plan, "group_bytes").where("low <= _rank and _rank < high").select(*key, "shard")
     sharded = cut(rows.join(placed, key).select(F.col(id_col).alias("_id"), "size", "text_crc32", "shard"))

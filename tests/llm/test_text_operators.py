@@ -53,6 +53,13 @@ def test_schedule_is_the_greedy_one(sizes, shards):
     assert sorted(dealt) == naive_lpt(sizes, shards)[1]
 
 
+def test_a_schedule_leaves_the_driver_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lpt_sharding, "SCHEDULE_ROWS", 3)
+    for n in (0, 1, 3, 7):
+        rows = [(10 - i, 0, 1, i % 2) for i in range(n)]
+        assert sorted(map(tuple, lpt_sharding.written(spark, iter(rows)).collect())) == sorted(rows)
+
+
 def test_shards(docs, rows):
     got = lpt_sharding.lpt_shards(docs, 4).toPandas()
     assert len(got) == len(rows)
@@ -459,6 +466,25 @@ def test_votes_on_held_out_rows(spark, sf):
     assert got.where("score < 0 or score > 1 or predicted != int(score >= 0.3)").count() == 0
 
 
+@given(st.integers(0, 2**32 - 1), st.integers(1, 40), st.integers(2, 12))
+@settings(max_examples=30, deadline=None)
+def test_votes_are_those_of_the_nearest(seed, known, dims):
+    """Against plain loops: all cosines, the nearest by full sorting, weights one by one."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    taught, asked = unit(rng.standard_normal((known, dims))), unit(rng.standard_normal((7, dims)))
+    labels = rng.integers(0, 2, known).astype(np.float64)
+    got = quality.votes(asked, taught, labels)
+    for vector, score in zip(asked, got):
+        cosines = sorted(((max(0.0, sum(a * b for a, b in zip(vector, t))), y) for t, y in zip(taught, labels)), reverse=True)
+        near = [(c ** quality.SHARPNESS, y) for c, y in cosines[:quality.NEIGHBOURS]]
+        total = sum(w for w, _ in near)
+        if total > 1e-11:
+            assert score == pytest.approx(sum(w * y for w, y in near) / total, abs=1e-6)
+        elif total < 1e-13:
+            assert score == pytest.approx(labels.mean())
+
+
 def test_quality_on_awkward_rows(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)] + [(1000, 1), (1007, 0), (None, 1), (3, None)], "doc_id long, quality int")
     got = quality.quality_scores(docs, labels).toPandas()
