@@ -226,7 +226,7 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     length differs from the other's, links with nothing: 0 links, its own
     component. component_id is the smallest id reachable, itself included;
     kept is id = component_id. Rows repeated under one id count as rows that
-    link; ids are integers and not null.
+    link; ids are integers and not null. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))

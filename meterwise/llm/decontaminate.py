@@ -134,7 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     distance is the least number of edits, end where that match first ends in
     the normalised text (code points). Items that are null or only white space
     match nothing, null and empty texts hold nothing. Equal items under two
-    ids are both reported, repeated rows as often as they stand there.
+    ids are both reported, repeated rows as often as they stand there. An empty
+    ``docs`` or ``benchmark`` gives an empty result. An item has no least length:
+    one of a single letter is found in every text that holds the letter. A very
+    long text is searched whole, in time that grows with its length.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

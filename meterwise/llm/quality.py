@@ -78,7 +78,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     a null label teaches nothing. Empty and null texts, and texts unlike all
     that is known, score the sample's mean label; without any labelled row
     every score is 0.5. Ties between equally near rows go either way but the
-    same way in every run. A null id is not held out.
+    same way in every run. A null id is not held out. Repeated rows each get a
+    score, and an id teaches once; an empty ``docs`` gives an empty result; a very
+    long text is counted whole, in the memory of its bytes.
     """
     spark = docs.sparkSession
     taught = (labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("label"))
