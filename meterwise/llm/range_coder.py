@@ -38,15 +38,15 @@ from pyspark.sql import functions as F
 from meterwise.llm.common import cut
 from meterwise.llm.tokens import encoder, groups
 
-BLOCK = 2048
-LANES = 1536
+BLOCK = 8192         # ids in a block: long enough for orders 1 and 2 to learn
+LANES = 384
 NIBBLES = 4
-ROWS = 11            # log2 of the contexts that a model's table holds
-STEP = 12            # what a symbol's count grows by; a row that would pass 255 is halved
-ORDER_WEIGHTS = (1, 2, 4)
+ROWS = 13            # log2 of the contexts that a model's table holds
+STEP = 6             # what a symbol's count grows by; a row that would pass 255 is halved
+ORDER_WEIGHTS = (2, 3, 4)
 TOP, BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 END_ID = 2
-MAGIC, VERSION = b"TIDB", 1
+MAGIC, VERSION = b"TIDB", 2
 HEADER = struct.Struct("<4sHIIIQ")
 DOC = struct.Struct("<QIq?")
 
@@ -243,7 +243,10 @@ class _Writer:
 
 
 def write_token_file(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, block): the written file, parts in ascending id order, blocks in order within a part."""
+    """(part, block): the written file, parts in ascending id order, blocks in order within a part.
+
+    Ids are coded in 16 bits: a vocabulary with ids of 65,536 or more raises.
+    """
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +356,7 @@ def token_file_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
 
     Documents stand in ascending id order, null ids first, rows of equal id in
     any order; null and empty texts are END_ID alone. An empty table gives an
-    empty result.
+    empty result. A very long text spans blocks, and its checksum is joined from
+    theirs. Ids of 65,536 and more raise (see :func:`write_token_file`).
     """
     return document_digests(read_token_file(write_token_file(docs, tokenizer, id_col, text_col)), id_col)
