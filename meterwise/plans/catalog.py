@@ -384,7 +384,7 @@ def q_token_crossings(spark, sf):
 # -------------------------------------------------------------------------
 from meterwise.functions import invocation as inv_fn  # noqa: E402
 from meterwise.functions import variant as V  # noqa: E402
-from meterwise.sources import log_scan, raw_records  # noqa: E402
+from meterwise.sources import log_scan, raw_records, record_stream  # noqa: E402
 
 F2_REGIONS = ("us-east-1", "eu-west-1")
 
@@ -434,6 +434,26 @@ def q_decode_records(spark, sf):
     return _inv_out(f2_invocations(spark, sf))
 
 
+def f2_record_stream(spark, sf):
+    records = record_stream.scan_records(spark, log_scan.load_paths(f2_layout(spark, sf), None, None))
+    return log_scan.with_path_parts(record_stream.decode_scanned(records))
+
+
+@register("decode_streamed")
+def q_decode_streamed(spark, sf):
+    """S6 record by record: every file shape without a whole text in memory."""
+    recs = f2_record_stream(spark, sf)
+    recs = recs.where(F.col("rec").isNotNull())
+    return _inv_out(inv_fn.canonical(recs, _file_month(recs), "rec", "offset", F.col("modified")))
+
+
+@register("malformed_streamed")
+def q_malformed_streamed(spark, sf):
+    """S6 / F2 record by record: records and malformed items of each object."""
+    return f2_record_stream(spark, sf).groupBy("object_key").agg(
+        F.count("rec").alias("records"), F.sum("malformed").alias("malformed"))
+
+
 @register("region_pruned_scan")
 def q_region_pruned_scan(spark, sf):
     """Only the listed region directories are loaded and decoded."""
