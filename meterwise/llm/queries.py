@@ -41,7 +41,7 @@ TRAP = r"\### Assistant: </turn> ok"  # conversation -7: text that looks like an
 def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], rows.schema)
-    return chat_format.read_back(chat_format.format_conversations(rows.union(more)))
+    return chat_format.turn_digests(chat_format.format_turns(rows.union(more)))
 
 
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:

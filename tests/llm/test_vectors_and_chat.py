@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from meterwise.llm import chat_format, cover_tree, graph
+from meterwise.session import child_names, work_path
 from tests.llm.test_text_operators import naive_components
 
 
@@ -117,6 +118,7 @@ def test_chat_round_trip(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, at string, f string").repartition(4)
     formatted = chat_format.format_conversations(df)
     got = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    assert {r["conv_id"]: r for r in chat_format.turn_digests(chat_format.format_turns(df)).collect()} == got
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
@@ -137,6 +139,32 @@ def test_texts_without_controls_stay_as_they_are(spark):
     assert [tuple(s) for s in row["loss"]] == [(46, 54)] and row["formatted"][46:54] == "\\</turn>"
 
 
+def test_a_hot_conversation_spans_tasks(spark):
+    """A null id holds two thirds of the turns, all at one turn number: offsets follow (turn, role, text) and no
+    range of the running sums holds them all."""
+    rows = [(None if i % 3 else i, 0, "assistant", f"{i * 7919 % 3001:05d} ###") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    turns = chat_format.format_turns(df)
+    placed = chat_format.place_turns(turns)
+    got = sorted((r["at"], r["formatted"], tuple(r["loss"])) for r in placed.where("conv_id is null").collect())
+    at = 0
+    for (where, text, loss), (_, _, _, source) in zip(got, sorted((r for r in rows if r[0] is None), key=lambda r: r[3])):
+        assert (where, text[loss[0]:loss[1]].replace("\\###", "###")) == (at, source)
+        at += len(text)
+    folder = work_path(spark, "ranges")
+    before = set(child_names(spark, folder))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"     # ranges as small as these would be put together
+    spark.conf.set(key, "false")
+    try:
+        chat_format.place_turns(turns)
+    finally:
+        spark.conf.unset(key)
+    made = (set(child_names(spark, folder)) - before).pop()
+    dealt = spark.read.parquet(f"{folder}/{made}")
+    assert dealt.where("conv_id is null").select("_range").distinct().count() >= 4
+    assert chat_format.turn_digests(turns.limit(0)).count() == 0 and chat_format.place_turns(turns.limit(0)).count() == 0
+
+
 def test_chat_runs_no_python(spark, sf):
     from meterwise.llm.queries import op6_chat_format
     plan = op6_chat_format(spark, sf)._jdf.queryExecution().toString()
