@@ -53,13 +53,13 @@ def last_run(spark: SparkSession, work: str) -> tuple[int, datetime | None]:
 def rollup_run(spark: SparkSession, logs_root: str, account: str, work: str, cfg: MeterConfig,
                regions: list[str] | None = None, now: datetime | None = None,
                start_ts: datetime | None = None, robust: bool = True,
-               directory: Directory | None = None) -> dict:
+               directory: Directory | None = None, by_record: bool = False) -> dict:
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     run_id, checkpoint = last_run(spark, work)
     summary = scheduled.run_scheduled_rollup(
         spark, _layout(logs_root, account), StreamPaths.under(work, with_outbox=True), f"{work}/markers", cfg, run_id,
         now=now, checkpoint=checkpoint, regions=regions, start_ts=start_ts, robust=robust,
-        directory=directory)
+        directory=directory, by_record=by_record)
     (spark.createDataFrame([(run_id, now, summary["cutoff"], summary["objects_processed"])], RUN_LOG_SCHEMA)
           .coalesce(1).write.mode("append").parquet(f"{work}/run_log"))
     return summary
@@ -145,6 +145,8 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--regions", default="auto")
             s.add_argument("--now", default=None)
             s.add_argument("--start", default=None)
+            s.add_argument("--by-record", action=argparse.BooleanOptionalAction, default=False,
+                           help="objects of any size, read record by record; a damaged archive stops the run")
         if name == "events":
             s.add_argument("--envelopes", required=True)
         if name in ("stream", "events"):
@@ -165,7 +167,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.cmd == "rollup":
         iso = lambda s: datetime.fromisoformat(s) if s else None
         print(json.dumps(rollup_run(spark, a.logs, a.account, a.work, cfg, log_scan.regions_to_scan(a.regions),
-                                    iso(a.now), iso(a.start), a.robust, read_directory(spark, a.directory))))
+                                    iso(a.now), iso(a.start), a.robust, read_directory(spark, a.directory), a.by_record)))
     elif a.cmd == "stream":
         q = run_rollup_stream(spark, _layout(a.logs, a.account), StreamPaths.under(a.work, with_outbox=True), cfg,
                               max_files_per_trigger=a.max_files, available_now=False,

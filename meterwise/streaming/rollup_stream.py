@@ -27,7 +27,7 @@ from meterwise.config import MeterConfig
 from meterwise.functions import pricing
 from meterwise.operators import alerts, enforcement, metrics, rollup
 from meterwise.session import fresh_path, path_exists
-from meterwise.sources import ledger, log_scan
+from meterwise.sources import ledger, log_scan, record_stream
 from meterwise.streaming import outbox
 
 
@@ -142,16 +142,21 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
 
 
 def stage(batch: DataFrame, paths: StreamPaths, cfg: MeterConfig, claimed: DataFrame | None = None) -> DataFrame:
-    """The batch's decoded rows, written to the staging folder and read back.
+    """The batch's decoded rows, written to the staging folder and read back. The batch has whole texts, or
+    the record texts of ``record_stream.scan_records``.
 
     The objects' content is read here and nowhere else; what follows reads a few
     narrow columns per record, and outlives lost executors. ``claimed`` (distinct
     paths) leaves out other objects; it meets the narrow rows, so no content is shuffled.
     """
     spark = batch.sparkSession
-    if "read_error" not in batch.columns:
-        batch = batch.withColumn("read_error", F.lit(None).cast("string"))
-    rows = log_scan.decoded_rows(log_scan.with_path_parts(batch), F.date_format(F.col("modified"), "yyyy-MM"), cfg.month_zone)
+    month = F.date_format(F.col("modified"), "yyyy-MM")
+    if "record" in batch.columns:
+        rows = record_stream.decoded_rows(batch, month, cfg.month_zone)
+    else:
+        if "read_error" not in batch.columns:
+            batch = batch.withColumn("read_error", F.lit(None).cast("string"))
+        rows = log_scan.decoded_rows(log_scan.with_path_parts(batch), month, cfg.month_zone)
     if claimed is not None:
         rows = rows.join(claimed.select("path"), "path")
     folder = paths.staged or fresh_path(spark, "staged")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterwise.config import MeterConfig
 from meterwise.session import glob_exists
-from meterwise.sources import log_scan
+from meterwise.sources import log_scan, record_stream
 from meterwise.streaming.rollup_stream import Directory, StreamPaths, process_batch
 
 MARKER_SCHEMA = "path string, modified timestamp, run_id long, processed_at timestamp, day date"
@@ -49,9 +49,11 @@ def cutoff_for(now: datetime, checkpoint: datetime | None, cfg: MeterConfig) ->
 def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths: StreamPaths, markers_path: str,
                          cfg: MeterConfig, run_id: int, now: datetime, checkpoint: datetime | None = None,
                          regions: list[str] | None = None, start_ts: datetime | None = None,
-                         robust: bool = True, directory: Directory | None = None) -> dict:
+                         robust: bool = True, directory: Directory | None = None, by_record: bool = False) -> dict:
     """One scheduled run. ``start_ts`` (a first run or a deliberate
-    catch-up) replaces the look-back rule for the cut-off."""
+    catch-up) replaces the look-back rule for the cut-off. ``by_record`` reads
+    objects of any size record by record; a damaged archive then stops the
+    run before anything is written, whatever ``robust`` says."""
     cutoff = start_ts if start_ts is not None else cutoff_for(now, checkpoint, cfg)
     hours = log_scan.hour_prefixes(cutoff, now)
     found = log_scan.list_objects(spark, log_scan.load_paths(layout, regions, hours))
@@ -75,6 +77,7 @@ def run_scheduled_rollup(spark: SparkSession, layout: log_scan.LogLayout, paths:
         return summary
     # hours x regions of one window (and of an earlier attempt of this run)
     folders = [log_scan.literal(r[0]) for r in claimed.select(log_scan.hour_folder(F.col("path"))).distinct().collect()]
-    files = log_scan.scan_files_robust(spark, folders, span["a"], span["b"])
+    read = record_stream.scan_records if by_record else log_scan.scan_files_robust
+    files = read(spark, folders, span["a"], span["b"])
     counts = process_batch(files, run_id, paths, cfg, directory=directory, claimed=claimed, strict=not robust)
     return summary | {k: v for k, v in counts.items() if k != "objects_processed"}
