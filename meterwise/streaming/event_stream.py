@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterwise.config import MeterConfig
-from meterwise.session import child_names, fresh_path
+from meterwise.session import child_names, fresh_path, written
 from meterwise.sources import subscription
 from meterwise.streaming.rollup_stream import StreamPaths, run_counts, settle
 
@@ -37,10 +37,6 @@ def process_envelopes(batch: DataFrame, batch_id: int, paths: StreamPaths, seen:
     """One batch of envelopes: counters, alerts, metrics and counts, as for log objects."""
     spark = batch.sparkSession
 
-    def written(df: DataFrame, folder: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(folder)
-        return spark.read.schema(df.schema).parquet(folder)
-
     events = subscription.decode_envelopes(batch)
     day = F.coalesce(F.timestamp_millis("event_ms"), F.timestamp_seconds(F.lit(0))).cast("date")
     events = written(events.withColumn("day", day), fresh_path(spark, "events"))
