@@ -1,5 +1,6 @@
 """What a small batch costs beside its rows: tasks, state partitions, listings, texts held at once."""
 
+import os
 import tempfile
 from datetime import datetime
 from decimal import Decimal
@@ -9,7 +10,7 @@ import pytest
 from meterwise.config import MeterConfig
 from meterwise.sources import ledger, log_scan
 from meterwise.sources.raw_records import LOG_DIR
-from meterwise.streaming import rollup_stream as rs
+from meterwise.streaming import rollup_stream as rs, spend_state
 from tests.test_streaming import _rec, _write
 
 CFG = MeterConfig(budget_usd=Decimal("0.01"), warn_ratio=Decimal("0.5"))
@@ -62,6 +63,15 @@ def test_a_batch_reads_back_its_own_partials_only(spark):
     assert [r["user"] for r in months] == ["a"]
 
 
+def test_keyed_state_has_a_partition_a_core(spark, many_partitions):
+    root = tempfile.mkdtemp(prefix="mw-state-")
+    spend_state.run_spend_alert_stream(spark, _logs(root), f"{root}/alerts", f"{root}/ck", CFG, max_files_per_trigger=2)
+    dealt = [d for d in os.listdir(f"{root}/ck/state/0") if d.isdigit()]
+    assert len(dealt) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get(PARTITIONS) == str(many_partitions)
+    assert rs.read_alerts(spark, f"{root}/alerts").count() == 40
+
+
 def test_a_stream_lists_its_objects_in_few_tasks(spark):
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     spark.conf.unset(name)
