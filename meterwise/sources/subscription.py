@@ -30,15 +30,24 @@ LOG_GROUP = "/aws/invocation-logs"
 EVENTS_PER_ENVELOPE = 100
 
 
-def _gzip_b64(batches):
+ENVELOPES_HELD = 64  # texts a task holds at once: an Arrow batch has up to 10,000 envelopes
+
+
+def _slices(batches):
     for pdf in batches:
+        for i in range(0, len(pdf), ENVELOPES_HELD):
+            yield pdf.iloc[i:i + ENVELOPES_HELD].copy()
+
+
+def _gzip_b64(batches):
+    for pdf in _slices(batches):
         pdf["data"] = [base64.b64encode(gzip.compress(s.encode("utf-8"), mtime=0)).decode("ascii")
                        for s in pdf.pop("payload")]
         yield pdf
 
 
 def _gunzip(batches):
-    for pdf in batches:
+    for pdf in _slices(batches):
         out, err = [], []
         for b in pdf["raw"]:
             if b is None:
@@ -52,8 +61,8 @@ def _gunzip(batches):
                 out.append(None)
                 err.append(type(e).__name__)
         pdf = pdf.drop(columns=["raw"])
-        pdf["payload"] = pd.Series(out, dtype=object)
-        pdf["error"] = pd.Series(err, dtype=object)
+        pdf["payload"] = pd.Series(out, dtype=object, index=pdf.index)
+        pdf["error"] = pd.Series(err, dtype=object, index=pdf.index)
         yield pdf
 
 

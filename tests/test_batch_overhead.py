@@ -1,14 +1,17 @@
 """What a small batch costs beside its rows: tasks, state partitions, listings, texts held at once."""
 
+import base64
+import gzip
 import os
 import tempfile
 from datetime import datetime
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 
 from meterwise.config import MeterConfig
-from meterwise.sources import ledger, log_scan
+from meterwise.sources import ledger, log_scan, subscription
 from meterwise.sources.raw_records import LOG_DIR
 from meterwise.streaming import rollup_stream as rs, spend_state
 from tests.test_streaming import _rec, _write
@@ -77,3 +80,16 @@ def test_a_stream_lists_its_objects_in_few_tasks(spark):
     spark.conf.unset(name)
     rs.log_stream(spark, _logs(tempfile.mkdtemp(prefix="mw-list-")))
     assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_envelopes_are_unpacked_a_few_at_a_time():
+    texts = [f"text {i}" for i in range(200)] + [None]
+    packed = pd.DataFrame({"id": range(201), "raw": [t and gzip.compress(t.encode()) for t in texts]})
+    got = list(subscription._gunzip([packed]))
+    assert max(len(g) for g in got) <= subscription.ENVELOPES_HELD < 200
+    out = pd.concat(got)
+    assert list(out["id"]) == list(range(201)) and list(out["payload"][:-1]) == texts[:-1]
+    assert list(out["error"])[-1] == "missing" and out["error"][:-1].isna().all()
+    sent = list(subscription._gzip_b64([pd.DataFrame({"payload": texts[:-1]})]))
+    assert max(len(g) for g in sent) <= subscription.ENVELOPES_HELD
+    assert [gzip.decompress(base64.b64decode(d)).decode() for d in pd.concat(sent)["data"]] == texts[:-1]
