@@ -84,6 +84,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as a local path, if it lies in the local file system; else None."""
+    fs, p = _hadoop_path(spark, path)
+    return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def glob_exists(spark: SparkSession, pattern: str) -> bool:
     fs, p = _hadoop_path(spark, pattern)
     st = fs.globStatus(p)

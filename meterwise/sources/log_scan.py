@@ -241,9 +241,15 @@ def _object_name(rest: Column) -> Column:
                   F.regexp_replace(rest, r"^shape=([0-9]+)/chunk=([0-9]+)/.*$", "$1-$2")).otherwise(rest)
 
 
+def _documents(s: Column) -> Column:
+    """The text's JSON documents, read as the elements of a list (so one of them means that
+    nothing trails it); null if it is not JSON."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
+
+
 def _strict_parse(s: Column) -> Column:
     """Exactly one JSON document (trailing text rejected) -> VARIANT, else null."""
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
+    arr = _documents(s)
     return F.when(F.array_size(arr) == 1, F.element_at(arr, 1))
 
 
@@ -269,7 +275,9 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
     """
     t = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+|\s+$", "")
     unread = F.col(text_col).isNull().cast("int")
-    d = files.withColumn("_t", t).withColumn("_doc", _strict_parse(F.col("_t")))
+    # every text is parsed once: what is looked at twice is a column of its own or an array's element
+    d = files.withColumn("_t", t).withColumn("_docs", _documents(F.col("_t")))
+    d = d.withColumn("_doc", F.when(F.array_size("_docs") == 1, F.element_at("_docs", 1)))
     doc = F.col("_doc")
     doc_arr = V.as_array(doc)
     recs_arr = F.try_variant_get(doc, "$.records", "array<variant>")
@@ -278,8 +286,8 @@ def decode_records(files: DataFrame, text_col: str = "text") -> DataFrame:
                  .when(V.is_object(doc), F.array(doc))
                  .otherwise(F.array().cast("array<variant>")))
     lines = F.filter(F.transform(F.split(F.col("_t"), LINE_SPLIT), lambda l: F.trim(l)), lambda l: l != "")
-    parsed_lines = F.transform(lines, lambda l: _strict_parse(l))
-    from_lines = F.filter(parsed_lines, lambda v: v.isNotNull())
+    parsed_lines = F.filter(F.transform(lines, _documents), lambda a: F.array_size(a) == 1)
+    from_lines = F.filter(F.flatten(parsed_lines), lambda v: v.isNotNull())
     d = d.withColumn("_long", F.when(doc.isNull(), _long_items(F.col("_t"))))
     by_line = doc.isNull() & F.col("_long").isNull() & (F.col("_t") != "")
     d = d.withColumn("_items", F.when(F.col("_t") == "", F.array().cast("array<variant>"))
