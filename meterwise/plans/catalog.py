@@ -550,11 +550,11 @@ def q_modified_since(spark, sf):
     """Two deliveries of the log, days 1-14 and then the rest; the objects
     modified after the last one of the first delivery."""
     base = raw_records.log_base(fresh_path(spark, "runs", "deliveries"))
-    records, day = raw_records.raw_records(spark, sf), F.dayofmonth("ts")
-    raw_records.write_logs(records.where(day < 15), base, "overwrite")
+    records, day = raw_records.raw_records(spark, sf, by_object=True), F.dayofmonth("ts")
+    raw_records.write_logs(records.where(day < 15), base, "overwrite", by_object=True)
     everything = log_scan.load_paths(log_scan.LogLayout(base, hive=True), None, None)
     last = log_scan.list_objects(spark, everything).agg(F.max("modified")).first()[0]
-    raw_records.write_logs(records.where(day >= 15), base, "append")
+    raw_records.write_logs(records.where(day >= 15), base, "append", by_object=True)
     files = log_scan.scan_files_robust(spark, everything, since=last + timedelta(milliseconds=1))
     return log_scan.with_path_parts(files).select("object_key")
 
