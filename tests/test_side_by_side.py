@@ -34,3 +34,21 @@ def test_a_failing_sink_fails_the_batch_when_all_have_ended(spark):
     finally:
         sc.setLocalProperty("mw.side", None)
     assert done == ["here"]
+
+
+def test_a_batch_is_counted_while_its_ledger_is_written(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="mw-side-")
+    files = log_scan.scan_files(spark, log_scan.load_paths(_logs(root), None, None))
+    paths, together = rs.StreamPaths.under(f"{root}/run"), threading.Barrier(2)
+
+    def meets(step):
+        def run(*args):
+            together.wait(60)  # one after the other they would not meet
+            return step(*args)
+        return run
+
+    monkeypatch.setattr(rs, "run_counts", meets(rs.run_counts))
+    monkeypatch.setattr(rs.ledger, "write_partials", meets(rs.ledger.write_partials))
+    counts = rs.process_batch(files, 0, paths, CFG)
+    assert counts["records_processed"] == 60 and counts["objects_seen"] == 3
+    assert [r.asDict() for r in rs.read_runs(spark, paths.runs).drop("batch_id").collect()] == [counts]
