@@ -11,9 +11,18 @@ from pyspark.sql.types import StructType
 from meterwise.session import fresh_path
 
 RANK_ROWS = 65_536  # rows that one rank window sorts, on average
+ARROW_ROWS = 2_000  # whole texts in an Arrow batch, which stands several times in a task's JVM and Python memory
+
+
+def small_batches(spark) -> None:
+    """Python workers get at most ARROW_ROWS rows at once; a session's own smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     its real size.
     """
     path = fresh_path(df.sparkSession, "llm")
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
