@@ -181,6 +181,27 @@ def test_cache_starts_anew(monkeypatch):
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_that_come_again_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    e, learnt = tokens.TextEncoder(tokenizer_path()), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda new, *more: (learnt.extend(new), learn(new, *more)))
+    for i in range(40):
+        text = f"the same word über, new{i} x{i}y and (more) über $$$"
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert learnt.count("same") == learnt.count("über,") == 1
+    assert len(e.words) + len(e.old) <= 60
+
+
+@given(st.lists(st.sampled_from(["über", "Ab", "c", "ÿÀ", "×", "9", ",", ".", "!?", "'s", "'", "$", "<|endoftext|>", " ", "\n", "ł", "日本", "\t"]), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_words_and_marks_are_pieces(parts):
+    e = tokens.encoder(tokenizer_path())
+    texts = ["".join(parts), " ".join(parts), "\n".join(parts), None]
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in e.encode(texts)] == want
+
+
 @given(st.lists(st.tuples(st.integers(1, 16), st.integers(0, 9)), min_size=1, max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_bins_hold_their_limits(items):
