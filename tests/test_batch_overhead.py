@@ -9,6 +9,7 @@ from decimal import Decimal
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 from meterwise.config import MeterConfig
 from meterwise.sources import ledger, log_scan, subscription
@@ -93,3 +94,28 @@ def test_envelopes_are_unpacked_a_few_at_a_time():
     sent = list(subscription._gzip_b64([pd.DataFrame({"payload": texts[:-1]})]))
     assert max(len(g) for g in sent) <= subscription.ENVELOPES_HELD
     assert [gzip.decompress(base64.b64decode(d)).decode() for d in pd.concat(sent)["data"]] == texts[:-1]
+
+
+def test_a_key_meets_its_state_by_rows_with_one_lookup():
+    class Held:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    unit, step = int(spend_state.UNIT), spend_state.SpendCrossing(Decimal("2"), Decimal("4"))
+    step.total = held = Held()
+    ran = [list(step.handleInputRows(("u", "2024-05"), iter([Row(units=str(n)) for n in batch]), None))
+           for batch in ([unit], [unit // 2, unit // 2], [0], [3 * unit])]
+    assert [[(r["level"], Decimal(r["prev_cost"]), Decimal(r["new_cost"])) for r in rows] for rows in ran] == [
+        [], [("WARN", 1, 2)], [], [("BREACH", 2, 5)]]
+    assert held.calls == ["get", "update"] * 4 and int(held.value[0]) == 5 * unit
