@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterwise.config import MeterConfig
 from meterwise.session import child_names, fresh_path, written
 from meterwise.sources import subscription
-from meterwise.streaming.rollup_stream import StreamPaths, run_counts, settle
+from meterwise.streaming.rollup_stream import StreamPaths, run_counts, settle, staged
 
 SEEN_SCHEMA = "log_event_id string, day date, batch_id bigint"
 
@@ -41,7 +41,7 @@ def process_envelopes(batch: DataFrame, batch_id: int, paths: StreamPaths, seen:
     day = F.coalesce(F.timestamp_millis("event_ms"), F.timestamp_seconds(F.lit(0))).cast("date")
     events = written(events.withColumn("day", day), fresh_path(spark, "events"))
     new = written(unseen(events, seen, batch_id), fresh_path(spark, "events"))
-    rows = written(subscription.event_rows(new, cfg.month_zone), paths.staged or fresh_path(spark, "staged"))
+    rows = staged(subscription.event_rows(new, cfg.month_zone), batch_id, paths)
     counts = run_counts(rows).first().asDict()
     settle(rows, counts, batch_id, paths, cfg)
     (new.where(F.col("log_event_id").isNotNull())

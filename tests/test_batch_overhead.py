@@ -119,3 +119,38 @@ def test_a_key_meets_its_state_by_rows_with_one_lookup():
     assert [[(r["level"], Decimal(r["prev_cost"]), Decimal(r["new_cost"])) for r in rows] for rows in ran] == [
         [], [("WARN", 1, 2)], [], [("BREACH", 2, 5)]]
     assert held.calls == ["get", "update"] * 4 and int(held.value[0]) == 5 * unit
+
+
+def _jobs(sc, group, step):
+    sc.setJobGroup(group, group)
+    try:
+        step()
+    finally:
+        sc._jsc.clearJobGroup()
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_batch_runs_few_jobs(spark):
+    root = tempfile.mkdtemp(prefix="mw-jobs-")
+    files = log_scan.scan_files(spark, log_scan.load_paths(_logs(root), None, None))
+    paths = rs.StreamPaths.under(f"{root}/run")
+    assert _jobs(spark.sparkContext, "few-jobs", lambda: rs.process_batch(files, 3, paths, CFG)) <= 19
+    assert rs.read_alerts(spark, paths.alerts).where("batch_id = 3").count() == 40
+
+
+def test_spend_before_a_batch_counts_its_users_only_and_in_one_shuffle(spark):
+    part = "user string, model_id string, month string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long"
+    parts = spark.createDataFrame([("a", "x-opus", "2024-05", 100, 0, 0, 0, 7), ("a", "x-haiku", "2024-05", 100, 0, 0, 0, 7),
+                                   ("b", "x-opus", "2024-06", 10, 0, 0, 0, 7), (None, "x-opus", "2024-05", 10, 0, 0, 0, 7)],
+                                  part + ", batch_id long")
+    before = spark.createDataFrame([("a", "x-opus", "2024-05", 300, 0, 0, 0), ("a", "x-opus", "2024-05", 300, 0, 0, 0),
+                                    ("a", "x-opus", "2024-04", 9000, 0, 0, 0), ("c", "x-opus", "2024-05", 5, 0, 0, 0)], part)
+    got = rs._before_after(parts, before, CFG)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    cost = {m: rs._priced_partials(spark.createDataFrame([("a", m, "2024-05", 1, 0, 0, 0)], part), CFG).first()["cost"]
+            for m in ("x-opus", "x-haiku")}
+    both = cost["x-opus"] + cost["x-haiku"]
+    assert {(r["user"], r["month"]): (r["delta"], r["prev_cost"], r["new_cost"], r["run"]) for r in got.collect()} == {
+        ("a", "2024-05"): (100 * both, 600 * cost["x-opus"], 600 * cost["x-opus"] + 100 * both, 7),
+        ("b", "2024-06"): (10 * cost["x-opus"], 0, 10 * cost["x-opus"], 7)}
