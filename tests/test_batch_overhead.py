@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import Row
 
 from meterwise.config import MeterConfig
+from meterwise.operators import alerts
 from meterwise.sources import ledger, log_scan, subscription
 from meterwise.sources.raw_records import LOG_DIR
 from meterwise.streaming import rollup_stream as rs, spend_state
@@ -145,7 +146,7 @@ def test_spend_before_a_batch_counts_its_users_only_and_in_one_shuffle(spark):
                                   part + ", batch_id long")
     before = spark.createDataFrame([("a", "x-opus", "2024-05", 300, 0, 0, 0), ("a", "x-opus", "2024-05", 300, 0, 0, 0),
                                     ("a", "x-opus", "2024-04", 9000, 0, 0, 0), ("c", "x-opus", "2024-05", 5, 0, 0, 0)], part)
-    got = rs._before_after(parts, before, CFG)
+    got = rs._before_after(parts, rs._touched(before, parts), CFG)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
     cost = {m: rs._priced_partials(spark.createDataFrame([("a", m, "2024-05", 1, 0, 0, 0)], part), CFG).first()["cost"]
@@ -154,3 +155,35 @@ def test_spend_before_a_batch_counts_its_users_only_and_in_one_shuffle(spark):
     assert {(r["user"], r["month"]): (r["delta"], r["prev_cost"], r["new_cost"], r["run"]) for r in got.collect()} == {
         ("a", "2024-05"): (100 * both, 600 * cost["x-opus"], 600 * cost["x-opus"] + 100 * both, 7),
         ("b", "2024-06"): (10 * cost["x-opus"], 0, 10 * cost["x-opus"], 7)}
+
+
+def test_settling_a_small_batch_compiles_next_to_nothing(spark):
+    root = tempfile.mkdtemp(prefix="mw-compiled-")
+    files = log_scan.scan_files(spark, log_scan.load_paths(_logs(root), None, None))
+    paths, cfg = rs.StreamPaths.under(f"{root}/run", with_outbox=True), CFG.with_(token_alerts=True, token_threshold=1000)
+    rows, compiled = rs.stage(files, 0, paths, cfg), spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    before, kept = compiled.getCount(), spark.conf.get("spark.sql.codegen.wholeStage")
+    rs.settle(rows, None, 0, paths, cfg, small=True)
+    assert compiled.getCount() - before <= 20
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == kept
+    assert rs.read_alerts(spark, paths.alerts).count() == 40 and rs.read_token_alerts(spark, paths.token_alerts).count() == 40
+
+
+def test_token_crossings_of_batches_are_those_of_all_events(spark):
+    cols = "user string, model_id string, month string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long"
+    cfg = CFG.with_(token_threshold=100)
+    t = lambda h, m=0: datetime(2024, 5, 1, h, m)
+    events = [("a", t(1), 1, 60), ("a", t(1, 1), 2, 30), ("a", None, 0, 5), ("b", t(2), 3, 250), ("c", t(2), 4, 30), ("d", t(3), 5, 120),
+              ("a", t(4), 6, 20), ("c", t(4), 7, 19), ("d", t(4), 8, 120), ("c", t(5), 9, 1), ("c", t(5, 1), 10, 80)]
+    inv = spark.createDataFrame([(u, "m", "2024-05", n, 0, 0, 0, ts, str(i).zfill(2)) for u, ts, i, n in events],
+                                cols + ", ts timestamp_ntz, record_id string")
+    plain = lambda d: {tuple(r[c] for c in ("user", "level", "boundary", "record_id", "prev_total", "new_total")) for r in d.collect()}
+    got = set()
+    for first, last in (("00", "05"), ("06", "08"), ("09", "10")):
+        batch = inv.where((inv.record_id >= first) & (inv.record_id <= last))
+        got |= plain(alerts.token_crossings_after(batch, inv.where(inv.record_id < first).select(batch.columns[:7]), cfg))
+    assert got == plain(alerts.token_crossings(inv, cfg)) and len(got) == 8
+    # up and down within an hour: each event that crosses counts
+    dip = spark.createDataFrame([("e", "m", "2024-05", n, 0, 0, 0, t(1, i), str(i)) for i, n in enumerate((60, -30))],
+                                cols + ", ts timestamp_ntz, record_id string")
+    assert plain(alerts.token_crossings_after(dip, dip.limit(0), cfg)) == {("e", "WARN", 50, "0", 0, 60)}
